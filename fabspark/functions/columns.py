@@ -99,6 +99,16 @@ def box_iou(a: Column, b: Column) -> Column:
     return ratio_or(inter, area_a + area_b - inter)
 
 
+def micros(df: DataFrame, name: str) -> Column:
+    """Microseconds of a time column; a zone-free timestamp keeps its wall clock."""
+    c = F.col(name)
+    if not isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp"))
+    seconds = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    clock = F.hour(c) * F.lit(3_600_000_000) + F.minute(c) * F.lit(60_000_000) + seconds
+    return F.unix_date(c.cast("date")) * F.lit(86_400_000_000) + clock
+
+
 def hash_bucket(cols: Sequence[str], buckets: int, seed: int = 0) -> Column:
     """Deterministic bucket of a row key, for splits and sampling."""
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), F.lit(buckets))

@@ -22,6 +22,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.columns import micros
+
 HOT_ROWS = 4_000_000
 
 POS = "pos"
@@ -39,12 +41,22 @@ class Ordered:
         order: Sequence[str | Column],
         slice_on: Column | None = None,
         hot_rows: int = HOT_ROWS,
+        bound: DataFrame | None = None,
     ):
+        """``bound`` is a cheaper frame with at least as many rows per key; the
+        rows of ``df`` itself are counted only if some key of it is large."""
         self.keys = list(keys)
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
         self.hot_rows = hot_rows
         self.slice_on = slice_on if slice_on is not None else self._numeric(df, order[0])
-        self.df, self.sliced = self._slice(df)
+        if bound is not None and not self._large(bound).take(1):
+            self.df, self.sliced = df, False
+        else:
+            self.df, self.sliced = self._slice(df)
+
+    def _large(self, df: DataFrame) -> DataFrame:
+        counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
+        return counts.filter(F.col("_n") > self.hot_rows)
 
     @staticmethod
     def _numeric(df: DataFrame, order: str | Column) -> Column:
@@ -55,12 +67,11 @@ class Ordered:
         if kind == "date":
             return F.unix_date(c).cast("double")
         if kind.startswith("timestamp"):
-            return F.unix_micros(c.cast("timestamp")).cast("double")
+            return micros(df, order).cast("double")
         return c.cast("double")
 
     def _slice(self, df: DataFrame) -> tuple[DataFrame, bool]:
-        hot = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > self.hot_rows)
-        hot = hot.persist()
+        hot = self._large(df).persist()
         rows = hot.agg(F.sum("_n")).first()[0]
         if not rows:
             hot.unpersist()
@@ -110,10 +121,12 @@ class Ordered:
         other.df = df
         return other
 
-    def running(self, aggs: dict[str, tuple[str, Column]]) -> "Ordered":
-        """Aggregates from the first row of the key to the current row."""
+    def running(self, aggs: dict[str, tuple[str, Column]], strict: bool = False) -> "Ordered":
+        """Aggregates from the first row of the key to the current row; with
+        ``strict`` over the rows whose whole-number order value is smaller."""
         spec = Window.partitionBy(*self.keys, *([_SLICE] if self.sliced else []))
-        w = spec.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        w = spec.orderBy(*self.order)
+        w = w.rangeBetween(Window.unboundedPreceding, -1) if strict else w.rowsBetween(Window.unboundedPreceding, 0)
         if not self.sliced:
             return self._next(self.df.withColumns({n: _AGG[a](c).over(w) for n, (a, c) in aggs.items()}))
         prefix = self._prefix(

@@ -34,7 +34,7 @@ def distribution(
     keys, extra = list(keys), extra or {}
     counts = value_counts(df, keys, value, extra)
     run = {"upto": ("sum", F.col("n")), **{f"upto_{n}": ("sum", F.col(n)) for n in extra}}
-    out = Ordered(counts, keys, [value], hot_rows=hot_rows).running(run).result()
+    out = Ordered(counts, keys, [value], hot_rows=hot_rows, bound=df).running(run).result()
     totals = counts.groupBy(*keys).agg(
         F.sum("n").alias("total"), *[F.sum(n).alias(f"total_{n}") for n in extra]
     )

@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["spc"]
+MODULES = ["tables", "spc", "quality"]
 
 
 def load():
