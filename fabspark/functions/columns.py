@@ -105,8 +105,8 @@ def micros(df: DataFrame, name: str) -> Column:
     if not isinstance(df.schema[name].dataType, T.TimestampNTZType):
         return F.unix_micros(c.cast("timestamp"))
     seconds = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
-    clock = F.hour(c) * F.lit(3_600_000_000) + F.minute(c) * F.lit(60_000_000) + seconds
-    return F.unix_date(c.cast("date")) * F.lit(86_400_000_000) + clock
+    whole = (F.unix_date(c.cast("date")).cast("long") * 24 + F.hour(c)) * 60 + F.minute(c)
+    return whole * 60_000_000 + seconds
 
 
 def hash_bucket(cols: Sequence[str], buckets: int, seed: int = 0) -> Column:

@@ -52,6 +52,8 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFr
     """
     keys = list(keys)
     cols = [c for c in stats.columns if c not in keys]
+    if not cols:
+        return df
     if not keys:
         row = stats.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")).scalar()
         return df.withColumn("_row", row).withColumns({c: F.col("_row")[c] for c in cols}).drop("_row")
