@@ -52,7 +52,7 @@ def normal_cdf(x: Column | str, mean: Column | float = 0.0, sd: Column | float =
 
 
 # Rational approximation of the normal quantile (P. J. Acklam),
-# refined below by one Halley step.
+# relative error below 1.2e-9.
 _Q_CENTRE_NUM = [-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239e0]
 _Q_CENTRE_DEN = [-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0]
 _Q_TAIL_NUM = [-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838e0, -2.549732539343734e0, 4.374664141464968e0, 2.938163982698783e0]
@@ -68,10 +68,7 @@ def normal_quantile(p: Column | str) -> Column:
     qh = F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - p))
     low = _horner(_Q_TAIL_NUM, ql) / _horner(_Q_TAIL_DEN, ql)
     high = -_horner(_Q_TAIL_NUM, qh) / _horner(_Q_TAIL_DEN, qh)
-    x = F.when(p < 0.02425, low).when(p > 1 - 0.02425, high).otherwise(centre)
-    e = normal_cdf(x) - p
-    u = e * F.lit(math.sqrt(2.0 * math.pi)) * F.exp(x * x / 2.0)
-    return x - u / (F.lit(1.0) + x * u / 2.0)
+    return F.when(p < 0.02425, low).when(p > 1 - 0.02425, high).otherwise(centre)
 
 
 def _lentz(a: float, b: float, x: float) -> float:

@@ -153,5 +153,7 @@ def partial_dependence(df: DataFrame, features: Sequence[str], vary: str, predic
     grid = wide_quantiles(df, [], [vary], probs, hot_rows)
     names = [f"{vary}_{quantile_name(p)}" for p in probs]
     rows = grid.select(F.posexplode(F.array(*names)).alias("point", vary))
-    means = df.agg(*[F.avg(f).alias(f) for f in features if f != vary])
-    return predict(attach_stats(rows, means, []))
+    others = [f for f in features if f != vary]
+    if others:
+        rows = attach_stats(rows, df.agg(*[F.avg(f).alias(f) for f in others]), [])
+    return predict(rows)

@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["tables", "spc", "quality", "windows", "outliers"]
+MODULES = ["tables", "spc", "quality", "windows", "outliers", "hypothesis"]
 
 
 def load():

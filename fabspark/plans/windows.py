@@ -208,8 +208,8 @@ def acf(spark, sf):
 
 @query(
     "stationarity_view",
-    f"""WITH {HOURLY} SELECT event_type, step, CASE WHEN pos >= 23 THEN {r('avg(total) OVER w', 4)} END AS total_mean_24,
-    CASE WHEN pos >= 23 THEN {r('stddev_samp(total) OVER w', 4)} END AS total_std_24 FROM hp WINDOW w AS (PARTITION BY event_type ORDER BY step ROWS 23 PRECEDING)""",
+    f"""WITH {HOURLY} SELECT event_type, step, CASE WHEN pos >= 23 THEN {r('avg(total) OVER w', 7)} END AS total_mean_24,
+    CASE WHEN pos >= 23 THEN {r('stddev_samp(total) OVER w', 7)} END AS total_std_24 FROM hp WINDOW w AS (PARTITION BY event_type ORDER BY step ROWS 23 PRECEDING)""",
 )
 def stationarity_view(spark, sf):
     out = windows.rolling_features(hourly(spark, sf), ["event_type"], ["step"], ["total"], [24], full=True, stats=("mean", "std"))
