@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["tables", "spc", "quality", "windows", "outliers", "hypothesis"]
+MODULES = ["tables", "spc", "quality", "windows", "outliers", "hypothesis", "metrics"]
 
 
 def load():
