@@ -25,12 +25,14 @@ def verify_checksums(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 QUESTION_SCHEMA = (
-    "module_id string, sub_module string, title string, week int, "
-    "questions array<struct<id:string,type:string,question:string,difficulty:string,points:int,options:array<string>,correct_answer:int>>"
+    "module_id string, sub_module string, title string, week string, "
+    "questions array<struct<id:string,type:string,question:string,difficulty:string,points:string,"
+    "options:array<string>,correct_answer:string,starter_code:string,test_cases:string,rubric:string>>"
 )
 # Allowed question types and difficulties.
-QUESTION_TYPES = ["multiple_choice", "coding_exercise", "conceptual", "calculation"]
+QUESTION_TYPES = ["multiple_choice", "coding_exercise", "conceptual"]
 DIFFICULTIES = ["easy", "medium", "hard"]
+QUESTION_FIELDS = ["id", "type", "question", "difficulty", "points"]
 
 
 def read_question_files(spark: SparkSession, path: str) -> DataFrame:
@@ -48,33 +50,44 @@ def validate_questions(files: DataFrame, types: list[str] = QUESTION_TYPES, diff
     def label(x):
         return F.coalesce(x["id"], F.lit("?"))
 
-    per = F.flatten(
-        F.transform(
-            q,
-            lambda x: F.array_compact(
-                F.array(
-                    F.when(x["id"].isNull(), F.lit("question without id")),
-                    F.when(x["question"].isNull(), F.concat(label(x), F.lit(": missing question"))),
-                    F.when(~F.coalesce(x["type"].isin(types), F.lit(False)), F.concat(label(x), F.lit(": invalid type"))),
-                    F.when(~F.coalesce(x["difficulty"].isin(difficulties), F.lit(False)), F.concat(label(x), F.lit(": invalid difficulty"))),
-                    F.when(
-                        (x["type"] == "multiple_choice")
-                        & ~F.coalesce((x["correct_answer"] >= 0) & (x["correct_answer"] < F.size(x["options"])), F.lit(False)),
-                        F.concat(label(x), F.lit(": correct_answer out of range")),
-                    ),
-                )
+    def problems(x):
+        """Missing fields end the checks of a question, as its other rules
+        would only repeat them."""
+        fields = [F.when(x[f].isNull(), F.concat(label(x), F.lit(f": missing field {f}"))) for f in QUESTION_FIELDS]
+        whole = F.lit(True)
+        for f in QUESTION_FIELDS:
+            whole = whole & x[f].isNotNull()
+        index = x["correct_answer"].try_cast("int")
+        rules = [
+            F.when(~x["type"].isin(types), F.concat(label(x), F.lit(": invalid type"))),
+            F.when(~x["difficulty"].isin(difficulties), F.concat(label(x), F.lit(": invalid difficulty"))),
+            F.when((x["type"] == "multiple_choice") & x["options"].isNull(), F.concat(label(x), F.lit(": missing options"))),
+            F.when((x["type"] == "multiple_choice") & x["correct_answer"].isNull(), F.concat(label(x), F.lit(": missing correct_answer"))),
+            F.when(
+                (x["type"] == "multiple_choice") & x["options"].isNotNull() & x["correct_answer"].isNotNull()
+                & ~F.coalesce(index < F.size(x["options"]), F.lit(False)),
+                F.concat(label(x), F.lit(": correct_answer out of range")),
             ),
+            F.when((x["type"] == "coding_exercise") & x["test_cases"].isNull(), F.concat(label(x), F.lit(": missing test_cases"))),
+        ]
+        return F.array_compact(F.array(*fields, *[F.when(whole, r) for r in rules]))
+
+    def remarks(x):
+        return F.array_compact(
+            F.array(
+                F.when((x["type"] == "coding_exercise") & x["starter_code"].isNull(), F.concat(label(x), F.lit(": missing starter_code"))),
+                F.when((x["type"] == "conceptual") & x["rubric"].isNull(), F.concat(label(x), F.lit(": missing rubric"))),
+            )
         )
-    )
+
+    per = F.flatten(F.transform(q, problems))
     ids = F.filter(F.transform(q, lambda x: x["id"]), lambda i: i.isNotNull())
-    double = F.array_distinct(F.filter(ids, lambda i: F.size(F.filter(ids, lambda j: j == i)) > 1))
-    duplicates = F.transform(double, lambda i: F.concat(F.lit("duplicate id: "), i))
-    warnings = F.array_compact(
-        F.array(
-            F.when(F.size(q) == 0, F.lit("no questions")),
-            F.when(F.exists(q, lambda x: x["points"].isNull()), F.lit("questions without points")),
-        )
-    )
+    # Sorted ids put equal ones side by side.
+    ordered = F.array_sort(ids)
+    again = F.filter(F.transform(ordered, lambda i, n: F.when((n > 0) & (F.get(ordered, n - 1) == i), i)), lambda i: i.isNotNull())
+    duplicates = F.transform(again, lambda i: F.concat(F.lit("duplicate id: "), i))
+    empty = F.array_compact(F.array(F.when(F.size(q) == 0, F.lit("no questions"))))
+    warnings = F.concat(empty, F.flatten(F.transform(q, remarks)))
     broken = F.array_compact(F.array(F.when(F.col("_corrupt_record").isNotNull(), F.lit("invalid JSON"))))
     out = files.select(
         "file",
