@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["tables", "spc", "quality", "windows", "outliers", "hypothesis", "metrics", "wafer", "text", "streams"]
+MODULES = ["tables", "spc", "quality", "windows", "outliers", "hypothesis", "metrics", "wafer", "text", "streams", "models"]
 
 
 def load():
