@@ -64,7 +64,8 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
     names = [f"c{i}" for i in range(d)]
     xs = [f"x{i}" for i in range(d)]
     # Equal rows are one weighted point.
-    pts = df.select(*[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)]).groupBy(*xs).agg(F.count(F.lit(1)).alias("w"))
+    pts = df.select(key, *[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)])
+    pts = pts.groupBy(*xs).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("low_key"))
     pts = pts.withColumn("pid", F.xxhash64(*xs)).withColumns({n: c for n, c in zip(names, _cell(xs, side))})
     pts = cut_lineage(pts)
     sizes = pts.groupBy(*names).agg(F.sum("w").alias("cell_w"))
@@ -122,18 +123,18 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
     edges = edges.union(cells.select(F.col("cell").alias("src"), F.col("cell").alias("dst")))
     comp = connected_components(edges).select(F.col("id").alias("cell"), F.col("component").alias("root"))
 
+    # A cluster is named after the smallest key of its core rows.
     with_root = cores.join(comp, "cell")
+    names_of = with_root.groupBy("root").agg(F.min("low_key").alias("cluster"))
+    named = with_root.join(names_of, "root")
     # Border rows: the clusters of core rows within eps; a row of a cell with a
     # core row is within eps of it.
     border = core.filter(~F.col("is_core"))
-    same = border.select("pid", "cell").join(comp, "cell").select("pid", "root")
+    same = border.select("pid", "cell").join(named.select("cell", "cluster").distinct(), "cell").select("pid", "cluster")
     q = border.select("pid", *names, *[F.col(x).alias(f"q_{x}") for x in xs])
-    o = with_root.select(*names, "root", *[F.col(x).alias(f"o_{x}") for x in xs])
-    reached = fan_out(q, ["pid", *[f"q_{x}" for x in xs]]).join(o, names).filter(close("q_", "o_")).select("pid", "root")
-    roots = with_root.select("pid", "root").union(same).union(reached).groupBy("pid").agg(F.min("root").alias("root"))
-    labelled = core.join(roots, "pid", "left").select(*xs, "is_core", "root")
-    # Clusters get the smallest key of their core rows as a stable name.
+    o = named.select(*names, "cluster", *[F.col(x).alias(f"o_{x}") for x in xs])
+    reached = fan_out(q, ["pid", *[f"q_{x}" for x in xs]]).join(o, names).filter(close("q_", "o_")).select("pid", "cluster")
+    found = named.select("pid", "cluster").union(same).union(reached).groupBy("pid").agg(F.min("cluster").alias("cluster"))
+    labelled = core.join(found, "pid", "left").select(*xs, "is_core", "cluster")
     rows = df.select(key, *[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)]).join(labelled, xs)
-    names_of = rows.filter("is_core").groupBy("root").agg(F.min(key).alias("cluster"))
-    out = rows.join(names_of, "root", "left")
-    return out.select(key, F.coalesce(F.col("cluster"), F.lit(-1)).alias("cluster"), "is_core")
+    return rows.select(key, F.coalesce(F.col("cluster"), F.lit(-1)).alias("cluster"), "is_core")

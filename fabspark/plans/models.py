@@ -130,17 +130,25 @@ DB_SQL = r"""p AS (SELECT doc_id, ln(n_chars + 1.0) AS a, len(string_split(text,
 
 @query(
     "dbscan",
-    f"WITH RECURSIVE {DB_SQL} SELECT i AS doc_id, cluster, true AS is_core FROM cl UNION ALL SELECT p.doc_id, -1, false FROM p WHERE doc_id NOT IN (SELECT i FROM k) AND NOT EXISTS (SELECT 1 FROM e JOIN k ON k.i = e.j WHERE e.i = p.doc_id)",
+    f"""WITH RECURSIVE {DB_SQL}, b AS (SELECT e.i, min(cl.cluster) AS cluster FROM e JOIN cl ON cl.i = e.j WHERE e.i NOT IN (SELECT i FROM k) GROUP BY e.i)
+    SELECT p.doc_id, coalesce(cl.cluster, b.cluster, -1) AS cluster, cl.i IS NOT NULL AS is_core FROM p LEFT JOIN cl ON cl.i = p.doc_id LEFT JOIN b ON b.i = p.doc_id""",
 )
 def dbscan(spark, sf):
-    out = clustering.dbscan(plane(spark, sf), "doc_id", ["a", "b"], 0.05, 8)
-    # Border rows may belong to several clusters; they are checked in the tests.
-    return out.filter(F.col("is_core") | (F.col("cluster") == -1))
+    return clustering.dbscan(plane(spark, sf), "doc_id", ["a", "b"], 0.05, 8)
 
 
-@query("lof")
+@query(
+    "lof",
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    d AS (SELECT a.vec_id AS q, b.vec_id AS n, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+    nb AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, n) <= 20), kd AS (SELECT q, max(d) AS kd FROM nb GROUP BY q),
+    lr AS (SELECT nb.q, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nb JOIN kd ON kd.q = nb.n GROUP BY nb.q),
+    f AS (SELECT nb.q AS vec_id, avg(o.lrd) / max(s.lrd) AS lof FROM nb JOIN lr o ON o.q = nb.n JOIN lr s ON s.q = nb.q GROUP BY nb.q)
+    SELECT vec_id, {r('lof', 7)} AS lof, lof > (SELECT quantile_cont(lof, 0.9) FROM f) AS lof_flag FROM f""",
+)
 def lof(spark, sf):
-    return neighbours.local_outlier_factor(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", k=20)
+    out = neighbours.local_outlier_factor(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", k=20)
+    return out.withColumn("lof", rounded("lof", 7))
 
 
 @query(
