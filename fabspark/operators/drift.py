@@ -22,25 +22,35 @@ def two_samples(df: DataFrame, current: Column, columns: Sequence[str], keys: Se
     return long.filter(F.col("value").isNotNull() & F.col("is_current").isNotNull())
 
 
+def sample_counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per distinct value: r reference rows, c current rows."""
+    return long.groupBy(*keys, "value").agg(
+        F.count_if(F.col("is_current") == 0).alias("r"), F.count_if(F.col("is_current") == 1).alias("c")
+    )
+
+
 def psi(long: DataFrame, keys: Sequence[str], bins: int = 10, clip: bool = False) -> DataFrame:
     """Population stability index on equal-width bins of the reference range.
 
     Current values outside the range stay in the denominator only, unless
     ``clip`` counts them in the outer bins.
     """
+    now = F.col("is_current").cast("long")
+    return psi_of_counts(long.withColumns({"r": 1 - now, "c": now}), keys, bins, clip)
+
+
+def psi_of_counts(rows: DataFrame, keys: Sequence[str], bins: int = 10, clip: bool = False) -> DataFrame:
+    """As ``psi`` for rows (keys, value, r, c) with counts per sample."""
     keys = list(keys)
-    ref = F.when(F.col("is_current") == 0, F.col("value"))
-    stats = long.groupBy(*keys).agg(
-        F.min(ref).alias("_lo"),
-        F.max(ref).alias("_hi"),
-        F.count(ref).alias("_n_ref"),
-        F.sum("is_current").alias("_n_cur"),
+    ref = F.when(F.col("r") > 0, F.col("value"))
+    stats = rows.groupBy(*keys).agg(
+        F.min(ref).alias("_lo"), F.max(ref).alias("_hi"), F.sum("r").alias("_n_ref"), F.sum("c").alias("_n_cur")
     )
     same = F.col("_lo") == F.col("_hi")
     stats = stats.withColumns(
         {"_a": F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")), "_b": F.when(same, F.col("_hi") + 0.5).otherwise(F.col("_hi"))}
     ).drop("_lo", "_hi")
-    rows = attach_stats(long, stats, keys)
+    rows = attach_stats(rows.select(*keys, "value", "r", "c"), stats, keys)
     a, b, v = F.col("_a"), F.col("_b"), F.col("value")
     width = (b - a) / bins
     guess = F.least(F.floor((v - a) / width), F.lit(bins - 1))
@@ -48,9 +58,7 @@ def psi(long: DataFrame, keys: Sequence[str], bins: int = 10, clip: bool = False
     guess = F.when(v < a + guess * width, guess - 1).when((guess < bins - 1) & (v >= a + (guess + 1) * width), guess + 1).otherwise(guess)
     inside = (v >= a) & (v <= b)
     bin_no = F.greatest(F.lit(0), F.least(F.lit(bins - 1), guess)) if clip else F.when(inside, guess)
-    hist = rows.withColumn("bin", bin_no).filter(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(
-        F.count_if(F.col("is_current") == 0).alias("r"), F.count_if(F.col("is_current") == 1).alias("c")
-    )
+    hist = rows.withColumn("bin", bin_no).filter(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     # All bins of each key, also those empty on both sides.
     every = stats.select(*keys, "_n_ref", "_n_cur", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     full = every.join(hist, [*keys, "bin"], "left").na.fill(0, subset=["r", "c"])
@@ -63,13 +71,11 @@ def psi(long: DataFrame, keys: Sequence[str], bins: int = 10, clip: bool = False
     return full.groupBy(*keys).agg(F.sum((q - p) * F.ln(q / p)).alias("psi"))
 
 
-def ks_and_wasserstein(long: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def ks_and_wasserstein(long: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Two-sample KS statistic, its asymptotic p and the Wasserstein-1
     distance, all from one table of distinct values with running counts."""
     keys = list(keys)
-    counts = long.groupBy(*keys, "value").agg(
-        F.count_if(F.col("is_current") == 0).alias("r"), F.count_if(F.col("is_current") == 1).alias("c")
-    )
+    counts = sample_counts(long, keys) if counts is None else counts
     seq = Ordered(counts, keys, ["value"], hot_rows=hot_rows, bound=long)
     seq = seq.running({"_fr": ("sum", F.col("r")), "_fc": ("sum", F.col("c"))})
 
@@ -94,7 +100,9 @@ def drift_report(df: DataFrame, current: Column, columns: Sequence[str], bins: i
     """Per column PSI, KS and Wasserstein with alert flags, and whether any
     column alerts."""
     long = two_samples(df, current, columns)
-    out = attach_stats(ks_and_wasserstein(long, ["column"], hot_rows), psi(long, ["column"], bins), ["column"])
+    # Both measures read the same table of distinct values: one scan, one shuffle.
+    counts = sample_counts(long, ["column"])
+    out = attach_stats(ks_and_wasserstein(long, ["column"], hot_rows, counts), psi_of_counts(counts, ["column"], bins), ["column"])
     out = out.withColumns(
         {
             "psi_alert": F.col("psi") > PSI_ALERT,

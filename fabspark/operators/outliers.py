@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ladder
+from ..session import spread
 from .ordered import HOT_ROWS
 from .ranks import attach_stats, quantile_name, quantiles, wide_quantiles
 
@@ -284,7 +285,8 @@ class IsolationForest:
                 total += path[at]
             return pd.Series(np.power(2.0, -total / len(shared.value) / scale))
 
-        scored = df.withColumn(f"{self.name}_score", score(*[F.col(c).cast("double") for c in self.columns]))
+        # The scores are read twice, for the cut and for the flags: keep them.
+        scored = spread(df).withColumn(f"{self.name}_score", score(*[F.col(c).cast("double") for c in self.columns])).persist()
         cut = quantiles(scored, [], f"{self.name}_score", [1 - self.contamination], self.hot_rows)
         cut = cut.select(F.col(quantile_name(1 - self.contamination)).alias("_cut"))
         out = attach_stats(scored, cut, [])

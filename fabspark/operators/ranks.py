@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .ordered import HOT_ROWS, Ordered
 
 
@@ -67,7 +68,7 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFr
 
 def stacked(df: DataFrame, keys: Sequence[str], columns: Sequence[str], value: str = "value") -> DataFrame:
     """Long form (keys, column, value) of several numeric columns."""
-    typed = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    typed = spread(df).select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
     return typed.unpivot(list(keys), list(columns), "column", value)
 
 

@@ -78,27 +78,28 @@ def run_rules(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    value: str,
-    center: str,
-    ucl: str,
-    lcl: str,
+    charts: dict[str, tuple[str, str, str, str]],
     hot_rows: int = HOT_ROWS,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds boolean rule_1 .. rule_6; the limits are columns of the rows."""
-    v, c, u, low = F.col(value), F.col(center), F.col(ucl), F.col(lcl)
-    seq = Ordered(df, keys, order, hot_rows=hot_rows)
+    """Adds the boolean columns <chart>_rule_1 .. <chart>_rule_6 for each chart
+    (value, centre, upper, lower column); all charts share one window pass.
+    ``bound``: see :class:`Ordered`."""
+    seq = Ordered(df, keys, order, hot_rows=hot_rows, bound=bound)
+    pos = F.col(POS)
+
+    def rules(d: DataFrame, w, chart: str, value: str, center: str, ucl: str, lcl: str) -> DataFrame:
+        v, c, u, low = F.col(value), F.col(center), F.col(ucl), F.col(lcl)
 
-    def build(d: DataFrame, w) -> DataFrame:
         def back(n: int):
             return w.rowsBetween(-n, 0)
 
         def all_of(flag: Column, n: int) -> Column:
             return F.min(flag.cast("int")).over(back(n - 1)) == 1
 
-        diff = v - F.lag(v).over(w)
         d = d.withColumns(
             {
-                "_d": diff,
+                "_d": v - F.lag(v).over(w),
                 "_a": (v > c + 2 * (u - c) / 3) | (v < c - 2 * (c - low) / 3),
                 "_b": (v > c + (u - c) / 3) | (v < c - (c - low) / 3),
             }
@@ -108,44 +109,47 @@ def run_rules(
         swings = F.max("_swing").over(back(11)) < 0
         zone_a = F.sum(F.col("_a").cast("int")).over(back(2)) >= 2
         zone_b = F.sum(F.col("_b").cast("int")).over(back(4)) >= 4
-        pos = F.col(POS)
-        return d.withColumns(
-            {
-                "rule_1": (v > u) | (v < low),
-                "rule_2": (pos >= 8) & one_side,
-                "rule_3": (pos >= 5) & trend,
-                "rule_4": (pos >= 13) & swings,
-                "rule_5": (pos >= 2) & zone_a,
-                "rule_6": (pos >= 4) & zone_b,
-            }
-        ).drop("_d", "_a", "_b", "_swing")
+        found = [(v > u) | (v < low), (pos >= 8) & one_side, (pos >= 5) & trend, (pos >= 13) & swings, (pos >= 2) & zone_a, (pos >= 4) & zone_b]
+        return d.withColumns({f"{chart}_rule_{i}": f for i, f in enumerate(found, start=1)}).drop("_d", "_a", "_b", "_swing")
+
+    def build(d: DataFrame, w) -> DataFrame:
+        for chart, cols in charts.items():
+            d = rules(d, w, chart, *cols)
+        return d
 
     return seq.windowed(LONGEST_RULE, 0, build).result().drop(POS)
 
 
-def signal_list(df: DataFrame) -> DataFrame:
-    """One row per fired rule, from rule_1 .. rule_6."""
-    fired = F.array_compact(F.array(*[F.when(F.col(f"rule_{i}"), F.lit(i)) for i in RULE_TEXT]))
-    rows = df.withColumn("rule", F.explode(fired)).drop(*[f"rule_{i}" for i in RULE_TEXT])
-    text = F.element_at(F.create_map(*[F.lit(x) for kv in RULE_TEXT.items() for x in kv]), F.col("rule"))
-    return rows.withColumn("signal", text)
+def signal_list(df: DataFrame, charts: dict[str, tuple[str, str, str, str]]) -> DataFrame:
+    """One row (chart, value, rule, signal) per fired rule."""
+    items = [
+        F.when(F.col(f"{chart}_rule_{i}"), F.struct(F.lit(chart).alias("chart"), F.col(cols[0]).cast("double").alias("value"), F.lit(i).alias("rule"), F.lit(text).alias("signal")))
+        for chart, cols in charts.items()
+        for i, text in RULE_TEXT.items()
+    ]
+    drop = [f"{chart}_rule_{i}" for chart in charts for i in RULE_TEXT]
+    rows = df.withColumn("_s", F.explode(F.array_compact(F.array(*items)))).drop(*drop)
+    return rows.select(*[c for c in rows.columns if c != "_s"], "_s.*")
+
+
+XBAR_R = {
+    "xbar": ("xbar", "xbar_center", "xbar_ucl", "xbar_lcl"),
+    "r": ("range", "r_center", "r_ucl", "r_lcl"),
+}
 
 
 def phase_signals(
-    subgroups: DataFrame, keys: Sequence[str], size: int, phase1: Column, hot_rows: int = HOT_ROWS
+    subgroups: DataFrame, keys: Sequence[str], size: int, phase1: Column, hot_rows: int = HOT_ROWS, bound: DataFrame | None = None
 ) -> DataFrame:
     """Limits from phase I subgroups applied to phase II: fired rules of the
-    X-bar and the R chart."""
+    X-bar and the R chart. ``bound`` may be the measurements, which are at
+    least as many per key as their subgroups."""
+    # Both phases read the subgroups; they are far fewer than the rows.
+    subgroups = subgroups.persist()
     limits = control_limits(subgroups.filter(phase1), keys, size)
     rows = attach_stats(subgroups.filter(~phase1), limits, keys)
-    charts = []
-    for chart, value in (("xbar", "xbar"), ("r", "range")):
-        rules = run_rules(
-            rows, keys, ["subgroup"], value, f"{chart}_center", f"{chart}_ucl", f"{chart}_lcl", hot_rows
-        )
-        found = signal_list(rules)
-        charts.append(found.select(*keys, "subgroup", F.lit(chart).alias("chart"), F.col(value).alias("value"), "rule", "signal"))
-    return charts[0].unionByName(charts[1])
+    found = signal_list(run_rules(rows, keys, ["subgroup"], XBAR_R, hot_rows, bound), XBAR_R)
+    return found.select(*keys, "subgroup", "chart", "value", "rule", "signal")
 
 
 def stability(subgroups: DataFrame, signals: DataFrame, keys: Sequence[str], phase1: Column) -> DataFrame:

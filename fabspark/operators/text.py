@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio_or
+from ..session import spread
 from .joins import word_overlap
 from .ranks import attach_stats, stacked
 
@@ -137,9 +138,9 @@ def text_stats(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def with_terms(df: DataFrame, text: str, name: str = "term", ngrams: int = 1, stop_words: Sequence[str] = ()) -> DataFrame:
-    """One row per term: lower-case words of two or more characters without
-    stop words, and their runs of up to ``ngrams`` words."""
+def term_lists(df: DataFrame, text: str, ngrams: int = 1, stop_words: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Adds one array column per gram size: lower-case words of two or more
+    characters without stop words, and their runs of up to ``ngrams`` words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
@@ -149,15 +150,26 @@ def with_terms(df: DataFrame, text: str, name: str = "term", ngrams: int = 1, st
         rest = F.slice(F.col("_g1"), n, F.greatest(F.size("_g1"), F.lit(1)))
         pairs = F.zip_with(F.col(f"_g{n - 1}"), rest, lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
         out = out.withColumn(f"_g{n}", F.array_compact(pairs))
-    grams = [f"_g{n}" for n in range(1, ngrams + 1)]
+    return out, [f"_g{n}" for n in range(1, ngrams + 1)]
+
+
+def with_terms(df: DataFrame, text: str, name: str = "term", ngrams: int = 1, stop_words: Sequence[str] = ()) -> DataFrame:
+    """One row per term of the text."""
+    out, grams = term_lists(df, text, ngrams, stop_words)
     return out.withColumn(name, F.explode(F.concat(*grams))).drop(*grams)
 
 
-def inverse_frequencies(df: DataFrame, key: str, text: str, max_terms: int = 1000, ngrams: int = 1, stop_words: Sequence[str] = ()) -> DataFrame:
+def inverse_frequencies(df: DataFrame, text: str, max_terms: int = 1000, ngrams: int = 1, stop_words: Sequence[str] = ()) -> DataFrame:
     """The most frequent terms with ln((1 + n) / (1 + df)) + 1."""
-    rows = with_terms(df.select(key, text), text, "term", ngrams, stop_words)
-    per_doc = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = per_doc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    # The first occurrence of a term in a text also counts the text, so the
+    # shuffle carries one row per term and partition, none per text.
+    grams, steps = term_lists(df.select(text), text, ngrams, stop_words)
+    every = F.concat(*steps)
+    marks = F.concat(
+        F.transform(every, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct(every), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+    )
+    counts = grams.select(F.inline(marks)).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
     top = counts.orderBy(F.desc("total"), "term").limit(max_terms)
     docs = df.agg(F.count(F.lit(1)).alias("_n"))
     out = attach_stats(top, docs, [])
@@ -178,7 +190,8 @@ def extractive_summary(
     """The best sentences by summed, length-normalised TF-IDF, in their order.
     Texts with at most ``take`` sentences stay whole. The term table has at
     most ``max_terms`` rows, so it is broadcast."""
-    idf = inverse_frequencies(df, key, text, max_terms, ngrams, stop_words)
+    df = spread(df.select(key, text))
+    idf = inverse_frequencies(df, text, max_terms, ngrams, stop_words)
     sent = sentences(df, key, text)
     found = with_terms(sent, "sentence", "term", ngrams, stop_words)
     tf = found.join(F.broadcast(idf), "term").groupBy(key, "pos", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))

@@ -82,7 +82,7 @@ SIGNALS_SQL = f"""{SUBGROUPS_SQL}, lims AS ({LIMITS_SQL} FROM subs WHERE subgrou
 )
 def spc_signals(spark, sf):
     subs = subgroups(spark, sf)
-    out = spc.phase_signals(subs, ["l_suppkey"], SIZE, F.col("subgroup") < PHASE1_ROWS)
+    out = spc.phase_signals(subs, ["l_suppkey"], SIZE, F.col("subgroup") < PHASE1_ROWS, bound=lineitem(spark, sf))
     return out.withColumn("value", rounded("value")).drop("signal")
 
 
@@ -99,7 +99,7 @@ def spc_signals(spark, sf):
 def spc_stability(spark, sf):
     subs = subgroups(spark, sf)
     phase1 = F.col("subgroup") < PHASE1_ROWS
-    signals = spc.phase_signals(subs, ["l_suppkey"], SIZE, phase1)
+    signals = spc.phase_signals(subs, ["l_suppkey"], SIZE, phase1, bound=lineitem(spark, sf))
     return spc.stability(subs, signals, ["l_suppkey"], phase1)
 
 

@@ -58,3 +58,10 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def one_row(df: DataFrame):
     """Scalar subquery returning the single row of ``df`` as a struct column."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).scalar()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads a table with fewer input splits than cores (a few files) before
+    costly work per row; a table with enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
