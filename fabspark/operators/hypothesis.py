@@ -255,9 +255,16 @@ def pairwise_groups(df: DataFrame, factor: str, value: str) -> DataFrame:
     pool = groups.agg(
         F.count(F.lit(1)).alias("_k"), (F.sum("n") - F.count(F.lit(1))).alias("_dof"), F.sum((F.col("n") - 1) * F.col("var")).alias("_ssw")
     )
-    a = groups.select(F.col(factor).alias("group1"), F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("var").alias("v1"), F.lit(1).alias("_j"))
-    b = groups.select(F.col(factor).alias("group2"), F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("var").alias("v2"), F.lit(1).alias("_j"))
-    pairs = attach_stats(a.join(b, "_j").filter(F.col("group1") < F.col("group2")), pool, [])
+    # One row holds the statistics of all levels; later levels pair with each.
+    one = F.struct(F.col(factor).alias("g"), "n", "mean", "var")
+    listed = groups.agg(F.array_sort(F.collect_list(one)).alias("all"))
+    left = listed.select("all", F.posexplode("all").alias("i", "a"))
+    both = left.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
+    pairs = both.select(
+        F.col("a.g").alias("group1"), F.col("a.n").alias("n1"), F.col("a.mean").alias("m1"), F.col("a.var").alias("v1"),
+        F.col("b.g").alias("group2"), F.col("b.n").alias("n2"), F.col("b.mean").alias("m2"), F.col("b.var").alias("v2"),
+    )
+    pairs = attach_stats(pairs, pool, [])
     diff = F.col("m2") - F.col("m1")
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
     inv_n = 1 / F.col("n1") + 1 / F.col("n2")

@@ -449,3 +449,21 @@ def word_overlap(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = c.withColumn("prev", F.lag("text").over(w)).filter(F.col("prev").isNotNull())
     return t.select("conv_id", "turn", rounded(joins.word_overlap(F.col("prev"), F.col("text"))).alias("overlap"))
+
+
+@query(
+    "parsed_records",
+    r"""SELECT event_id, CAST(regexp_extract(props, '"k": *(-?\d+)', 1) AS INTEGER) AS k FROM events""",
+)
+def parsed_records(spark, sf):
+    from ..sources.readers import parse_json_records
+
+    return parse_json_records(table(spark, sf, "events").select("event_id", "props"), "props", "k int").select("event_id", "k")
+
+
+@query("table_checksums")
+def table_checksums(spark, sf):
+    """Length and sha256 of the table files."""
+    from ..sources.checks import file_checksums
+
+    return file_checksums(spark, str(sf), "*.parquet")

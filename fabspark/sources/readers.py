@@ -87,7 +87,7 @@ def recode_labels(df: DataFrame, label: str) -> DataFrame:
 def read_wafer_grid(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Text grids of 0 and 1, one file per wafer, to a map table: (wafer,
     values, height, width). A file is one bounded map, so it is read whole."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("wafer"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("wafer"), "value")
     pattern = r"\s+" if sep.strip() == "" else rf"\s*{sep}\s*"
     rows = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
     cells = F.transform(rows, lambda line: F.split(F.trim(line), pattern))

@@ -69,15 +69,17 @@ def drain_batches(df: DataFrame, name: str, handle: Callable[[DataFrame, int, st
     return f"{base}/out"
 
 
-def replay(df: DataFrame, order: str, slices: int, name: str = "replay") -> str:
+def replay(df: DataFrame, order: str, slices: int, name: str = "replay", file_rows: int = 5_000_000) -> str:
     """Writes a table as a folder of time-ordered files, so a file stream sees
-    it as successive micro-batches. Cuts are approximate quantiles."""
+    it as successive micro-batches. Cuts are approximate quantiles; there are
+    enough slices for a file to hold about ``file_rows`` rows at most."""
     spark = df.sparkSession
     base = stream_folder(spark, name)
     probe = df.withColumn("_o", F.unix_micros(F.col(order).cast("timestamp")).cast("double"))
-    cuts = probe.approxQuantile("_o", [i / slices for i in range(1, slices)], 0.001)
+    slices = max(slices, -(-probe.count() // file_rows))
+    cuts = probe.approxQuantile("_o", [i / slices for i in range(1, slices)], min(0.001, 0.1 / slices))
     edges = [float("-inf"), *cuts, float("inf")]
     for low, high in zip(edges, edges[1:]):
         part = probe.filter((F.col("_o") >= low) & (F.col("_o") < high)).drop("_o")
-        part.write.mode("append").parquet(base)
+        part.coalesce(1).write.mode("append").parquet(base)
     return base
