@@ -221,7 +221,7 @@ def stationarity_view(spark, sf):
     "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5 AS is_test FROM events",
 )
 def holdout_tail(spark, sf):
-    return series.holdout_tail(events(spark, sf), KEY, ORDER, 7).select("event_id", "is_test")
+    return series.holdout_tail(events(spark, sf), KEY, ORDER, 5).select("event_id", "is_test")
 
 
 @query("ar_forecast")
