@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..functions.distributions import t_inverse, t_two_sided_p
 from .ordered import HOT_ROWS
 from .ranks import attach_stats, distribution, quantiles, value_counts
 
+WIDE_COLUMNS = 40
+
 
 def basic_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(
@@ -147,7 +151,10 @@ def label_pairs(df: DataFrame, labels: Sequence[str], top: int = 5) -> DataFrame
 
 
 def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every column pair, pairwise complete."""
+    """Pearson correlation of every column pair, pairwise complete. Above
+    ``WIDE_COLUMNS`` columns the pairs no longer fit one aggregate."""
+    if len(columns) > WIDE_COLUMNS and not keys:
+        return wide_correlations(df, columns)
     pairs = [
         F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), F.corr(a, b).alias("correlation"))
         for a, b in combinations(columns, 2)
@@ -155,6 +162,42 @@ def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
     return df.groupBy(*keys).agg(F.array(*pairs).alias("p")).select(*keys, F.inline("p"))
 
 
+def wide_correlations(df: DataFrame, columns: Sequence[str], fan_in: int = 32) -> DataFrame:
+    """As ``correlations`` for hundreds of columns: every task adds up the
+    products of its rows, d x d sums are merged ``fan_in`` at a time, and one
+    set of sums reaches the driver. Values are centred first."""
+    cols, d = list(columns), len(columns)
+    typed = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    row = typed.agg(*[F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)).alias(c) for c in cols]).first()
+    centre = np.array([row[c] for c in cols])
+
+    def products(batches):
+        total = np.zeros((4, d, d))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float) - centre
+            have = np.isfinite(x).astype(float)
+            x = np.where(have > 0, x, 0.0)
+            total += np.stack([x.T @ x, have.T @ have, x.T @ have, (x * x).T @ have])
+        part = TaskContext.get().partitionId()
+        yield pd.DataFrame({"g": [part], "sums": [total.tobytes()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(b) for b in pdf["sums"])
+        return pd.DataFrame({"g": [int(pdf["g"].iloc[0]) // fan_in], "sums": [total.tobytes()]})
+
+    parts = typed.rdd.getNumPartitions()
+    sums = typed.mapInPandas(products, "g int, sums binary")
+    while parts > 1:
+        sums = sums.groupBy(F.floor(F.col("g") / fan_in).alias("_up")).applyInPandas(merge, "g int, sums binary")
+        parts = -(-parts // fan_in)
+    xx, n, s, q = np.frombuffer(bytes(sums.first()["sums"])).reshape(4, d, d)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = xx - s * s.T / n
+        corr = cov / np.sqrt((q - s * s / n) * (q.T - s.T * s.T / n))
+    rows = [(cols[i], cols[j], float(corr[i, j]) if np.isfinite(corr[i, j]) else None) for i in range(d) for j in range(i + 1, d)]
+    return df.sparkSession.createDataFrame(rows, "column1 string, column2 string, correlation double")
+
+
 def spearman(df: DataFrame, a: str, b: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rank correlation. Works on one row per distinct value pair with its
     count, so ties are cheap and no row-level rank join is needed."""

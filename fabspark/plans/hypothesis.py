@@ -236,9 +236,22 @@ def anderson_darling(spark, sf):
     return h.anderson_darling(li(spark, sf), "l_quantity").select("n", rounded("a2", 4).alias("a2"))
 
 
-@query("dagostino")
+@query(
+    "dagostino",
+    f"""WITH m AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(value) AS mu FROM events),
+    c AS (SELECT max(n) AS n, avg(pow(value - mu, 3)) / pow(avg(pow(value - mu, 2)), 1.5) AS g, avg(pow(value - mu, 4)) / pow(avg(pow(value - mu, 2)), 2) AS b2 FROM events, m),
+    a AS (SELECT *, g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta FROM c),
+    w AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2 FROM a),
+    z AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1,
+      (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+      6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb FROM w),
+    k AS (SELECT *, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / (sb * sb))) AS aa FROM z),
+    f AS (SELECT n, z1, (1 - 2 / (9 * aa) - cbrt((1 - 2 / aa) / (1 + x * sqrt(2 / (aa - 4))))) / sqrt(2 / (9 * aa)) AS z2 FROM k)
+    SELECT CAST(n AS BIGINT) AS n, {r('z1')} AS z_skew, {r('z2')} AS z_kurtosis, {r('z1 * z1 + z2 * z2', 4)} AS k2 FROM f""",
+)
 def dagostino(spark, sf):
-    return h.dagostino(table(spark, sf, "events"), "value")
+    out = h.dagostino(table(spark, sf, "events"), "value")
+    return out.select("n", rounded("z_skew").alias("z_skew"), rounded("z_kurtosis").alias("z_kurtosis"), rounded("k2", 4).alias("k2"))
 
 
 @query(
@@ -255,9 +268,16 @@ def fit_rank_aic(spark, sf):
     return out.select("distribution", *[rounded(c, 3).alias(c) for c in ("log_likelihood", "aic", "bic")])
 
 
-@query("fit_ks")
+@query(
+    "fit_ks",
+    f"""WITH s AS (SELECT count(*) AS n, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS sd, min(l_extendedprice) AS lo, avg(ln(l_extendedprice)) AS lm, stddev_pop(ln(l_extendedprice)) AS ls FROM lineitem),
+    c AS (SELECT l_extendedprice AS x, count(*) AS k FROM lineitem GROUP BY 1), u AS (SELECT x, k, sum(k) OVER (ORDER BY x) AS up FROM c),
+    d AS (SELECT up / n AS hi, (up - k) / n AS lo_share, {phi_sql('(x - m) / sd')} AS f1, {phi_sql('(ln(x) - lm) / ls')} AS f2, 1 - exp(-(x - lo) / (m - lo)) AS f3 FROM u, s)
+    SELECT 'normal' AS distribution, {r('max(greatest(hi - f1, f1 - lo_share))')} AS ks_stat FROM d UNION ALL SELECT 'lognormal', {r('max(greatest(hi - f2, f2 - lo_share))')} FROM d
+    UNION ALL SELECT 'exponential', {r('max(greatest(hi - f3, f3 - lo_share))')} FROM d""",
+)
 def fit_ks(spark, sf):
-    return h.fit_distributions(li(spark, sf), "l_extendedprice").select("distribution", "ks_stat")
+    return h.fit_distributions(li(spark, sf), "l_extendedprice").select("distribution", rounded("ks_stat").alias("ks_stat"))
 
 
 @query("qq_linearity")

@@ -102,10 +102,17 @@ def unfitted_recipes(spark, sf):
     return o.unfitted_groups(rows, "l_suppkey", recipe_detector().fit(rows))
 
 
-@query("recipe_mahalanobis")
+@query(
+    "recipe_mahalanobis",
+    f"""WITH s AS (SELECT l_suppkey, avg(l_quantity) AS m1, avg(l_extendedprice) AS m2, var_samp(l_quantity) AS v1, var_samp(l_extendedprice) AS v2,
+      covar_samp(l_quantity, l_extendedprice) AS c FROM lineitem GROUP BY l_suppkey),
+    d AS (SELECT l_suppkey, sqrt((pow(l_quantity - m1, 2) * v2 - 2 * c * (l_quantity - m1) * (l_extendedprice - m2) + pow(l_extendedprice - m2, 2) * v1) / (v1 * v2 - c * c)) AS dist FROM lineitem JOIN s USING (l_suppkey)),
+    q AS (SELECT l_suppkey, quantile_cont(dist, 0.95) AS cut FROM d GROUP BY l_suppkey)
+    SELECT l_suppkey, count(*) FILTER (dist > cut) AS n_outliers, count(*) AS n_samples, {r('count(*) FILTER (dist > cut) / count(*) * 100')} AS outlier_percentage FROM d JOIN q USING (l_suppkey) GROUP BY l_suppkey""",
+)
 def recipe_mahalanobis(spark, sf):
     out = _run(o.Mahalanobis(COLS, ["l_suppkey"]), measures(spark, sf))
-    return o.group_breakdown(out, ["l_suppkey"], "mahalanobis_flag")
+    return o.group_breakdown(out, ["l_suppkey"], "mahalanobis_flag").withColumn("outlier_percentage", rounded("outlier_percentage"))
 
 
 FLAGS_SQL = f"""{MZ_SQL}, fl AS (SELECT mz.*, coalesce(abs(mz.l_quantity - avg(mz.l_quantity) OVER ()) / stddev_samp(mz.l_quantity) OVER () > 1.6, false)

@@ -325,16 +325,39 @@ def box_iou(spark, sf):
     return out.select("vec_id", "pred_det", "true_det", rounded("iou").alias("iou"))
 
 
-@query("detection_matches")
+_STEP = """m{k} AS (SELECT ou.vec_id, {k} AS pj, arg_max(tj, (ou.iou, -tj)) AS tj FROM ou {joins} WHERE pj = {k} {free} GROUP BY ou.vec_id HAVING max(ou.iou) >= 0.5)"""
+MATCH = f"""{BOX}, ou AS (SELECT vec_id, pj, tj, i / (a - i) AS iou FROM ov WHERE i > 0),
+  {_STEP.format(k=0, joins='', free='')},
+  {_STEP.format(k=1, joins='LEFT JOIN (SELECT vec_id, tj AS t0 FROM m0) p0 USING (vec_id)', free='AND (t0 IS NULL OR tj <> t0)')},
+  {_STEP.format(k=2, joins='LEFT JOIN (SELECT vec_id, tj AS t0 FROM m0) p0 USING (vec_id) LEFT JOIN (SELECT vec_id, tj AS t1 FROM m1) p1 USING (vec_id)', free='AND (t0 IS NULL OR tj <> t0) AND (t1 IS NULL OR tj <> t1)')},
+  hit AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2),
+  mt AS (SELECT bx.vec_id, bx.j AS det, 1.0 - m / 10.0 - j / 100.0 AS confidence, CAST(hit.tj IS NOT NULL AS INT) AS is_tp, 0 AS missed FROM bx LEFT JOIN hit ON hit.vec_id = bx.vec_id AND hit.pj = bx.j
+    UNION ALL SELECT bx.vec_id, bx.j, NULL, 0, 1 FROM bx WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.vec_id = bx.vec_id AND hit.tj = bx.j))"""
+
+
+@query(
+    "detection_matches",
+    f"WITH {MATCH} SELECT vec_id, CAST(det AS BIGINT) AS det, {r('CAST(confidence AS DOUBLE)')} AS confidence, is_tp, missed FROM mt",
+)
 def detection_matches(spark, sf):
     pred, truth = boxes(spark, sf)
-    return images.match_detections(pred, truth, "vec_id", cell=16)
+    return images.match_detections(pred, truth, "vec_id", cell=16).withColumn("confidence", rounded("confidence"))
 
 
-@query("detection_metrics")
+@query(
+    "detection_metrics",
+    f"""WITH {MATCH}, c AS (SELECT CAST(sum(is_tp) AS BIGINT) AS tp, count(*) FILTER (missed = 0 AND is_tp = 0) AS fp, CAST(sum(missed) AS BIGINT) AS fn FROM mt),
+    g AS (SELECT round(confidence, 9) AS s, sum(is_tp) AS pos, count(*) AS n FROM mt WHERE missed = 0 GROUP BY 1),
+    k AS (SELECT pos, sum(pos) OVER w AS t, sum(n) OVER w AS q, sum(pos) OVER () AS np FROM g WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
+    SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, {r('tp / (tp + fp)')} AS precision, {r('tp / (tp + fn)')} AS recall, {r('2 * tp / (2 * tp + fp + fn)')} AS f1_score,
+      {r('tp / (tp + fp + fn) * 100')} AS pws_percent, {r('fp * 100.0 + fn * 1000.0')} AS estimated_loss_usd, (SELECT {r('sum(pos * t / q) / max(np)')} FROM k) AS map_50 FROM c""",
+)
 def detection_metrics(spark, sf):
     pred, truth = boxes(spark, sf)
-    return images.detection_metrics(images.match_detections(pred, truth, "vec_id", cell=16))
+    pred = pred.withColumn("confidence", F.round("confidence", 9))
+    out = images.detection_metrics(images.match_detections(pred, truth, "vec_id", cell=16))
+    names = ["precision", "recall", "f1_score", "pws_percent", "estimated_loss_usd", "map_50"]
+    return out.withColumns({c: rounded(c) for c in names})
 
 
 PIX = f"""{DIES_SQL}, n AS (SELECT d.vec_id, d."row", d.col, d.x, dr, dc, q.x AS v FROM dies d CROSS JOIN (SELECT unnest(range(-2, 3)) AS dr) CROSS JOIN (SELECT unnest(range(-2, 3)) AS dc)
