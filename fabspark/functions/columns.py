@@ -41,6 +41,13 @@ def ratio_or(a: Column, b: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(default))
 
 
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Correlation of complete pairs; NULL where a side is constant."""
+    a, b = as_col(a), as_col(b)
+    sd = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), sd)
+
+
 def clip(c: Column | str, low: float, high: float) -> Column:
     return F.least(F.greatest(as_col(c), F.lit(low)), F.lit(high))
 

@@ -130,6 +130,8 @@ def gamma_upper(a: float, x: float) -> float:
 
 
 def t_upper(t: float, df: float) -> float:
+    if df <= 0:
+        return math.nan
     tail = 0.5 * beta_inc(df / 2.0, 0.5, df / (df + t * t))
     return tail if t >= 0 else 1.0 - tail
 

@@ -69,7 +69,7 @@ def capability(df: DataFrame, keys: Sequence[str], value: str, specs: Specs) ->
 
 def cpk_standard_error(cpk: Column | str, n: Column | str) -> Column:
     c, k = as_col(cpk), as_col(n)
-    return c * F.sqrt(1 / (9 * k * c * c) + 1 / (2 * (k - 1)))
+    return c * F.sqrt(F.try_divide(F.lit(1.0), 9 * k * c * c) + F.try_divide(F.lit(1.0), 2.0 * (k - 1)))
 
 
 def cpk_interval(df: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -110,10 +110,10 @@ def observed_yield(df: DataFrame, keys: Sequence[str], value: str, specs: Specs)
     return out.withColumns(
         {
             "failing_units": n - F.col("passing_units"),
-            "yield_percent": F.col("passing_units") / n * 100,
-            "defect_rate_ppm": (n - F.col("passing_units")) / n * 1e6,
-            "below_lsl_rate": F.col("below_lsl_count") / n * 100,
-            "above_usl_rate": F.col("above_usl_count") / n * 100,
+            "yield_percent": F.try_divide(F.col("passing_units"), n) * 100,
+            "defect_rate_ppm": F.try_divide(n - F.col("passing_units"), n) * 1e6,
+            "below_lsl_rate": F.try_divide(F.col("below_lsl_count"), n) * 100,
+            "above_usl_rate": F.try_divide(F.col("above_usl_count"), n) * 100,
         }
     )
 
@@ -121,6 +121,7 @@ def observed_yield(df: DataFrame, keys: Sequence[str], value: str, specs: Specs)
 def wilson_interval(passing: Column | str, total: Column | str, z: float = Z_95) -> dict[str, Column]:
     """Wilson score interval of a pass proportion, in percent."""
     n = as_col(total).cast("double")
+    n = F.when(n > 0, n)
     p = as_col(passing) / n
     z2 = z * z
     denom = 1 + F.lit(z2) / n

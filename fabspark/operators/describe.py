@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio_or
+from ..functions.columns import pearson, ratio_or
 from ..functions.distributions import t_inverse, t_two_sided_p
 from .ordered import HOT_ROWS
 from .ranks import attach_stats, distribution, quantiles, value_counts
@@ -156,7 +156,7 @@ def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
     if len(columns) > WIDE_COLUMNS and not keys:
         return wide_correlations(df, columns)
     pairs = [
-        F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), F.corr(a, b).alias("correlation"))
+        F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), pearson(a, b).alias("correlation"))
         for a, b in combinations(columns, 2)
     ]
     return df.groupBy(*keys).agg(F.array(*pairs).alias("p")).select(*keys, F.inline("p"))
@@ -202,16 +202,16 @@ def spearman(df: DataFrame, a: str, b: str, hot_rows: int = HOT_ROWS) -> DataFra
     """Rank correlation. Works on one row per distinct value pair with its
     count, so ties are cheap and no row-level rank join is needed."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    pairs = both.groupBy(a, b).agg(F.count(F.lit(1)).alias("w"))
-    ra = distribution(both, [], a, hot_rows=hot_rows).select(a, F.col("avg_rank").alias("ra"))
-    rb = distribution(both, [], b, hot_rows=hot_rows).select(b, F.col("avg_rank").alias("rb"))
+    pairs = both.groupBy(a, b).agg(F.count(F.lit(1)).alias("_w"))
+    ra = distribution(both, [], a, hot_rows=hot_rows).select(a, F.col("avg_rank").alias("_ra"))
+    rb = distribution(both, [], b, hot_rows=hot_rows).select(b, F.col("avg_rank").alias("_rb"))
     rows = pairs.join(ra, a).join(rb, b)
-    n = F.sum("w")
+    n = F.sum("_w")
     mean = (n + 1) / 2  # the mean of average ranks
-    cov = F.sum(F.col("w") * F.col("ra") * F.col("rb")) / n - mean * mean
-    va = F.sum(F.col("w") * F.col("ra") * F.col("ra")) / n - mean * mean
-    vb = F.sum(F.col("w") * F.col("rb") * F.col("rb")) / n - mean * mean
-    return rows.agg(n.alias("n"), (cov / F.sqrt(va * vb)).alias("rho"))
+    cov = F.sum(F.col("_w") * F.col("_ra") * F.col("_rb")) / n - mean * mean
+    va = F.sum(F.col("_w") * F.col("_ra") * F.col("_ra")) / n - mean * mean
+    vb = F.sum(F.col("_w") * F.col("_rb") * F.col("_rb")) / n - mean * mean
+    return rows.agg(n.alias("n"), F.try_divide(cov, F.sqrt(va * vb)).alias("rho"))
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:

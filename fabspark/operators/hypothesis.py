@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import below_ladder
+from ..functions.columns import below_ladder, pearson
 from ..functions.distributions import (
     chi2_upper_p,
     erfc,
@@ -34,7 +34,7 @@ MAX_CELLS = 100_000
 
 def one_sample_t(df: DataFrame, keys: Sequence[str], value: str, null: float, alternative: str = "two-sided", confidence: float = 0.95) -> DataFrame:
     out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    se = F.col("std") / F.sqrt("n")
+    se = F.try_divide(F.col("std"), F.sqrt("n"))
     dof = (F.col("n") - 1).cast("double")
     out = out.withColumns({"t_stat": F.try_divide(F.col("mean") - null, se), "effect_size": F.try_divide(F.col("mean") - null, F.col("std"))})
     t = t_quantile(F.lit(1 - (1 - confidence) / 2), dof)
@@ -53,12 +53,12 @@ def two_sample_t(df: DataFrame, keys: Sequence[str], value: str, first: Column,
     )
     n1, n2, v1, v2 = (F.col(c).cast("double") for c in ("n1", "n2", "var1", "var2"))
     if equal_var:
-        pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
-        se, dof, scale = F.sqrt(pooled * (1 / n1 + 1 / n2)), n1 + n2 - 2, F.sqrt(pooled)
+        pooled = F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
+        se, dof, scale = F.sqrt(pooled * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2))), n1 + n2 - 2, F.sqrt(pooled)
     else:
-        q1, q2 = v1 / n1, v2 / n2
+        q1, q2 = F.try_divide(v1, n1), F.try_divide(v2, n2)
         se = F.sqrt(q1 + q2)
-        dof = (q1 + q2) * (q1 + q2) / (q1 * q1 / (n1 - 1) + q2 * q2 / (n2 - 1))
+        dof = F.try_divide((q1 + q2) * (q1 + q2), F.try_divide(q1 * q1, n1 - 1) + F.try_divide(q2 * q2, n2 - 1))
         scale = F.sqrt((v1 + v2) / 2)
     diff = F.col("mean1") - F.col("mean2")
     out = out.withColumns({"t_stat": F.try_divide(diff, se), "dof": dof, "effect_size": F.try_divide(diff, scale)})
@@ -266,7 +266,7 @@ def pairwise_groups(df: DataFrame, factor: str, value: str) -> DataFrame:
     )
     pairs = attach_stats(pairs, pool, [])
     diff = F.col("m2") - F.col("m1")
-    pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
+    pooled = F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), (F.col("n1") + F.col("n2") - 2).cast("double"))
     inv_n = 1 / F.col("n1") + 1 / F.col("n2")
     out = pairs.select(
         "group1",
@@ -274,7 +274,7 @@ def pairwise_groups(df: DataFrame, factor: str, value: str) -> DataFrame:
         diff.alias("mean_diff"),
         F.try_divide(-diff, F.sqrt(pooled * inv_n)).alias("t_stat"),
         (F.col("n1") + F.col("n2") - 2).cast("double").alias("t_dof"),
-        F.try_divide(F.abs(diff), F.sqrt(F.col("_ssw") / F.col("_dof") / 2 * inv_n)).alias("q_stat"),
+        F.try_divide(F.abs(diff), F.sqrt(F.try_divide(F.col("_ssw"), F.col("_dof").cast("double")) / 2 * inv_n)).alias("q_stat"),
         F.col("_k"),
         F.col("_dof"),
     )
@@ -305,7 +305,7 @@ def kruskal(df: DataFrame, factor: str, value: str, hot_rows: int = HOT_ROWS) ->
         sums.agg(F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("_s")), ties, []
     )
     n = F.col("total").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    h = F.try_divide(F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("_s") - 3 * (n + 1), 1 - F.try_divide(F.col("ties"), n * n * n - n))
     out = out.select("n_groups", F.col("total").alias("total_n"), h.alias("h_stat"))
     return out.withColumn("p_value", chi2_upper_p(F.col("h_stat"), (F.col("n_groups") - 1).cast("double")))
 
@@ -324,9 +324,9 @@ def mann_whitney(df: DataFrame, factor: str, first: object, value: str, hot_rows
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     out = out.withColumn("u_stat", F.col("_r1") - n1 * (n1 + 1) / 2)
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     u = F.greatest(F.col("u_stat"), n1 * n2 - F.col("u_stat"))
-    z = (u - n1 * n2 / 2 - 0.5) / sd
+    z = F.try_divide(u - n1 * n2 / 2 - 0.5, sd)
     return out.select("n1", "n2", "u_stat", z.alias("z_stat"), F.least(F.lit(1.0), erfc(z / math.sqrt(2.0))).alias("p_value"))
 
 
@@ -471,4 +471,4 @@ def qq_linearity(df: DataFrame, value: str, hot_rows: int = HOT_ROWS) -> DataFra
     n, i = F.col("_n"), F.col(POS) + 1
     last = F.pow(F.lit(0.5), 1 / n)
     p = F.when(i == n, last).when(i == 1, 1 - last).otherwise((i - 0.3175) / (n + 0.365))
-    return d.withColumn("_q", normal_quantile(p)).agg(F.count(F.lit(1)).alias("n"), F.corr(value, "_q").alias("r"))
+    return d.withColumn("_q", normal_quantile(p)).agg(F.count(F.lit(1)).alias("n"), pearson(F.col(value).cast("double"), F.col("_q")).alias("r"))

@@ -81,10 +81,10 @@ def completeness(df: DataFrame) -> DataFrame:
     row = missing_per_row(df)
     cells = F.col("rows") * len(df.columns)
     out = row.select(
-        ((cells - F.col("total_missing")) / cells * 100).alias("overall_completeness_pct"),
+        (F.try_divide(cells - F.col("total_missing"), cells) * 100).alias("overall_completeness_pct"),
         F.col("total_missing").alias("total_missing_values"),
         (F.col("rows") - F.col("rows_none_missing")).alias("rows_with_missing"),
-        (F.col("rows_none_missing") / F.col("rows") * 100).alias("complete_rows_pct"),
+        (F.try_divide(F.col("rows_none_missing"), F.col("rows")) * 100).alias("complete_rows_pct"),
     )
     return _with_row(out, per_col)
 
@@ -133,7 +133,7 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, hot_rows
         F.count_if((v < F.col("q25") - 1.5 * iqr) | (v > F.col("q75") + 1.5 * iqr)).alias("iqr_outliers"),
         F.count_if(F.abs(F.try_divide(v - F.col("mean"), F.col("std_pop"))) > 3).alias("zscore_outliers"),
     )
-    return out.withColumn("outlier_rate_pct", F.col("iqr_outliers") / F.col("n") * 100)
+    return out.withColumn("outlier_rate_pct", F.try_divide(F.col("iqr_outliers"), F.col("n")) * 100)
 
 
 def accuracy(df: DataFrame, columns: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -141,8 +141,8 @@ def accuracy(df: DataFrame, columns: Sequence[str] | None = None, hot_rows: int
     out = outlier_counts(df, columns, hot_rows).agg(
         F.sum("iqr_outliers").alias("total_outliers_iqr"),
         F.sum("zscore_outliers").alias("total_outliers_zscore"),
-        (F.sum("iqr_outliers") / F.sum("n") * 100).alias("outlier_rate_iqr_pct"),
-        (F.sum("zscore_outliers") / F.sum("n") * 100).alias("outlier_rate_zscore_pct"),
+        (F.try_divide(F.sum("iqr_outliers"), F.sum("n")) * 100).alias("outlier_rate_iqr_pct"),
+        (F.try_divide(F.sum("zscore_outliers"), F.sum("n")) * 100).alias("outlier_rate_zscore_pct"),
         F.count_if(F.col("iqr_outliers") > 0).alias("columns_with_outliers"),
     )
     special = numeric_profile(df, columns).agg(
@@ -232,7 +232,7 @@ def duplicates(df: DataFrame) -> DataFrame:
     counts = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     return counts.agg(
         (F.sum("_n") - F.count(F.lit(1))).alias("duplicate_rows"),
-        ((F.sum("_n") - F.count(F.lit(1))) / F.sum("_n") * 100).alias("duplicate_rate_pct"),
+        (F.try_divide(F.sum("_n") - F.count(F.lit(1)), F.sum("_n")) * 100).alias("duplicate_rate_pct"),
         F.count(F.lit(1)).alias("unique_rows"),
     )
 
@@ -251,7 +251,7 @@ def timeliness(df: DataFrame, column: str) -> DataFrame:
     out = df.select(ts.cast("timestamp").alias("t")).agg(
         F.min("t").alias("earliest_timestamp"),
         F.max("t").alias("latest_timestamp"),
-        (F.count("t") / F.count(F.lit(1)) * 100).alias("timestamp_completeness_pct"),
+        (F.try_divide(F.count("t"), F.count(F.lit(1))) * 100).alias("timestamp_completeness_pct"),
     )
     micros = F.unix_micros("latest_timestamp") - F.unix_micros("earliest_timestamp")
     return out.withColumn("temporal_span_days", F.floor(micros / 86_400_000_000))
