@@ -211,7 +211,7 @@ def context_zscore(spark, sf):
 
 
 DRIFT_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-CURRENT = F.lit("1998-06-01 00:00:00")
+CURRENT = "1998-06-01 00:00:00"
 LONG_SQL = (
     "v AS ("
     + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS x, l_shipdate >= TIMESTAMP '1998-06-01' AS cur FROM lineitem" for c in DRIFT_COLS)
@@ -233,7 +233,7 @@ KS_SQL = """ct AS (SELECT "column", x, count(*) FILTER (NOT cur) AS hr, count(*)
 
 def drift_rows(spark, sf):
     li = table(spark, sf, "lineitem").select("l_shipdate", *DRIFT_COLS)
-    return li, F.col("l_shipdate") >= CURRENT.cast("timestamp_ntz")
+    return li, F.col("l_shipdate") >= F.lit(CURRENT).cast("timestamp_ntz")
 
 
 @query("psi", f'WITH {LONG_SQL}, {PSI_SQL} SELECT "column", {r("psi", 8)} AS psi FROM psi')
