@@ -141,9 +141,12 @@ def keyword_top10(spark, sf):
     return text.keyword_counts(messages(spark, sf), "message")
 
 
+WORD_COUNT = r"avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')))"
+
+
 @query(
     "text_stats",
-    rf"""SELECT role, count(*) AS texts, {r('avg(length(text))')} AS avg_length, {r("avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')))")} AS avg_words,
+    rf"""SELECT role, count(*) AS texts, {r('avg(length(text))')} AS avg_length, {r(WORD_COUNT)} AS avg_words,
     CAST(min(length(text)) AS INTEGER) AS min_length, CAST(max(length(text)) AS INTEGER) AS max_length FROM conversations GROUP BY role""",
 )
 def text_stats(spark, sf):
