@@ -27,11 +27,6 @@ def finite(c: Column | str) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
-def nan_to_null(c: Column | str) -> Column:
-    c = as_col(c)
-    return F.when(~F.isnan(c), c)
-
-
 def safe_ratio(a: Column | str, b: Column | str, eps: float = 1e-8) -> Column:
     return as_col(a) / (as_col(b) + F.lit(eps))
 

@@ -49,7 +49,8 @@ def _steps(d: int, reach: int) -> list[tuple[int, ...]]:
 
 def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samples: int, levels: int = 4) -> DataFrame:
     """(key, cluster, is_core) of DBSCAN on a few columns; noise is -1, a
-    border row takes the smallest cluster it reaches.
+    border row takes the smallest cluster it reaches. Rows with a NULL or NaN
+    coordinate are noise.
 
     Cells have a diagonal of eps: rows of one cell are neighbours without any
     comparison, and a cell with ``min_samples`` rows is all core. Only rows of
@@ -64,9 +65,9 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
     names = [f"c{i}" for i in range(d)]
     xs = [f"x{i}" for i in range(d)]
     # Equal rows are one weighted point.
-    pts = df.select(key, *[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)])
+    pts = df.select(key, *[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)]).na.drop(subset=xs)
     pts = pts.groupBy(*xs).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("low_key"))
-    pts = pts.withColumn("pid", F.xxhash64(*xs)).withColumns({n: c for n, c in zip(names, _cell(xs, side))})
+    pts = pts.withColumn("pid", F.concat_ws(",", *xs)).withColumns({n: c for n, c in zip(names, _cell(xs, side))})
     pts = cut_lineage(pts)
     sizes = pts.groupBy(*names).agg(F.sum("w").alias("cell_w"))
     pts = pts.join(sizes, names)
@@ -87,7 +88,7 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
     others = pts.select(*names, "w", *[F.col(x).alias(f"o_{x}") for x in xs])
     hits = wanted.join(others, names).filter(close("q_", "o_")).groupBy("pid").agg(F.sum("w").alias("outside"))
     core = pts.join(hits, "pid", "left").withColumn("is_core", dense | (F.col("cell_w") + F.coalesce("outside", F.lit(0)) >= min_samples))
-    core = cut_lineage(core.drop("outside", "cell_w").withColumn("cell", F.xxhash64(*names)))
+    core = cut_lineage(core.drop("outside", "cell_w").withColumn("cell", F.concat_ws(",", *names)))
 
     cores = core.filter("is_core")
     # Candidate links: neighbouring cells with core rows, each pair once.
@@ -99,7 +100,7 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
     parent = cores.withColumn("s0", F.col("cell"))
     for lv in range(1, levels + 1):
         fine = side / 2**lv
-        parent = parent.withColumn(f"s{lv}", F.xxhash64(F.col("cell"), *_cell(xs, fine)))
+        parent = parent.withColumn(f"s{lv}", F.concat_ws(",", *_cell(xs, fine)))
         boxes = parent.groupBy(F.col(f"s{lv - 1}").alias("up"), F.col(f"s{lv}").alias("sub")).agg(
             *[f(x).alias(f"{t}{x}") for x in xs for f, t in ((F.min, "lo_"), (F.max, "hi_"))]
         )
@@ -136,5 +137,5 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
     reached = fan_out(q, ["pid", *[f"q_{x}" for x in xs]]).join(o, names).filter(close("q_", "o_")).select("pid", "cluster")
     found = named.select("pid", "cluster").union(same).union(reached).groupBy("pid").agg(F.min("cluster").alias("cluster"))
     labelled = core.join(found, "pid", "left").select(*xs, "is_core", "cluster")
-    rows = df.select(key, *[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)]).join(labelled, xs)
-    return rows.select(key, F.coalesce(F.col("cluster"), F.lit(-1)).alias("cluster"), "is_core")
+    rows = df.select(key, *[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)]).join(labelled, xs, "left")
+    return rows.select(key, F.coalesce(F.col("cluster"), F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))

@@ -151,10 +151,12 @@ def label_pairs(df: DataFrame, labels: Sequence[str], top: int = 5) -> DataFrame
 
 
 def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every column pair, pairwise complete. Above
-    ``WIDE_COLUMNS`` columns the pairs no longer fit one aggregate."""
+    """Pearson correlation of every column pair, pairwise complete: NULL, NaN
+    and infinite values are missing. Above ``WIDE_COLUMNS`` columns the pairs
+    no longer fit one aggregate; the values are the same."""
     if len(columns) > WIDE_COLUMNS and not keys:
         return wide_correlations(df, columns)
+    df = df.withColumns({c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in columns})
     pairs = [
         F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), pearson(a, b).alias("correlation"))
         for a, b in combinations(columns, 2)
@@ -168,7 +170,7 @@ def wide_correlations(df: DataFrame, columns: Sequence[str], fan_in: int = 32) -
     set of sums reaches the driver. Values are centred first."""
     cols, d = list(columns), len(columns)
     typed = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    row = typed.agg(*[F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)).alias(c) for c in cols]).first()
+    row = typed.agg(*[F.coalesce(F.avg(F.when(F.abs(F.col(c)) < float("inf"), F.col(c))), F.lit(0.0)).alias(c) for c in cols]).first()
     centre = np.array([row[c] for c in cols])
 
     def products(batches):

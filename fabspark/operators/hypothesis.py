@@ -232,13 +232,19 @@ def studentised_range_tail(q: float, k: int, dof: float) -> float:
     def at(width: float) -> float:
         return float(k * np.sum(zw * phi * np.power(np.clip(cdf(z) - cdf(z - width), 0, 1), k - 1)))
 
-    if dof > 20_000:
-        return max(0.0, 1.0 - at(q))
+    # The deviation is 1 + e with e of order 1 / sqrt(2 dof); its log density is
+    # written in e, so that nothing cancels for large dof.
+    half = dof / 2
+    if half < 50:
+        stirling = math.lgamma(half) - (half - 0.5) * math.log(half) + half - 0.5 * math.log(2 * math.pi)
+    else:
+        stirling = 1 / (12 * half) - 1 / (360 * half**3)
     spread = 8.0 / math.sqrt(2 * dof)
-    lo, hi = max(1e-6, 1 - spread), 1 + spread + (4.0 if dof < 10 else 0.0)
-    s, sw = np.polynomial.legendre.leggauss(64)
-    s, sw = (hi - lo) / 2 * s + (hi + lo) / 2, sw * (hi - lo) / 2
-    log_f = dof / 2 * math.log(dof) - math.lgamma(dof / 2) - (dof / 2 - 1) * math.log(2) + (dof - 1) * np.log(s) - dof * s * s / 2
+    lo, hi = max(1e-6 - 1, -spread), spread + (4.0 if dof < 10 else 0.0)
+    e, sw = np.polynomial.legendre.leggauss(64)
+    e, sw = (hi - lo) / 2 * e + (hi + lo) / 2, sw * (hi - lo) / 2
+    s = 1 + e
+    log_f = math.log(2) + 0.5 * math.log(half) - 0.5 * math.log(2 * math.pi) - stirling + half * (2 * (np.log1p(e) - e) - e * e) - np.log1p(e)
     inner = np.array([at(q * x) for x in s])
     return float(min(1.0, max(0.0, 1.0 - np.sum(sw * np.exp(log_f) * inner))))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -146,22 +147,28 @@ def importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
 
-def fit_clusters(df: DataFrame, vector: str, k: int, kind: str = "kmeans", variance: float | None = 0.95, max_components: int = 20, seed: int = 42):
+def _explained(scaled: DataFrame, width: int) -> np.ndarray:
+    return PCA(k=width, inputCol="_scaled", outputCol="_p").fit(scaled).explainedVariance.toArray()
+
+
+def explained_variance(df: DataFrame, vector: str) -> DataFrame:
+    """(component, share, cumulative) of the scaled vectors, a row per component."""
+    scaler = StandardScaler(inputCol=vector, outputCol="_scaled", withMean=True, withStd=True).fit(df)
+    shares = _explained(scaler.transform(df), scaler.mean.size)
+    rows = [(k, float(s), float(c)) for k, (s, c) in enumerate(zip(shares, np.cumsum(shares)), start=1)]
+    return df.sparkSession.createDataFrame(rows, "component int, share double, cumulative double")
+
+
+def fit_clusters(df: DataFrame, vector: str, k: int, kind: str = "kmeans", variance: float | None = 0.95, seed: int = 42):
     """Scaling, PCA up to a share of variance, then clustering. Returns the
-    preparation model and the cluster model."""
-    scaler = StandardScaler(inputCol=vector, outputCol="_scaled", withMean=True, withStd=True)
-    stages = [scaler]
-    last = "_scaled"
+    preparation model, the cluster model and the prepared rows. As many
+    components are kept as the share takes, up to the vector's width."""
+    scaler = StandardScaler(inputCol=vector, outputCol="_scaled", withMean=True, withStd=True).fit(df)
+    stages, last = [scaler], "_scaled"
     if variance:
-        width = df.select(vector).first()[0].size
-        prep = Pipeline(stages=[scaler, PCA(k=min(max_components, width), inputCol="_scaled", outputCol="_p")]).fit(df)
-        explained, n = prep.stages[-1].explainedVariance.toArray(), 0
-        total = 0.0
-        for n, e in enumerate(explained, start=1):
-            total += e
-            if total >= variance:
-                break
-        stages.append(PCA(k=n, inputCol="_scaled", outputCol="_p"))
+        explained = _explained(scaler.transform(df), scaler.mean.size)
+        n = int(np.searchsorted(np.cumsum(explained), variance)) + 1
+        stages.append(PCA(k=min(n, scaler.mean.size), inputCol="_scaled", outputCol="_p"))
         last = "_p"
     prep = Pipeline(stages=stages).fit(df)
     ready = prep.transform(df).withColumnRenamed(last, "features")

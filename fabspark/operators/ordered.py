@@ -121,6 +121,9 @@ class Ordered:
         other.df = df
         return other
 
+    def with_columns(self, columns: dict[str, Column]) -> "Ordered":
+        return self._next(self.df.withColumns(columns))
+
     def running(self, aggs: dict[str, tuple[str, Column]], strict: bool = False) -> "Ordered":
         """Aggregates from the first row of the key to the current row; with
         ``strict`` over the rows whose whole-number order value is smaller."""
@@ -193,7 +196,8 @@ def decayed_sum(seq: Ordered, values: dict[str, Column], ratio: float) -> Ordere
         at = (F.col(POS) % block).cast("double")
         df = df.withColumn("_block", F.floor(F.col(POS) / block))
         part = [*seq.keys, *([_CHUNK] if _CHUNK in df.columns else [])]
-        inside = Window.partitionBy(*part, "_block").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+        # By value of pos: rows without a value share the pos of the row before.
+        inside = Window.partitionBy(*part, "_block").orderBy(POS).rangeBetween(Window.unboundedPreceding, 0)
         earlier = Window.partitionBy(*part).orderBy("_block").rangeBetween(-1, -1)
         out = {}
         for name, value in values.items():

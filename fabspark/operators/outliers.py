@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 from typing import Protocol
 
 import numpy as np
@@ -225,19 +227,20 @@ class IsolationForest:
     def _samples(self, df: DataFrame) -> DataFrame:
         """About ``sample`` rows per tree, chosen by a hash of the row key."""
         rows = df.select(*self.row_key, *self.columns).na.drop(subset=list(self.columns))
-        total = rows.count()
+        total = max(rows.count(), 1)
+        # Every tree expects 1.3 * sample rows (or all). A row goes to trees * share
+        # trees, the fraction settled by its hash; they follow a stride that has no
+        # factor in common with their number, so they are distinct.
+        share = min(1.0, 1.3 * self.sample / total)
+        strides = F.array(*[F.lit(s) for s in range(1, self.trees + 1) if math.gcd(s, self.trees) == 1])
+        draw = lambda n, mod: F.pmod(F.xxhash64(F.lit(self.seed + n), *[F.col(k) for k in self.row_key]), mod)
+        copies = F.floor(F.lit(self.trees * share) + draw(0, F.lit(1_000_000_000)) / 1e9).cast("int")
+        stride = F.get(strides, draw(3, F.size(strides)).cast("int"))
+        step = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
+        some = rows.withColumns({"_copies": F.least(copies, F.lit(self.trees)), "_stride": stride, "_from": draw(1, F.lit(self.trees))}).filter("_copies > 0")
+        drawn = some.withColumn("_step", step).withColumn("tree", ((F.col("_from") + F.col("_step") * F.col("_stride")) % self.trees).cast("int"))
+        drawn = drawn.drop("_copies", "_stride", "_from", "_step")
         key = [F.col(k) for k in self.row_key]
-        wanted = self.trees * self.sample
-        unit = 1_000_000_000
-        if total > 4 * wanted:
-            # Each tree draws from its own share of a thin sample.
-            bound = int(min(unit, math.ceil(1.3 * wanted / total * unit)))
-            thin = rows.filter(F.pmod(F.xxhash64(F.lit(self.seed), *key), F.lit(unit)) < bound)
-            drawn = thin.withColumn("tree", F.pmod(F.xxhash64(F.lit(self.seed + 1), *key), F.lit(self.trees)).cast("int"))
-        else:
-            share = int(min(unit, math.ceil(1.3 * self.sample / max(total, 1) * unit)))
-            drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
-            drawn = drawn.filter(F.pmod(F.xxhash64(F.lit(self.seed), F.col("tree"), *key), F.lit(unit)) < share)
         return drawn.withColumn("_h", F.xxhash64(F.lit(self.seed + 2), F.col("tree"), *key))
 
     def fit(self, df: DataFrame) -> "IsolationForest":
@@ -448,16 +451,11 @@ def context_zscore(df: DataFrame, columns: Sequence[str], value: str, k: int = 4
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    vec = VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="skip").transform(df)
+    # NULL and NaN rows have no context: they are kept, unflagged and with score 0.
+    whole = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns])
+    vec = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df.filter(whole))
     model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="context").fit(vec)
-    rows = model.transform(vec).drop("_v")
+    rest = df.filter(~whole).withColumn("context", F.lit(None).cast("int"))
+    rows = model.transform(vec).drop("_v").unionByName(rest)
     det = ZScore([value], ["context"], threshold=threshold, name="context")
     return det.apply(rows, det.fit(rows))
-
-
-def run_report(df: DataFrame, flags: Sequence[str]) -> DataFrame:
-    """One row per method: outliers and their share."""
-    items = [F.struct(F.lit(f).alias("method"), F.count_if(f).alias("n_outliers"), (F.count_if(f) / F.count(F.lit(1)) * 100).alias("outlier_percentage")) for f in flags]
-    return df.agg(F.array(*items).alias("m")).select(F.inline("m"))
-
-

@@ -183,11 +183,6 @@ def type_distribution(df: DataFrame) -> dict[str, int]:
     return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0])))
 
 
-def high_correlations(df: DataFrame, columns: Sequence[str], threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
-    pairs = correlations(df, columns).withColumn("correlation", F.abs("correlation"))
-    return pairs.filter(F.col("correlation") > threshold)
-
-
 def consistency(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: schema facts, scales, number of high correlations. The mean
     correlation runs over the full matrix with a zero diagonal."""
@@ -329,12 +324,6 @@ def expectations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return out.withColumn("passed", F.col("failures") == 0)
 
 
-def shape_check(df: DataFrame, rows: int | None, columns: int) -> DataFrame:
-    n = F.count(F.lit(1))
-    ok = F.lit(len(df.columns) == columns)
-    return df.agg(n.alias("rows"), F.lit(len(df.columns)).alias("columns"), ((n == rows) & ok if rows is not None else ok).alias("passed"))
-
-
 def full_report(df: DataFrame, timestamp: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One nested row with all dimensions, the score and recommendations."""
     out = completeness(df)

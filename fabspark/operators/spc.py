@@ -182,18 +182,25 @@ def ewma_chart(
     width: float = 3.0,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """EWMA seeded with the first value; limits widen with the row number."""
+    """EWMA seeded with the first value; limits widen with the number of values.
+
+    A NULL keeps the last EWMA (NULL before the first value) and ``pos`` counts
+    values only. Limits have a relative tolerance, so a flat series never alarms.
+    """
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sigma"))
-    seq = Ordered(df, keys, order, hot_rows=hot_rows).positioned()
+    seq = Ordered(df, keys, order, hot_rows=hot_rows).running({POS: ("count", F.col(value))})
+    seq = seq.with_columns({POS: F.col(POS) - 1})
     weighted = F.col(value) * F.when(F.col(POS) == 0, F.lit(1.0)).otherwise(F.lit(lam))
     rows = attach_stats(decayed_sum(seq, {"ewma": weighted}, 1 - lam).result(), stats, keys)
+    rows = rows.withColumn("ewma", F.when(F.col(POS) >= 0, F.col("ewma")))
     t = (F.col(POS) + 1).cast("double")
     spread = F.lit(width) * F.col("_sigma") * F.sqrt(
         F.lit(lam / (2 - lam)) * (1 - F.pow(F.lit(1 - lam), 2 * t))
     )
     out = rows.withColumns({"ucl": F.col("_mu") + spread, "lcl": F.col("_mu") - spread})
-    out = out.withColumn("ewma_flag", (F.col("ewma") > F.col("ucl")) | (F.col("ewma") < F.col("lcl")))
-    return out.drop("_mu", "_sigma")
+    slack = F.abs("_mu") * 1e-12
+    flag = (F.col("ewma") > F.col("ucl") + slack) | (F.col("ewma") < F.col("lcl") - slack)
+    return out.withColumn("ewma_flag", F.coalesce(flag, F.lit(False))).drop("_mu", "_sigma")
 
 
 def cusum_chart(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import micros, rounded
 from ..operators import drift
 from ..operators import outliers as o
-from ..session import table
+from ..session import stream_folder, table
 from .registry import query, r
 
 ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -268,17 +268,30 @@ def drift_report(spark, sf):
     return out.withColumns({"psi": rounded("psi", 8), "ks_stat": rounded("ks_stat", 8), "ks_p": rounded("ks_p"), "wasserstein": rounded("wasserstein", 5)})
 
 
-@query(
-    "trend_last3",
-    """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, round(avg(value), 4) AS score FROM events GROUP BY 1, 2),
+TREND_SQL = """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, round(avg(value), 4) AS score FROM events GROUP BY 1, 2),
     l AS (SELECT *, lag(score, 3) OVER w AS a, lag(score, 2) OVER w AS b, lag(score, 1) OVER w AS c FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day))
     SELECT user_id, CAST(date_diff('day', DATE '1970-01-01', day) AS INTEGER) AS day_no,
-      CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'insufficient_data' WHEN b <= a AND c <= b THEN 'improving' WHEN b >= a AND c >= b THEN 'degrading' ELSE 'stable' END AS trend FROM l""",
-)
-def trend_last3(spark, sf):
+      CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'insufficient_data' WHEN b <= a AND c <= b THEN 'improving' WHEN b >= a AND c >= b THEN 'degrading' ELSE 'stable' END AS trend FROM l"""
+
+
+def daily_scores(spark, sf):
     ev = table(spark, sf, "events").withColumn("day_no", F.unix_date(F.col("ts").cast("date")))
-    days = ev.groupBy("user_id", "day_no").agg(F.round(F.avg("value"), 4).alias("score"))
-    return drift.trend_of_last(days, ["user_id"], ["day_no"], "score").select("user_id", "day_no", "trend")
+    return ev.groupBy("user_id", "day_no").agg(F.round(F.avg("value"), 4).alias("score"))
+
+
+@query("trend_last3", TREND_SQL)
+def trend_last3(spark, sf):
+    return drift.trend_of_last(daily_scores(spark, sf), ["user_id"], ["day_no"], "score").select("user_id", "day_no", "trend")
+
+
+@query("monitoring_history", TREND_SQL)
+def monitoring_history(spark, sf):
+    """The same trends over a history table that grows by appended records."""
+    days, path = daily_scores(spark, sf), stream_folder(spark, "monitoring")
+    for even in (True, False):
+        part = days.filter((F.col("day_no") % 2 == 0) == even)
+        history = drift.append_monitoring(part, path, ["user_id"], ["day_no"], "score")
+    return history.select("user_id", "day_no", "trend")
 
 
 MONITOR = """hm AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, count(*) AS n, avg(value) AS mean_value, count(*) FILTER (value > 100) AS alert_count,

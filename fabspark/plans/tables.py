@@ -229,11 +229,12 @@ def duplicate_keys(spark, sf):
 @query(
     "union_of_roles",
     """SELECT part, count(*) AS n FROM (SELECT 'asked' AS part FROM conversations WHERE role = 'user'
-    UNION ALL SELECT 'answered' FROM conversations WHERE role = 'assistant') GROUP BY part""",
+    UNION ALL SELECT 'answered' FROM conversations WHERE role = 'assistant'
+    UNION ALL SELECT 'other' FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')) GROUP BY part""",
 )
 def union_of_roles(spark, sf):
     c = table(spark, sf, "conversations")
-    both = joins.stacked_union({"asked": c.filter(F.col("role") == "user"), "answered": c.filter(F.col("role") == "assistant")})
+    both = joins.stacked_union({"asked": c.filter(F.col("role") == "user"), "answered": c.filter(F.col("role") == "assistant"), "other": c.filter(F.col("role").isNull() | ~F.col("role").isin("user", "assistant"))})
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 

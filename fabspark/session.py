@@ -1,4 +1,4 @@
-"""Session helpers: table access, checkpointing and size-checked broadcasts."""
+"""Session helpers: table access and checkpointing."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only after its rows were counted and found below this.
-BROADCAST_ROWS = 200_000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
@@ -43,18 +39,6 @@ def stream_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the counted size is below ``limit``.
-
-    A larger side is returned as it is: the join is then a shuffle join, where
-    adaptive execution splits skewed partitions.
-    """
-    kept = df.persist()
-    if len(kept.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit:
-        return F.broadcast(kept)
-    return kept
-
-
 def one_row(df: DataFrame):
     """Scalar subquery returning the single row of ``df`` as a struct column."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).scalar()
