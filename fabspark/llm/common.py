@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table
 
-__all__ = ["col", "cut_lineage", "map_batches", "pairs_schema", "slices", "sql_type", "table", "texts_of", "tokenizer"]
+__all__ = ["col", "cut_lineage", "fresh", "map_batches", "pairs_schema", "slices", "sql_type", "table", "texts_of", "tokenizer"]
 
 _SHIPPED: set[str] = set()
 
@@ -44,6 +44,13 @@ def sql_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def pairs_schema(df: DataFrame, name: str, alias: str, rest: str) -> str:
     """Schema text with the type of an identifier column and further columns."""
     return f"`{alias}` {sql_type(df, name)}, {rest}"

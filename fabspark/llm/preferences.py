@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, fresh
 
 
 def conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -59,22 +59,25 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     """Pairs of turn arrays with prompt, completions and their trained ranges.
 
     A null side is an empty conversation. Equal conversations are all prompt
-    with empty completions; without a common turn the prompt is empty.
+    with empty completions; without a common turn the prompt is empty. Further
+    columns stay, but for those named like a result.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
-    a, b = F.coalesce(col(chosen), none), F.coalesce(col(rejected), none)
-    rows = pairs.withColumns({"_a": a, "_b": b}).withColumn("_n", common_turns(F.col("_a"), F.col("_b")))
-    rest = lambda side: F.slice(side, F.col("_n") + 1, F.greatest(F.size(side) - F.col("_n"), F.lit(0)))
-    rows = rows.withColumns({"_ra": rest(F.col("_a")), "_rb": rest(F.col("_b"))})
+    out = ("n_common", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
+    left, right, n, more, less = (fresh(pairs, c) for c in ("_left", "_right", "_n", "_more", "_less"))
+    rows = pairs.withColumns({left: F.coalesce(col(chosen), none), right: F.coalesce(col(rejected), none)})
+    rows = rows.withColumn(n, common_turns(col(left), col(right)))
+    rest = lambda side: F.slice(side, col(n) + 1, F.greatest(F.size(side) - col(n), F.lit(0)))
+    rows = rows.withColumns({more: rest(col(left)), less: rest(col(right))})
     joined = lambda side: F.array_join(F.transform(side, render), "")
     return rows.select(
-        *[col(c) for c in pairs.columns if c not in (chosen, rejected)],
-        F.col("_n").alias("n_common"),
-        joined(F.slice("_a", F.lit(1), F.col("_n"))).alias("prompt"),
-        joined(F.col("_ra")).alias("chosen"),
-        trained(F.col("_ra")).alias("chosen_mask"),
-        joined(F.col("_rb")).alias("rejected"),
-        trained(F.col("_rb")).alias("rejected_mask"),
+        *[col(c) for c in pairs.columns if c not in (chosen, rejected, *out)],
+        col(n).alias("n_common"),
+        joined(F.slice(col(left), F.lit(1), col(n))).alias("prompt"),
+        joined(col(more)).alias("chosen"),
+        trained(col(more)).alias("chosen_mask"),
+        joined(col(less)).alias("rejected"),
+        trained(col(less)).alias("rejected_mask"),
     )
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, map_batches, slices, sql_type, texts_of
+from .common import col, fresh, map_batches, slices, sql_type, texts_of
 
 SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|\s*\n\s*")
 CLAUSE = re.compile(r"(?<=[,;:])\s+")
@@ -143,17 +143,20 @@ def clean(text: str, repeated: set[int], least: int, words: int) -> tuple[str, i
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, words: int = 15) -> DataFrame:
     """``docs`` with the cleaned text and _sentences, _removed (an array of
-    start and end of the character ranges taken out of the given text).
+    start and end of the character ranges taken out of the given text); columns
+    of these names are replaced.
 
     Texts without a repeated run come back as they are; null stays null, a text
     that is all repeats becomes empty. Rows that repeat an id count as one
     document and keep what that document keeps; rows without an id take no part
     and stay. An empty table gives none.
     """
+    docs = docs.drop("_sentences", "_removed")
+    mark = fresh(docs, "_repeated")
     found = spans(docs, id_col, text_col, least, words)
     first = found.groupBy("high", "low").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["high", "low"]).filter(F.col("id") != F.col("first")).groupBy("id").agg(F.collect_set("high").alias("_repeated"))
-    rows = docs.join(later.withColumnRenamed("id", id_col), id_col, "left").select(*[col(c) for c in docs.columns], "_repeated")
+    later = found.join(first, ["high", "low"]).filter(F.col("id") != F.col("first")).groupBy("id").agg(F.collect_set("high").alias(mark))
+    rows = docs.join(later.withColumnRenamed("id", id_col), id_col, "left").select(*[col(c) for c in docs.columns], col(mark))
     names = docs.columns
     at = names.index(text_col)
 
