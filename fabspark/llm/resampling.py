@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed words and word pairs are counted: the target,
-over a bounded sample of rows labelled good, and the raw text, over every
-document. A document's log weight is the sum of log ratios of target and raw
+Two generative models of hashed n-grams (words, neighbouring words, runs of
+characters in words) are counted: the target, over a bounded sample of rows
+labelled good, and the raw text, over every document. A document's log weight is the sum of log ratios of target and raw
 probability over its features; features whose target count agrees with the raw
 model within sampling error have ratio one. Documents are drawn without
 replacement by Gumbel top-k: noise that depends on id and seed alone is added
@@ -12,6 +12,7 @@ to the log weights and the k largest keys stay.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,33 +24,45 @@ from pyspark.sql import functions as F
 from .common import col, cut_lineage, map_batches, pairs_schema, slices, texts_of
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-WORDS, PAIRS = 1 << 18, 1 << 17
+GRAM = 5  # characters, a word's ends counted as one each
+WORDS, GRAMS, PAIRS = 1 << 17, 1 << 18, 1 << 16
+BUCKETS = WORDS + GRAMS + PAIRS
 MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier of 2^64 / golden ratio
 
 
-class Hashes(dict):
-    """Word hashes of a worker; starts anew when it holds ``room`` words."""
+class Cache(dict):
+    """A worker's values by word; starts anew when it holds ``room`` words."""
 
-    room = 300_000
+    def __init__(self, make, room: int = 200_000):
+        super().__init__()
+        self.make, self.room = make, room
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str):
         if len(self) >= self.room:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+        self[word] = value = self.make(word)
+        return value
 
 
-HASHES = Hashes()
+def word_buckets(word: str) -> list[int]:
+    """The bucket of a word and those of its runs of characters."""
+    marked = f"^{word[:64]}$"
+    grams = [WORDS + (xxhash.xxh64_intdigest(marked[i : i + GRAM]) & (GRAMS - 1)) for i in range(max(len(marked) - GRAM + 1, 1))]
+    return [xxhash.xxh64_intdigest(word) & (WORDS - 1), *grams]
 
 
-def features(text: str) -> np.ndarray:
-    """Bucket numbers of all words, then of all pairs of neighbours."""
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of neighbouring words from their hashes."""
+    mixed = ((hashes[:-1] * MIX) ^ (hashes[1:] + (hashes[:-1] >> np.uint64(29)))) * MIX
+    return (mixed >> np.uint64(48)).astype(np.int64) + WORDS + GRAMS
+
+
+HASHES = Cache(xxhash.xxh64_intdigest)
+
+
+def words_and_pairs(text: str) -> tuple[list[str], np.ndarray]:
     words = TOKEN.findall(text.lower())
-    if not words:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    pairs = ((h[:-1] * MIX) ^ (h[1:] + (h[:-1] >> np.uint64(29)))) * MIX >> np.uint64(47)
-    return np.concatenate([(h & np.uint64(WORDS - 1)).astype(np.int64), (pairs & np.uint64(PAIRS - 1)).astype(np.int64) + WORDS])
+    return words, pair_buckets(np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)))
 
 
 def labelled_sample(labels: DataFrame, id_col: str, quality_col: str, toxic_col: str, sample: int) -> dict:
@@ -71,29 +84,47 @@ def count_features(docs: DataFrame, target: set) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(target)  # at most the label sample
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, aim = np.zeros(WORDS + PAIRS, np.int64), np.zeros(WORDS + PAIRS, np.int64)
+        raw, aim = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw_words, aim_words = Counter(), Counter()
+
+        def settle(words: Counter, sums: np.ndarray):
+            for w, n in words.items():
+                for k in word_buckets(w):
+                    sums[k] += n
+            words.clear()
+
         for b in slices(batches):
             for i, t in zip(b.column(0).to_pylist(), texts_of(b, 1), strict=True):
-                f = features(t)
-                np.add.at(raw, f, 1)
+                words, pairs = words_and_pairs(t)
+                raw_words.update(words)
+                np.add.at(raw, pairs, 1)
                 if i in sent.value:
-                    np.add.at(aim, f, 1)
+                    aim_words.update(words)
+                    np.add.at(aim, pairs, 1)
+            if len(raw_words) > 400_000:
+                settle(raw_words, raw)
+                settle(aim_words, aim)
+        settle(raw_words, raw)
+        settle(aim_words, aim)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(aim[used])], names=["bucket", "raw", "target"])
 
-    return map_batches(docs.select("id", "text"), run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = map_batches(docs.select("id", "text"), run, "bucket int, raw long, target long")
+    return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, smooth: float = 5.0, error: float = 4.0) -> np.ndarray:
-    """Log ratio per bucket; the table has one row per bucket at most."""
+def log_ratios(counts: DataFrame, smooth: float = 5.0, error: float = 4.0, least: float = 0.7) -> np.ndarray:
+    """Log ratio per bucket, 0 within ``error`` deviations of the sampling error
+    or below ``least``; the table has one row per bucket at most."""
     rows = counts.toPandas()
-    raw, aim = np.zeros(WORDS + PAIRS), np.zeros(WORDS + PAIRS)
+    raw, aim = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows["bucket"]], aim[rows["bucket"]] = rows["raw"], rows["target"]
-    out = np.zeros(WORDS + PAIRS)
-    for part in (slice(0, WORDS), slice(WORDS, WORDS + PAIRS)):
+    out = np.zeros(BUCKETS)
+    for part in (slice(0, WORDS), slice(WORDS, WORDS + GRAMS), slice(WORDS + GRAMS, BUCKETS)):
         want = raw[part] * (aim[part].sum() / max(raw[part].sum(), 1))
-        sure = np.abs(aim[part] - want) > error * np.sqrt(want + 1)
-        out[part] = np.where(sure, np.log((aim[part] + smooth) / (want + smooth)), 0.0)
+        ratio = np.log((aim[part] + smooth) / (want + smooth))
+        sure = (np.abs(aim[part] - want) > error * np.sqrt(want + 1)) & (np.abs(ratio) >= least)
+        out[part] = np.where(sure, ratio, 0.0)
     return out
 
 
@@ -108,8 +139,15 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ratios)  # a fixed number of buckets
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = sent.value
+        weight = Cache(lambda word: float(ratios[word_buckets(word)].sum()))
+
+        def of(text: str) -> float:
+            words, pairs = words_and_pairs(text)
+            return sum(map(weight.__getitem__, words)) + float(ratios[pairs].sum())
+
         for b in slices(batches):
-            w = np.array([sent.value[features(t)].sum() for t in texts_of(b, 1)], float)
+            w = np.array([of(t) for t in texts_of(b, 1)], float)
             noise = np.array([gumbel(i, seed) for i in b.column(0).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(w + noise)], names=["id", "log_weight", "key"])
 
@@ -164,7 +202,7 @@ def resample(
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     known = labelled_sample(labels, id_col, quality_col, toxic_col, sample)
     target = {i for i, good in known.items() if good and not held_out(i)}
-    ratios = log_ratios(count_features(rows, target)) if target else np.zeros(WORDS + PAIRS)
+    ratios = log_ratios(count_features(rows, target)) if target else np.zeros(BUCKETS)
     scores = cut_lineage(log_weights(rows, ratios, seed))
     if k is None:
         judged = scores.sparkSession.createDataFrame([(i, g) for i, g in known.items() if held_out(i)] or [(None, None)], f"id {rows.schema['id'].dataType.simpleString()}, good boolean")
