@@ -27,6 +27,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 GRAM = 5  # characters, a word's ends counted as one each
 WORDS, GRAMS, PAIRS = 1 << 17, 1 << 18, 1 << 16
 BUCKETS = WORDS + GRAMS + PAIRS
+RUNS = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier of 2^64 / golden ratio
 
 
@@ -52,17 +53,25 @@ def word_buckets(word: str) -> list[int]:
 
 
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words from their hashes."""
+    """Buckets of neighbouring words from their hashes. Where a word
+    repeats the one before, the bucket is the length of the run so far (up to
+    ``RUNS`` repeats) whatever the word."""
     mixed = ((hashes[:-1] * MIX) ^ (hashes[1:] + (hashes[:-1] >> np.uint64(29)))) * MIX
-    return (mixed >> np.uint64(48)).astype(np.int64) + WORDS + GRAMS
+    other = RUNS + ((mixed >> np.uint64(48)) % np.uint64(PAIRS - RUNS)).astype(np.int64)
+    same = hashes[:-1] == hashes[1:]
+    total = np.cumsum(same)
+    run = total - np.maximum.accumulate(np.where(same, 0, total)) if len(total) else total
+    return WORDS + GRAMS + np.where(same, np.minimum(run, RUNS) - 1, other)
 
 
 HASHES = Cache(xxhash.xxh64_intdigest)
 
 
-def words_and_pairs(text: str) -> tuple[list[str], np.ndarray]:
+def words_and_pairs(text: str) -> tuple[set[str], np.ndarray]:
+    """Distinct words, and distinct buckets of neighbours: a text counts a
+    feature once, so that repetition inside one text is no evidence."""
     words = TOKEN.findall(text.lower())
-    return words, pair_buckets(np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)))
+    return set(words), np.unique(pair_buckets(np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))))
 
 
 def labelled_sample(labels: DataFrame, id_col: str, quality_col: str, toxic_col: str, sample: int) -> dict:
@@ -97,10 +106,10 @@ def count_features(docs: DataFrame, target: set) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), texts_of(b, 1), strict=True):
                 words, pairs = words_and_pairs(t)
                 raw_words.update(words)
-                np.add.at(raw, pairs, 1)
+                raw[pairs] += 1
                 if i in sent.value:
                     aim_words.update(words)
-                    np.add.at(aim, pairs, 1)
+                    aim[pairs] += 1
             if len(raw_words) > 400_000:
                 settle(raw_words, raw)
                 settle(aim_words, aim)
@@ -113,7 +122,7 @@ def count_features(docs: DataFrame, target: set) -> DataFrame:
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, smooth: float = 5.0, error: float = 4.0, least: float = 0.7) -> np.ndarray:
+def log_ratios(counts: DataFrame, smooth: float = 1.0, error: float = 8.0, least: float = 1.5) -> np.ndarray:
     """Log ratio per bucket, 0 within ``error`` deviations of the sampling error
     or below ``least``; the table has one row per bucket at most."""
     rows = counts.toPandas()
