@@ -122,7 +122,7 @@ def count_features(docs: DataFrame, target: set) -> DataFrame:
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, smooth: float = 1.0, error: float = 8.0, least: float = 1.5) -> np.ndarray:
+def log_ratios(counts: DataFrame, smooth: float = 1.0, error: float = 6.0, least: float = 1.5) -> np.ndarray:
     """Log ratio per bucket, 0 within ``error`` deviations of the sampling error
     or below ``least``; the table has one row per bucket at most."""
     rows = counts.toPandas()
