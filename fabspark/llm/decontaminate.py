@@ -86,7 +86,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield row()
 
     schema = f"block long, ids array<{kind}>, n_words array<bigint>, starts array<bigint>, terms binary, offsets binary, positions binary"
-    return map_batches(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), run, schema)
+    # Stored at once: block numbers must not change between uses.
+    return cut_lineage(map_batches(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), run, schema))
 
 
 class Block:
@@ -297,7 +298,7 @@ def contamination(
     words and are clean; rows that repeat an id stay rows of their own; without
     items every document is clean; without documents there are no rows.
     """
-    index = cut_lineage(build_index(docs, id_col, text_col))
+    index = build_index(docs, id_col, text_col)
     found = phrase_matches(index, benchmark, item_col, item_text, window)
     merged = found.groupBy("block", "at").agg(_covered(F.flatten(F.collect_list("spans"))).alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     all_docs = indexed_documents(index).join(merged, ["block", "at"], "left")
