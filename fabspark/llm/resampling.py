@@ -24,32 +24,44 @@ from pyspark.sql import functions as F
 from .common import col, cut_lineage, map_batches, pairs_schema, slices, texts_of
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-GRAM = 5  # characters, a word's ends counted as one each
+GRAM = 5  # bytes; five of them fill a hash key exactly
 WORDS, GRAMS, PAIRS = 1 << 17, 1 << 18, 1 << 16
 BUCKETS = WORDS + GRAMS + PAIRS
 RUNS = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier of 2^64 / golden ratio
 
 
-class Cache(dict):
-    """A worker's values by word; starts anew when it holds ``room`` words."""
+class Hashes(dict):
+    """Word hashes of a worker; starts anew when it holds ``room`` words."""
 
-    def __init__(self, make, room: int = 200_000):
-        super().__init__()
-        self.make, self.room = make, room
+    room = 200_000
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> int:
         if len(self) >= self.room:
             self.clear()
-        self[word] = value = self.make(word)
+        self[word] = value = xxhash.xxh64_intdigest(word)
         return value
 
 
-def word_buckets(word: str) -> list[int]:
-    """The bucket of a word and those of its runs of characters."""
-    marked = f"^{word[:64]}$"
-    grams = [WORDS + (xxhash.xxh64_intdigest(marked[i : i + GRAM]) & (GRAMS - 1)) for i in range(max(len(marked) - GRAM + 1, 1))]
-    return [xxhash.xxh64_intdigest(word) & (WORDS - 1), *grams]
+HASHES = Hashes()
+
+
+def hashes_of(words: Iterable[str], n: int) -> np.ndarray:
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, n)
+
+
+def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of every word and of the ``GRAM`` bytes around each
+    of its bytes; two marks stand on either side of a word."""
+    data = np.frombuffer(("\n\n" + "\n\n".join(words) + "\n\n").encode(), np.uint8)
+    centre = np.flatnonzero(data != 10)
+    key = np.zeros(len(centre), np.uint64)
+    for k in range(GRAM):
+        key |= data[centre + (k - GRAM // 2)].astype(np.uint64) << np.uint64(8 * k)
+    owner = np.cumsum(data == 10)[centre] // 2 - 1
+    grams = WORDS + ((key * MIX) >> np.uint64(46)).astype(np.int64)
+    own = (hashes_of(words, len(words)) & np.uint64(WORDS - 1)).astype(np.int64)
+    return np.concatenate([np.arange(len(words)), owner]), np.concatenate([own, grams])
 
 
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
@@ -64,14 +76,11 @@ def pair_buckets(hashes: np.ndarray) -> np.ndarray:
     return WORDS + GRAMS + np.where(same, np.minimum(run, RUNS) - 1, other)
 
 
-HASHES = Cache(xxhash.xxh64_intdigest)
-
-
 def words_and_pairs(text: str) -> tuple[set[str], np.ndarray]:
     """Distinct words, and distinct buckets of neighbours: a text counts a
     feature once, so that repetition inside one text is no evidence."""
     words = TOKEN.findall(text.lower())
-    return set(words), np.unique(pair_buckets(np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))))
+    return set(words), np.unique(pair_buckets(hashes_of(words, len(words))))
 
 
 def labelled_sample(labels: DataFrame, id_col: str, quality_col: str, toxic_col: str, sample: int) -> dict:
@@ -97,9 +106,9 @@ def count_features(docs: DataFrame, target: set) -> DataFrame:
         raw_words, aim_words = Counter(), Counter()
 
         def settle(words: Counter, sums: np.ndarray):
-            for w, n in words.items():
-                for k in word_buckets(w):
-                    sums[k] += n
+            owner, bucket = word_buckets(list(words))
+            n = np.fromiter(words.values(), np.int64, len(words))
+            sums += np.bincount(bucket, weights=n[owner], minlength=BUCKETS).astype(np.int64)
             words.clear()
 
         for b in slices(batches):
@@ -149,14 +158,16 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = sent.value
-        weight = Cache(lambda word: float(ratios[word_buckets(word)].sum()))
-
-        def of(text: str) -> float:
-            words, pairs = words_and_pairs(text)
-            return sum(map(weight.__getitem__, words)) + float(ratios[pairs].sum())
-
+        weight: dict[str, float] = {}
         for b in slices(batches):
-            w = np.array([of(t) for t in texts_of(b, 1)], float)
+            found = [words_and_pairs(t) for t in texts_of(b, 1)]
+            new = list(set().union(*(w for w, _ in found)).difference(weight))
+            if len(weight) + len(new) > 300_000:
+                weight.clear()
+                new = list(set().union(*(w for w, _ in found)))
+            owner, bucket = word_buckets(new)
+            weight.update(zip(new, np.bincount(owner, weights=ratios[bucket], minlength=len(new)).tolist(), strict=True))
+            w = np.array([sum(map(weight.__getitem__, words)) + float(ratios[pairs].sum()) for words, pairs in found], float)
             noise = np.array([gumbel(i, seed) for i in b.column(0).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(w + noise)], names=["id", "log_weight", "key"])
 
