@@ -82,15 +82,23 @@ def anova_p_value(spark, sf):
     return h.anova(li(spark, sf), "l_suppkey", "l_quantity")
 
 
-@query(
-    "anova_two_way_main",
-    f"""WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
-    w AS (SELECT sum((n - 1) * v) AS ssw, sum(n) - count(*) AS dof FROM c)
-    SELECT 'Residual' AS term, {r('ssw', 3)} AS sum_sq, CAST(dof AS INTEGER) AS dof FROM w""",
-)
+# Type II sums for a factor a and a two-level factor b: the additive model is the
+# one of a, less what b explains inside its levels.
+TYPE2_SQL = f"""WITH x AS (SELECT l_returnflag AS a, l_linestatus AS b, CAST(l_linestatus = 'O' AS DOUBLE) AS o, CAST(l_quantity AS DOUBLE) AS y FROM lineitem),
+    m AS (SELECT y, o, a, b, avg(y) OVER () AS my, avg(y) OVER (PARTITION BY a) AS ya, avg(o) OVER (PARTITION BY a) AS oa, avg(y) OVER (PARTITION BY b) AS yb, avg(y) OVER (PARTITION BY a, b) AS yc FROM x),
+    s AS (SELECT count(*) AS n, sum((y - my) * (y - my)) AS r0, sum((y - ya) * (y - ya)) AS ra, sum((y - yb) * (y - yb)) AS rb, sum((y - yc) * (y - yc)) AS rc,
+      sum((y - ya) * (y - ya)) - sum((o - oa) * (y - ya)) * sum((o - oa) * (y - ya)) / sum((o - oa) * (o - oa)) AS rab,
+      count(DISTINCT a) AS la, count(DISTINCT b) AS lb, count(DISTINCT a || '/' || b) AS cells FROM m),
+    t AS (SELECT 'l_returnflag' AS term, rb - rab AS ss, la - 1 AS d FROM s UNION ALL SELECT 'l_linestatus', ra - rab, lb - 1 FROM s
+      UNION ALL SELECT 'l_returnflag:l_linestatus', rab - rc, cells - la - lb + 1 FROM s UNION ALL SELECT 'Residual', rc, n - cells FROM s)
+    SELECT term, {r('ss', 3)} AS sum_sq, CAST(d AS INTEGER) AS dof, {r("CASE WHEN term <> 'Residual' THEN ss / nullif(d, 0) / (rc / (n - cells)) END", 5)} AS f_stat,
+      {r('ss / sum(ss) OVER ()', 8)} AS eta_squared, {r('1 - rc / r0', 8)} AS r_squared, {r('1 - (rc / r0) * (n - 1) / (n - cells)', 8)} AS adj_r_squared FROM t, s"""
+
+
+@query("anova_two_way_main", TYPE2_SQL)
 def anova_two_way_main(spark, sf):
-    out = h.multi_way_anova(li(spark, sf), "l_quantity", ["l_returnflag", "l_linestatus"])
-    return out.filter(F.col("term") == "Residual").select("term", rounded("sum_sq", 3).alias("sum_sq"), "dof")
+    out = h.multi_way_anova(li(spark, sf), "l_quantity", ["l_returnflag", "l_linestatus"]).drop("p_value")
+    return out.withColumns({"sum_sq": rounded("sum_sq", 3), "f_stat": rounded("f_stat", 5), **{c: rounded(c, 8) for c in ("eta_squared", "r_squared", "adj_r_squared")}})
 
 
 @query("anova_type2_table")

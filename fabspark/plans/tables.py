@@ -393,9 +393,22 @@ def spearman(spark, sf):
     return d.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_discount").withColumn("rho", rounded("rho"))
 
 
-@query("vif")
+CORR_SQL = " UNION ALL ".join(f"SELECT '{x}' AS f, '{y}' AS g, corr({x}, {y}) AS c FROM lineitem" for x in MEASURES for y in MEASURES if x != y)
+
+
+# 1 - R2 of a measure on three others is a product of partial correlations.
+@query(
+    "vif",
+    f"""WITH c AS ({CORR_SQL}), m AS (SELECT DISTINCT f FROM c),
+    q AS (SELECT i.f AS i, j.f AS j, k.f AS k, l.f AS l FROM m i JOIN m j ON j.f <> i.f JOIN m k ON k.f > j.f AND k.f <> i.f JOIN m l ON l.f > k.f AND l.f <> i.f),
+    p AS (SELECT i, a.c AS ij, b.c AS ik, d.c AS il, e.c AS jk, g.c AS jl, h.c AS kl FROM q JOIN c a ON a.f = i AND a.g = j JOIN c b ON b.f = i AND b.g = k JOIN c d ON d.f = i AND d.g = l
+      JOIN c e ON e.f = j AND e.g = k JOIN c g ON g.f = j AND g.g = l JOIN c h ON h.f = k AND h.g = l),
+    s AS (SELECT i, ij, (ik - ij * jk) / sqrt((1 - ij * ij) * (1 - jk * jk)) AS ik, (il - ij * jl) / sqrt((1 - ij * ij) * (1 - jl * jl)) AS il, (kl - jk * jl) / sqrt((1 - jk * jk) * (1 - jl * jl)) AS kl FROM p),
+    t AS (SELECT i, ij, ik, (il - ik * kl) / sqrt((1 - ik * ik) * (1 - kl * kl)) AS il FROM s)
+    SELECT i AS feature, {r('1 / ((1 - ij * ij) * (1 - ik * ik) * (1 - il * il))', 8)} AS vif FROM t""",
+)
 def vif(spark, sf):
-    return d.variance_inflation(table(spark, sf, "lineitem"), MEASURES)
+    return d.variance_inflation(table(spark, sf, "lineitem"), MEASURES).withColumn("vif", rounded("vif", 8))
 
 
 @query(
