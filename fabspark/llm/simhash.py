@@ -3,7 +3,8 @@
 Equal fingerprints are merged first. Two fingerprints within the radius agree
 on at least ``blocks - radius`` of ``blocks`` bit blocks, so each is posted
 under every choice of that many blocks and only fingerprints of one bucket are
-compared; no link can be missed. Buckets above ``chunk`` fingerprints are cut
+compared; no link can be missed. With 7 blocks a bucket shares 27 bits, so chance
+company stays rare up to some 10^8 fingerprints; more ask for 8 blocks. Buckets above ``chunk`` fingerprints are cut
 into chunks, and a task compares two chunks at a time. A bucket is stored as
 64 bit planes: one machine word holds one bit of 64 fingerprints, distances of
 64 candidates are summed at once by carry-save adders, and words whose 64
@@ -187,7 +188,7 @@ def forest(groups: list[tuple[np.ndarray, np.ndarray]], radius: int, tile: int =
     return all_fp[child], all_fp[links.root[child]]
 
 
-def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 6, chunk: int = 4096) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 7, chunk: int = 4096) -> DataFrame:
     """(src, dst): links that connect the same fingerprints as all links within
     the radius. ``distinct`` holds each fingerprint once as ``fp``."""
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
@@ -235,7 +236,7 @@ def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 6, chunk: int
     return map_batches(groups.select("lo", "hi", "a", "b"), compare, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, seed: int = 42, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, seed: int = 42, blocks: int = 7) -> DataFrame:
     """(id, fp, component) per row: the smallest id that links reach.
 
     Null and word-free texts have fingerprint zero and link like any other.
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("smallest"))
-    linked = connected_components(near_links(distinct.select("fp"), radius, blocks))
+    linked = connected_components(cut_lineage(near_links(distinct.select("fp"), radius, blocks)))
     classed = distinct.join(linked.withColumnRenamed("id", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     smallest = classed.groupBy("class").agg(F.min("smallest").alias("component"))
     of = classed.select("fp", "class").join(smallest, "class").select("fp", "component")
