@@ -57,7 +57,7 @@ def impute(df: DataFrame, columns: Sequence[str], strategy: str = "median", hot_
     if strategy == "drop":
         return df.na.drop(subset=list(columns))
     if strategy == "median":
-        stats = wide_quantiles(df, [], columns, [0.5], hot_rows)
+        stats = wide_quantiles(df, [], columns, [0.5])
         fill = {c: f"{c}_q50" for c in columns}
     elif strategy == "mean":
         stats = df.agg(*[F.avg(c).alias(f"{c}_mean") for c in columns])
@@ -82,7 +82,7 @@ def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Centre on the median, divide by the interquartile range."""
-    stats = wide_quantiles(df, [], columns, [0.25, 0.5, 0.75], hot_rows)
+    stats = wide_quantiles(df, [], columns, [0.25, 0.5, 0.75])
     out = attach_stats(df, stats, [])
     for c in columns:
         iqr = F.col(f"{c}_q75") - F.col(f"{c}_q25")

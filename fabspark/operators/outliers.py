@@ -98,10 +98,10 @@ class ModifiedZScore(_Keyed):
 
     def fit(self, df: DataFrame) -> DataFrame:
         keys, cols = list(self.keys), list(self.columns)
-        med = wide_quantiles(df, keys, cols, [0.5], self.hot_rows)
+        med = wide_quantiles(df, keys, cols, [0.5])
         dev = attach_stats(df.select(*keys, *cols), med, keys)
         dev = dev.select(*keys, *[F.abs(F.col(c) - F.col(f"{c}_q50")).alias(c) for c in cols])
-        mad = wide_quantiles(dev, keys, cols, [0.5], self.hot_rows)
+        mad = wide_quantiles(dev, keys, cols, [0.5])
         med = med.select(*keys, *[F.col(f"{c}_q50").alias(f"_med_{c}") for c in cols])
         mad = mad.select(*keys, *[F.col(f"{c}_q50").alias(f"_mad_{c}") for c in cols])
         return self._fitted_groups(df, attach_stats(med, mad, keys))
@@ -120,7 +120,7 @@ class IQRFence(_Keyed):
     name: str = "iqr"
 
     def fit(self, df: DataFrame) -> DataFrame:
-        q = wide_quantiles(df, self.keys, self.columns, [0.25, 0.75], self.hot_rows)
+        q = wide_quantiles(df, self.keys, self.columns, [0.25, 0.75])
         cols = []
         for c in self.columns:
             lo, hi = F.col(f"{c}_q25"), F.col(f"{c}_q75")
@@ -339,7 +339,7 @@ def physics_rules(
     out = df
     if pairs:
         cols = sorted({c for p in pairs.values() for c in p})
-        stats = wide_quantiles(df, [], cols, [low, high], hot_rows)
+        stats = wide_quantiles(df, [], cols, [low, high])
         out = attach_stats(df, stats, [])
     flags = {}
     for n, rule in rules.items():

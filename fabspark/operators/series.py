@@ -150,7 +150,7 @@ def partial_dependence(df: DataFrame, features: Sequence[str], vary: str, predic
     """Prediction along quantiles of one feature, the others at their mean.
     ``predict`` maps a frame with the features to one with ``prediction``."""
     probs = [i / (points - 1) for i in range(points)]
-    grid = wide_quantiles(df, [], [vary], probs, hot_rows)
+    grid = wide_quantiles(df, [], [vary], probs)
     names = [f"{vary}_{quantile_name(p)}" for p in probs]
     rows = grid.select(F.posexplode(F.array(*names)).alias("point", vary))
     others = [f for f in features if f != vary]
