@@ -10,6 +10,7 @@ frequent ones come from bounded summaries, one per partition.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -42,27 +43,55 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", keep: int = 32_7
     return local.groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(keep)
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others
+    for the characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+# Words of these characters need no normalisation, are lower-cased letter by
+# letter and have one split in every Unicode version; others go to the library.
+PLAIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+")
+
+
 class Worker:
-    """Both tiers inside a Python worker; made once per worker and table."""
+    """Both tiers inside a Python worker; made once per worker and table. The
+    second keeps pre-tokens and, below them, their parts (words, digits, marks)."""
 
     made: dict = {}
 
     def __init__(self, name: str, words: list[str], lengths: bytes, room: int):
-        self.name, self.first, self.second, self.room = name, dict(zip(words, lengths, strict=True)), {}, room
+        self.name, self.first, self.second, self.parts, self.room = name, dict(zip(words, lengths, strict=True)), {}, {}, room
+
+    def encode(self, word: str) -> int:
+        if "<|" in word or not PLAIN.fullmatch(word):
+            return len(tokenizer(self.name).encode(word, add_special_tokens=False).ids)
+        total = 0
+        for part in PART.findall(word.lower()):
+            n = self.parts.get(part)
+            if n is None:
+                if len(self.parts) >= self.room:
+                    self.parts.clear()
+                n = self.parts[part] = len(tokenizer(self.name).model.tokenize(part.encode().decode("latin-1").translate(LETTERS)))
+            total += n
+        return total
 
     def lookup(self, words: list[str]) -> int:
-        first, second = self.first, self.second
-        missed = {w for w in words if w not in first and w not in second}
-        if missed:
-            if len(second) + len(missed) > self.room:
-                second.clear()
-                missed = {w for w in words if w not in first}
-            batch = list(missed)
-            for at in range(0, len(batch), 1024):
-                part = batch[at : at + 1024]
-                second.update(zip(part, (len(e.ids) for e in tokenizer(self.name).encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = first.get
-        return sum(n if (n := get(w)) is not None else second[w] for w in words)
+        first, second, total = self.first, self.second, 0
+        for w in words:
+            n = first.get(w)
+            if n is None:
+                n = second.get(w)
+                if n is None:
+                    if len(second) >= self.room:
+                        second.clear()
+                    n = second[w] = self.encode(w)
+            total += n
+        return total
 
     def count(self, text: str) -> int:
         if any(s in text for s in SEPARATORS):
@@ -70,12 +99,13 @@ class Worker:
         return self.lookup(text.split())
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "word_bpe_49k.json", keep: int = 32_768, room: int = 400_000) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "word_bpe_49k.json", keep: int = 32_768, room: int = 300_000) -> DataFrame:
     """(id, n_bytes, n_tokens) per row; null texts count as empty, rows that
     repeat an id stay rows of their own, an empty table gives none.
 
-    ``name`` must be a vocabulary that drops white space. ``keep`` bounds the
-    broadcast table, ``room`` the worker cache (it starts anew when full).
+    ``name`` must be a vocabulary of word pieces that lower-cases and drops white
+    space, by words, single digits and runs of other marks. ``keep`` bounds the
+    broadcast table, ``room`` each worker cache (it starts anew when full).
     """
     rows = frequent_pretokens(docs, text_col, keep).collect()  # at most ``keep`` short rows
     words = [r[0] for r in rows]
