@@ -264,29 +264,35 @@ class IsolationForest:
         return self
 
     def apply(self, df: DataFrame, stats: object = None) -> DataFrame:
-        parts = [
-            (g["feature"].to_numpy(), g["cut"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(), g["path"].to_numpy())
-            for g in self.forest_
-        ]
+        # All trees in one node table, so that every row walks them side by side;
+        # a leaf points to itself.
+        roots, feature, cut, left, right, path = [], [], [], [], [], []
+        for g in self.forest_:
+            base, own = sum(map(len, feature)), np.arange(len(g))
+            leaf = g["feature"].to_numpy() < 0
+            roots.append(base)
+            feature.append(np.where(leaf, 0, g["feature"].to_numpy()))
+            cut.append(g["cut"].to_numpy(dtype=float))
+            left.append(base + np.where(leaf, own, g["left"].to_numpy()))
+            right.append(base + np.where(leaf, own, g["right"].to_numpy()))
+            path.append(g["path"].to_numpy(dtype=float))
+        steps = math.ceil(math.log2(max(self.sample, 2))) + 1
+        parts = np.array(roots), *(np.concatenate(v) for v in (feature, cut, left, right, path))
         scale = _average_path(float(np.mean([g["rows"].iloc[0] for g in self.forest_])))
         shared = df.sparkSession.sparkContext.broadcast(parts)
 
         @F.pandas_udf(T.DoubleType())
         def score(*cols: pd.Series) -> pd.Series:
+            roots, feature, cut, left, right, path = shared.value
             x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-            total = np.zeros(len(x))
-            for feature, cut, left, right, path in shared.value:
-                at = np.zeros(len(x), dtype=int)
-                while True:
-                    f = feature[at]
-                    inner = np.flatnonzero(f >= 0)
-                    if len(inner) == 0:
-                        break
-                    here = at[inner]
-                    go_left = x[inner, f[inner]] < cut[here]
-                    at[inner] = np.where(go_left, left[here], right[here])
-                total += path[at]
-            return pd.Series(np.power(2.0, -total / len(shared.value) / scale))
+            out = np.empty(len(x))
+            for lo in range(0, len(x), 1000):
+                part = x[lo : lo + 1000]
+                row, at = np.arange(len(part))[:, None], np.broadcast_to(roots, (len(part), len(roots)))
+                for _ in range(steps):
+                    at = np.where(part[row, feature[at]] < cut[at], left[at], right[at])
+                out[lo : lo + 1000] = path[at].sum(1)
+            return pd.Series(np.power(2.0, -out / len(roots) / scale))
 
         # The scores are read twice, for the cut and for the flags: keep them.
         scored = spread(df).withColumn(f"{self.name}_score", score(*[F.col(c).cast("double") for c in self.columns])).persist()
