@@ -29,7 +29,6 @@ from .ranks import attach_stats, distribution, quantiles
 
 # Bounds of the effect size classes (eta squared).
 EFFECT_SIZES = [(0.01, "Negligible"), (0.06, "Small"), (0.14, "Medium")]
-MAX_CELLS = 100_000
 
 
 def one_sample_t(df: DataFrame, keys: Sequence[str], value: str, null: float, alternative: str = "two-sided", confidence: float = 0.95) -> DataFrame:
@@ -101,50 +100,60 @@ def anova(df: DataFrame, factor: str, value: str, keys: Sequence[str] = ()) -> D
 
 
 class CellModel:
-    """Weighted least squares on the cell table of categorical factors."""
+    """Least squares on categorical factors from its normal equations.
 
-    def __init__(self, df: DataFrame, factors: Sequence[str], value: str):
+    Cells, cross products of the treatment-coded columns and their products
+    with the response are aggregated on Spark; the driver holds columns x
+    columns, the size of the model itself, never the cells.
+    """
+
+    def __init__(self, df: DataFrame, factors: Sequence[str], value: str, interactions: bool = True, full: bool = False):
         self.factors = list(factors)
-        cells = df.filter(F.col(value).isNotNull()).groupBy(*factors).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var")
+        rows = df.filter(F.col(value).isNotNull()).na.drop(subset=self.factors)
+        self.levels: dict[str, list[str]] = {}
+        labels = {}
+        for f in self.factors:
+            found = rows.select(F.col(f).alias("v"), F.col(f).cast("string").alias("s")).distinct().orderBy("v").collect()
+            self.levels[f] = [r["s"] for r in found]
+            # NULL for the first level, which has no column.
+            labels[f] = F.when(F.col(f).cast("string") != F.lit(self.levels[f][0] if found else ""), F.concat(F.lit(f"{f}["), F.col(f).cast("string"), F.lit("]")))
+        mean = rows.agg(F.avg(F.col(value).cast("double"))).first()[0] or 0.0
+        y = F.col(value).cast("double") - F.lit(mean)  # centred, so that sums of squares do not cancel
+        cells = rows.groupBy(*self.factors).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(y).alias("sum"), F.coalesce(F.var_samp(F.col(value).cast("double")), F.lit(0.0)).alias("var")
         )
-        rows = cells.limit(MAX_CELLS + 1).collect()
-        if len(rows) > MAX_CELLS:
-            raise ValueError(f"more than {MAX_CELLS} factor cells: the factors are not categories")
-        rows = sorted(rows, key=lambda x: tuple(str(x[f]) for f in factors))
-        self.values = {f: [x[f] for x in rows] for f in factors}
-        self.levels = {f: sorted(set(self.values[f])) for f in factors}
-        self.n = np.array([x["n"] for x in rows], dtype=float)
-        self.mean = np.array([x["mean"] for x in rows], dtype=float)
-        self.within = float(sum((x["n"] - 1) * x["var"] for x in rows))
-        self.total = int(self.n.sum())
-        self.cells = len(rows)
-
-    def _dummies(self, term: Sequence[str]) -> tuple[np.ndarray, list[str]]:
-        """Treatment-coded columns of a main effect or interaction."""
-        cols, names = np.ones((self.cells, 1)), [""]
-        for f in term:
-            base = [np.array([v == lv for v in self.values[f]], dtype=float) for lv in self.levels[f][1:]]
-            cols = np.column_stack([c * b for c in cols.T for b in base]) if base else np.empty((self.cells, 0))
-            names = [f"{n}:{f}[{lv}]".lstrip(":") for n in names for lv in self.levels[f][1:]]
-        return cols, names
-
-    def design(self, terms: Sequence[Sequence[str]]) -> tuple[np.ndarray, list[str]]:
-        parts, names = [np.ones((self.cells, 1))], ["Intercept"]
+        terms = [F.concat(*[x for k, f in enumerate(t) for x in ([F.lit(":")] if k else []) + [labels[f]]]) for t in self.terms(interactions, full)]
+        cells = cells.withColumn("active", F.array_compact(F.array(F.lit("Intercept"), *terms)))
+        one = cells.select(F.explode("active").alias("i"), "active", "n", "sum")
+        moments = one.groupBy("i").agg(F.sum("sum").alias("xy")).collect()
+        products = one.select("i", F.explode("active").alias("j"), "n").groupBy("i", "j").agg(F.sum("n").alias("xx")).collect()
+        self.xy = {r["i"]: r["xy"] for r in moments}
+        self.xx = {(r["i"], r["j"]): float(r["xx"]) for r in products}
+        self.total, self.yy, self.within = cells.agg(
+            F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("sum") * F.col("sum") / F.col("n")), F.lit(0.0)), F.coalesce(F.sum((F.col("n") - 1) * F.col("var")), F.lit(0.0))
+        ).first()
+
+    def names(self, terms: Sequence[Sequence[str]]) -> list[str]:
+        """Treatment-coded columns of main effects and interactions."""
+        out = ["Intercept"]
         for t in terms:
-            c, n = self._dummies(t)
-            parts.append(c)
-            names += n
-        return np.column_stack(parts), names
+            names = [""]
+            for f in t:
+                names = [f"{n}:{f}[{lv}]".lstrip(":") for n in names for lv in self.levels[f][1:]]
+            out += names
+        return out
 
     def fit(self, terms: Sequence[Sequence[str]]) -> tuple[np.ndarray, float, int, list[str], np.ndarray]:
-        """Coefficients, residual sum of squares, rank, names, (X'WX)^+."""
-        x, names = self.design(terms)
-        w = np.sqrt(self.n)
-        coef, _, rank, _ = np.linalg.lstsq(x * w[:, None], self.mean * w, rcond=None)
-        res = (self.mean - x @ coef) * w
-        inv = np.linalg.pinv((x * self.n[:, None]).T @ x)
-        return coef, float(res @ res) + self.within, int(rank), names, inv
+        """Coefficients, residual sum of squares, rank, names, (X'X)^+; the
+        intercept is relative to the mean."""
+        names = self.names(terms)
+        xx = np.array([[self.xx.get((a, b), 0.0) for b in names] for a in names])
+        xy = np.array([self.xy.get(a, 0.0) for a in names])
+        size, axes = np.linalg.eigh(xx)
+        real = size > size.max() * len(names) * 1e-14
+        inv = (axes[:, real] / size[real]) @ axes[:, real].T
+        coef = inv @ xy
+        return coef, float(self.yy - coef @ xy) + self.within, int(real.sum()), names, inv
 
     def terms(self, interactions: bool, full: bool = False) -> list[tuple[str, ...]]:
         out: list[tuple[str, ...]] = [(f,) for f in self.factors]
@@ -158,8 +167,8 @@ class CellModel:
 
 def multi_way_anova(df: DataFrame, value: str, factors: Sequence[str], interactions: bool = True) -> DataFrame:
     """Type II table: a term against the model of all terms not containing it.
-    Cells are aggregated on Spark, the small cell table is solved here."""
-    m = CellModel(df, factors, value)
+    Spark aggregates the normal equations, their solution is small."""
+    m = CellModel(df, factors, value, interactions)
     terms = m.terms(interactions)
     _, rss, rank, _, _ = m.fit(terms)
     dof = m.total - rank
@@ -185,7 +194,7 @@ def multi_way_anova(df: DataFrame, value: str, factors: Sequence[str], interacti
 
 def factorial_effects(df: DataFrame, value: str, factors: Sequence[str]) -> DataFrame:
     """Treatment-coded effects of the full factorial model, largest first."""
-    m = CellModel(df, factors, value)
+    m = CellModel(df, factors, value, full=True)
     coef, rss, rank, names, inv = m.fit(m.terms(True, full=True))
     dof = m.total - rank
     se = np.sqrt(np.diag(inv) * rss / dof)
