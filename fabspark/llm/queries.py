@@ -15,7 +15,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("_sentences").alias("n_sentences"), F.col("_removed").alias("removed"))
+    return out.withColumnRenamed("_removed", "removed")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,156 +24,172 @@ from pyspark.sql import functions as F
 
 from .common import col, fresh, map_batches, slices, sql_type, texts_of
 
-SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|\s*\n\s*")
-CLAUSE = re.compile(r"(?<=[,;:])\s+")
+SENTENCE = re.compile("[.!?…。！？][\"'”’)\\]]*\\s+|\n\\s*")
+CLAUSE = re.compile(r"[,;:]\s+")
 WORD = re.compile(r"\S+\s*")
 LONG, LONGEST = 25, 40
+# Odd multipliers of two polynomial hashes modulo 2^64.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of sentences, white space after them included.
+def sentences(text: str) -> tuple[list[int], list[str], list[int]]:
+    """Ends of the sentences (white space after them included), their text
+    lower-cased with single spaces, and their numbers of words.
 
     Of sentences above ``LONG`` words the clauses stand for sentences, and a
     clause above ``LONGEST`` words is cut after words of a certain hash: cuts
     depend on the words at hand, so equal passages are cut alike anywhere.
     """
-    out: list[tuple[int, int]] = []
+    ends: list[int] = []
+    parts: list[str] = []
+    counts: list[int] = []
+
+    def put(words: list[str], end: int) -> None:
+        ends.append(end)
+        parts.append(" ".join(words).lower())
+        counts.append(len(words))
+
     for lo, hi in _cuts(SENTENCE, text, 0, len(text)):
-        if len(text[lo:hi].split()) <= LONG:
-            out.append((lo, hi))
+        words = text[lo:hi].split()
+        if len(words) <= LONG:
+            put(words, hi)
             continue
         for a, b in _cuts(CLAUSE, text, lo, hi):
-            if len(text[a:b].split()) <= LONGEST:
-                out.append((a, b))
+            words = text[a:b].split()
+            if len(words) <= LONGEST:
+                put(words, b)
                 continue
-            start = a
+            held: list[str] = []
             for w in WORD.finditer(text, a, b):
-                if xxhash.xxh32_intdigest(w[0].strip()) % 12 == 0:
-                    out.append((start, w.end()))
-                    start = w.end()
-            if start < b:
-                out.append((start, b))
-    return out
+                held.append(w[0].rstrip())
+                if xxhash.xxh32_intdigest(held[-1]) % 12 == 0:
+                    put(held, w.end())
+                    held = []
+            if held:
+                put(held, b)
+    return ends, parts, counts
 
 
 def _cuts(pattern: re.Pattern, text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
     at = lo
     for m in pattern.finditer(text, lo, hi):
-        if m.end() > at:
-            yield at, m.end()
-            at = m.end()
+        yield at, m.end()
+        at = m.end()
     if at < hi:
         yield at, hi
 
 
-def runs(parts: list[str], least: int, words: int) -> dict[tuple[int, int], int]:
-    """{(first, last): 128-bit hash} of the runs of normalised sentences."""
-    sizes = [len(p.split()) for p in parts]
-    spans: set[tuple[int, int]] = set()
-    last, total, lo = -1, 0, 0
-    for first in range(len(parts)):
-        # The window grows to the shortest run that starts here.
-        while last + 1 < len(parts) and (last < first + least - 1 or total < words):
-            last += 1
-            total += sizes[last]
-        if last >= first + least - 1 and total >= words:
-            spans.add((first, last))
-        total -= sizes[first]
-    total = 0
-    for last in range(len(parts)):
-        total += sizes[last]
-        while lo < last - least + 1 and total - sizes[lo] >= words:
-            total -= sizes[lo]
-            lo += 1
-        if last - lo + 1 >= least and total >= words:
-            spans.add((lo, last))
-    coded = [p.encode() for p in parts]
-    return {s: xxhash.xxh3_128_intdigest(b"\n".join(coded[s[0] : s[1] + 1])) for s in spans}
-
-
-def _parts(text: str) -> tuple[list[tuple[int, int]], list[str]]:
-    at = sentences(text)
-    return at, [" ".join(text[a:b].lower().split()) for a, b in at]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def runs(parts: list[str], counts: list[int], least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last sentence and the 128-bit hash (two columns) of each run."""
+    n = len(parts)
+    upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    at = np.arange(n)
+    end = np.maximum(np.searchsorted(upto, upto[:-1] + words), at + least)  # shortest run from here on
+    start = np.minimum(np.searchsorted(upto, upto[1:] - words, side="right") - 1, at + 1 - least)  # shortest run up to here
+    ahead, back = end <= n, start >= 0
+    pairs = np.unique(np.concatenate([at[ahead] * (n + 1) + end[ahead] - 1, start[back] * (n + 1) + at[back]]))
+    first, last = np.divmod(pairs, n + 1)
+    own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p.encode()) for p in parts), "<u8").reshape(n, 2)
+    hashes = np.empty((len(first), 2), np.uint64)
+    for k, base in enumerate(BASES):
+        # Sums of own[i] * base^i; a difference, moved to start at power 0, is the run's hash.
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own[:, k] * _powers(base, n), dtype=np.uint64)])
+        hashes[:, k] = (total[last + 1] - total[first]) * _powers(pow(base, -1, 1 << 64), n)[first]
+    return first, last, hashes
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, words: int = 15) -> DataFrame:
-    """(high, low, id): each document's distinct runs."""
+    """(high, low, id, again): each document's distinct runs, ``again`` for
+    those that it holds more than once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            row, high, low = [], [], []
+            row, found, again = [], [], []
             for n, t in enumerate(texts_of(b, 1)):
-                found = set(runs(_parts(t)[1], least, words).values())
-                row += [n] * len(found)
-                high += [_signed(h >> 64) for h in found]
-                low += [_signed(h & 0xFFFFFFFFFFFFFFFF) for h in found]
-            yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), b.column(0).take(pa.array(row, pa.int64()))], names=["high", "low", "id"])
+                _, parts, counts = sentences(t)
+                if len(parts) < least or sum(counts) < words:
+                    continue
+                _, _, hashes = runs(parts, counts, least, words)
+                high, first, times = np.unique(hashes[:, 0], return_index=True, return_counts=True)
+                row.append(np.full(len(high), n))
+                found.append(hashes[first])
+                again.append(times > 1)
+            if row:
+                both = np.concatenate(found).view(np.int64)
+                cells = [pa.array(both[:, 0]), pa.array(both[:, 1]), b.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(again))]
+                yield pa.RecordBatch.from_arrays(cells, names=["high", "low", "id", "again"])
 
     rows = docs.filter(col(id_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"))
-    return map_batches(rows, run, f"high long, low long, id {sql_type(docs, id_col)}")
+    return map_batches(rows, run, f"high long, low long, id {sql_type(docs, id_col)}, again boolean")
 
 
-def clean(text: str, repeated: set[int], least: int, words: int) -> tuple[str, int, list[tuple[int, int]]]:
+def clean(text: str, repeated: list[int], least: int, words: int) -> tuple[str, list[tuple[int, int]]]:
     """The text without sentences of ``repeated`` runs (by the high half of
     their hash) and of runs that stand further up in the same text; with the
-    number of its sentences and the character ranges removed."""
-    at, parts = _parts(text)
-    gone: set[int] = set()
-    seen: set[int] = set()
-    for (first, last), h in sorted(runs(parts, least, words).items()):
-        if _signed(h >> 64) in repeated or h in seen:
-            gone.update(range(first, last + 1))
-        seen.add(h)
+    character ranges removed."""
+    ends, parts, counts = sentences(text)
+    first, last, hashes = runs(parts, counts, least, words)
+    high = hashes[:, 0].view(np.int64)
+    once = np.zeros(len(high), bool)
+    once[np.unique(high, return_index=True)[1]] = True
+    bad = ~once | np.isin(high, np.array(repeated, np.int64))
+    change = np.zeros(len(parts) + 1, np.int64)
+    np.add.at(change, first[bad], 1)
+    np.add.at(change, last[bad] + 1, -1)
+    gone = np.cumsum(change) > 0
     ranges: list[tuple[int, int]] = []
-    for n in sorted(gone):
-        if ranges and ranges[-1][1] == at[n][0]:
-            ranges[-1] = (ranges[-1][0], at[n][1])
-        else:
-            ranges.append(at[n])
     kept, start = [], 0
-    for a, b in ranges:
-        kept.append(text[start:a])
-        start = b
-    kept.append(text[start:])
-    return "".join(kept) if not ranges else "".join(kept).rstrip(), len(at), ranges
+    for n, end in enumerate(ends):
+        if not gone[n]:
+            kept.append(text[start:end])
+        elif ranges and ranges[-1][1] == start:
+            ranges[-1] = (ranges[-1][0], end)
+        else:
+            ranges.append((start, end))
+        start = end
+    return "".join(kept).rstrip() if ranges else text, ranges
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, words: int = 15) -> DataFrame:
-    """``docs`` with the cleaned text and _sentences, _removed (an array of
-    start and end of the character ranges taken out of the given text); columns
-    of these names are replaced.
+    """``docs`` with the cleaned text and _removed, an array of start and end of
+    the character ranges taken out of the given text; a column of that name is
+    replaced.
 
     Texts without a repeated run come back as they are; null stays null, a text
     that is all repeats becomes empty. Rows that repeat an id count as one
     document and keep what that document keeps; rows without an id take no part
     and stay. An empty table gives none.
     """
-    docs = docs.drop("_sentences", "_removed")
+    docs = docs.drop("_removed")
     mark = fresh(docs, "_repeated")
     found = spans(docs, id_col, text_col, least, words)
-    first = found.groupBy("high", "low").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["high", "low"]).filter(F.col("id") != F.col("first")).groupBy("id").agg(F.collect_set("high").alias(mark))
+    more = F.sum(F.when(F.col("again"), 2).otherwise(1))
+    first = found.groupBy("high", "low").agg(F.min("id").alias("first"), more.alias("n")).filter("n > 1").drop("n")
+    hits = found.join(first, ["high", "low"]).filter((F.col("id") != F.col("first")) | F.col("again"))
+    later = hits.groupBy("id").agg(F.collect_set(F.when(F.col("id") != F.col("first"), F.col("high"))).alias(mark))
     rows = docs.join(later.withColumnRenamed("id", id_col), id_col, "left").select(*[col(c) for c in docs.columns], col(mark))
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts, counts, removed = [], [], []
-            for t, repeated in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                text, n, ranges = clean(t or "", set(repeated or ()), least, words)
-                texts.append(None if t is None else text)
-                counts.append(n)
+            texts, removed = b.column(at).to_pylist(), []
+            for n, repeated in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                ranges = []
+                if texts[n] and repeated is not None:
+                    texts[n], ranges = clean(texts[n], repeated, least, words)
                 removed.append([{"start": s, "end": e} for s, e in ranges])
             cells = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*cells, pa.array(counts, pa.int32()), pa.array(removed, kind)], names=[*names, "_sentences", "_removed"])
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(removed, kind)], names=[*names, "_removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(rows, run, f"{schema}, _sentences int, _removed array<struct<start:bigint,end:bigint>>")
+    return map_batches(rows, run, f"{schema}, _removed array<struct<start:bigint,end:bigint>>")
 
 
