@@ -76,7 +76,7 @@ def write_archives(rows: DataFrame, path: str, per_file: int = 4_000) -> None:
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     out = rows.select(F.concat(F.concat_ws("\r\n", *fields), F.lit("\r\n\r\n"), block).alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 class Damaged(ValueError):
@@ -128,6 +128,7 @@ def parse_record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
     return {
         "type": kind, "record_id": headers.get("warc-record-id"), "uri": headers.get("warc-target-uri"), "refers_to": headers.get("warc-refers-to"),
         "digest": digest[5:].upper() if kind == "revisit" and digest else sha, "n_bytes": n_bytes, "payload": payload,
+        "verified": kind != "revisit" and digest.lower().startswith("sha1:"),
     }, end + len(END)
 
 
@@ -156,41 +157,44 @@ def _plain(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
             at = end
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """One gzip member: its content and the place after it."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """One gzip member: its content, the place after it, and what is wrong with
+    it; a damaged member gives what came out before the damage."""
+    d, view, out = zlib.decompressobj(31), memoryview(data), []
     try:
-        d = zlib.decompressobj(31)
-        out = d.decompress(data[at:] if at else data)
-        if not d.eof:
-            raise Damaged("member cut off")
-        return out, len(data) - len(d.unused_data)
+        while not d.eof and at < len(data):
+            out.append(d.decompress(view[at : at + 65536]))
+            at = min(at + 65536, len(data))
     except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
+        return b"".join(out), at, f"member: {e}"
+    return b"".join(out), at - len(d.unused_data), None if d.eof else "member cut off"
 
 
 def _members(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """The same over gzip members, each with one or more whole records."""
+    """The same over gzip members, each with one or more whole records. Of a
+    damaged member the records with a digest that agrees are recovered."""
     at = 0
     while at < len(data):
-        try:
-            content, end = _inflate(data, at)
+        content, end, wrong = _inflate(data, at)
+        if wrong is None:
             for _, _, record, reason in _plain(content):
                 yield at, end, record, reason
             at = end
-        except Damaged as e:
-            look = at + 1
-            while True:
-                end = data.find(MEMBER, look)
-                if end < 0:
-                    end = len(data)
-                    break
-                try:
-                    _inflate(data, end)
-                    break
-                except Damaged:
-                    look = end + 1
-            yield at, end, None, str(e)
-            at = end
+            continue
+        look = at + 1
+        while True:
+            end = data.find(MEMBER, look)
+            if end < 0:
+                end = len(data)
+                break
+            if _inflate(data, end)[2] is None:
+                break
+            look = end + 1
+        for _, _, record, _ in _plain(content):
+            if record and record["verified"]:
+                yield at, end, record, None
+        yield at, end, None, wrong
+        at = end
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
@@ -208,13 +212,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     arrow = None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = {k: None for k in ("type", "record_id", "uri", "refers_to", "digest", "n_bytes", "payload")}
+        fields = ("type", "record_id", "uri", "refers_to", "digest", "n_bytes", "payload")
         for b in batches:
             for i in range(b.num_rows):
                 name, data = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 held = []
                 for start, end, record, reason in salvage(data):
-                    row = {"path": name, "start": start, "end": end, "reason": reason, **(record or empty)}
+                    row = {"path": name, "start": start, "end": end, "reason": reason, **{k: (record or {}).get(k) for k in fields}}
                     held.append(row if payloads else {**row, "payload": None})
                     if len(held) == 256:
                         yield pa.RecordBatch.from_pylist(held, schema=arrow)
