@@ -1,8 +1,8 @@
 """WARC archives: a de-duplicating writer and a salvage reader.
 
-The writer turns rows into WARC/1.0 records and leaves the files to Spark's
-text writer: the record separator is the line separator, so archives are
-written, retried and committed on any store that Spark reaches.
+The writer turns rows into WARC/1.0 records, each a gzip member of its own, and
+leaves the files to Spark's text writer, so archives are written, retried and
+committed on any store that Spark reaches. Damage to a member costs one record.
 
 The reader walks an archive record by record and checks version line, header
 block, length, closing separator and digests. Where a check fails it looks for
@@ -13,6 +13,7 @@ compressed archives), goes on from there and logs the bytes between as a gap.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -23,11 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stream_folder
-from .common import col, map_batches
+from .common import col, map_batches, slices
 
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 MEMBER = b"\x1f\x8b\x08"
+PIECE = 65536
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -57,9 +59,16 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " ")
 
 
+def _member(record: bytes) -> bytes:
+    """A gzip member without its last byte, which is 0: the highest byte of the
+    length below 16 MB; an empty member follows a longer record."""
+    packed = gzip.compress(record, 9, mtime=0)
+    return (packed if packed[-1] == 0 else packed + gzip.compress(b"", mtime=0))[:-1]
+
+
 def write_archives(rows: DataFrame, path: str, per_file: int = 4_000) -> None:
     """Writes rows of :func:`records` as archives of at most ``per_file``
-    records; ids go into the record ids."""
+    records, a gzip member each; ids go into the record ids."""
     uri = lambda c: F.concat(F.lit("<urn:record:"), c.cast("string"), F.lit(">"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(F.col("refers_to").isNull(), F.concat(head, F.col("body"))).otherwise(head)
@@ -75,8 +84,15 @@ def write_archives(rows: DataFrame, path: str, per_file: int = 4_000) -> None:
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
-    out = rows.select(F.concat(F.concat_ws("\r\n", *fields), F.lit("\r\n\r\n"), block).alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    out = rows.select(F.concat(F.concat_ws("\r\n", *fields), F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n")).cast("binary").alias("value"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            yield pa.RecordBatch.from_arrays([pa.array([_member(x.as_py()) for x in b.column(0)], pa.binary())], names=["value"])
+
+    # The line separator is the last byte of every member.
+    packed = map_batches(out, run, "value binary").select(F.col("value").cast("string"))
+    packed.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).option("compression", "none").text(path)
 
 
 class Damaged(ValueError):
@@ -159,46 +175,91 @@ def _plain(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     """One gzip member: its content, the place after it, and what is wrong with
-    it; a damaged member gives what came out before the damage."""
+    it; a damaged member gives all that comes out before the damage."""
     d, view, out = zlib.decompressobj(31), memoryview(data), []
-    try:
-        while not d.eof and at < len(data):
-            out.append(d.decompress(view[at : at + 65536]))
-            at = min(at + 65536, len(data))
-    except zlib.error as e:
-        return b"".join(out), at, f"member: {e}"
+    while not d.eof and at < len(data):
+        before = d.copy() if at + PIECE < len(data) or out else None
+        try:
+            out.append(d.decompress(view[at : at + PIECE]))
+        except zlib.error as e:
+            out.append(_up_to_error(before or zlib.decompressobj(31), view[at : at + PIECE]))
+            return b"".join(out), min(at + PIECE, len(data)), f"member: {e}"
+        at = min(at + PIECE, len(data))
     return b"".join(out), at - len(d.unused_data), None if d.eof else "member cut off"
 
 
+def _up_to_error(d: zlib._Decompress, piece: memoryview) -> bytes:
+    """What comes out of a piece before zlib raises, but for the last byte: zlib
+    gives nothing of the call that raises, so the last stretch is taken byte by
+    byte."""
+    out = []
+    for at in range(0, len(piece), 256):
+        before, step = d.copy(), piece[at : at + 256]
+        try:
+            out.append(d.decompress(step))
+        except zlib.error:
+            tail: bytes | memoryview = step
+            try:
+                while not before.eof:
+                    byte = before.decompress(tail, 1)
+                    if not byte and not before.unconsumed_tail:
+                        break
+                    out.append(byte)
+                    tail = before.unconsumed_tail
+            except zlib.error:
+                pass
+            break
+    return b"".join(out)
+
+
+def _recovered(content: bytes, wrong: str) -> list[dict]:
+    """Records of a damaged member: whole ones (closing separator included) up
+    to the first that fails, behind it those with a digest that agrees. Where
+    only the check sum differs and nothing fails, any record without a digest
+    may be the damaged one; where only the length differs, none is."""
+    found = list(_plain(content + b"\n" if content.endswith(END[:3]) else content))  # the byte that zlib keeps
+    bad = next((n for n, (_, _, r, _) in enumerate(found) if r is None), None)
+    if bad is None:
+        bad = 0 if "incorrect data check" in wrong else len(found)
+    return [r for n, (_, _, r, _) in enumerate(found) if r and (n < bad or r["verified"])]
+
+
+def _next_member(data: bytes, at: int) -> int:
+    """The next place from ``at`` on where a member starts that is whole or
+    gives a record; the end of the data without one."""
+    while (at := data.find(MEMBER, at)) >= 0:
+        content, _, wrong = _inflate(data, at)
+        if wrong is None or _recovered(content, wrong):
+            return at
+        at += 1
+    return len(data)
+
+
 def _members(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """The same over gzip members, each with one or more whole records. Of a
-    damaged member the records with a digest that agrees are recovered."""
+    """The same over gzip members, each with one or more whole records."""
     at = 0
     while at < len(data):
         content, end, wrong = _inflate(data, at)
         if wrong is None:
             for _, _, record, reason in _plain(content):
                 yield at, end, record, reason
-            at = end
-            continue
-        look = at + 1
-        while True:
-            end = data.find(MEMBER, look)
-            if end < 0:
-                end = len(data)
-                break
-            if _inflate(data, end)[2] is None:
-                break
-            look = end + 1
-        for _, _, record, _ in _plain(content):
-            if record and record["verified"]:
+        else:
+            end = _next_member(data, at + 1)
+            for record in _recovered(content, wrong):
                 yield at, end, record, None
-        yield at, end, None, wrong
+            yield at, end, None, wrong
         at = end
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    return _members(data) if data[:3] == MEMBER else _plain(data)
+    if data[:3] == MEMBER:
+        return _members(data)
+    if not VERSION.match(data):
+        # The start is damaged: what comes first behind it tells the kind.
+        lost = next(iter(_plain(data)), (0, len(data)))[1]
+        if _next_member(data, 0) < lost:
+            return _members(data)
+    return _plain(data)
 
 
 ROW = "path string, start long, end long, reason string, type string, record_id string, uri string, refers_to string, digest string, n_bytes long, payload binary"
