@@ -99,17 +99,25 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
-def parse_record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
+def _header_end(data: bytes, at: int) -> int:
+    """Where the header that starts at ``at`` ends, however long it is: before
+    the next version line at the latest. -1 without an end."""
+    stop = data.find(END, at, at + PIECE)
+    if stop < 0:
+        after = VERSION.search(data, at + 1)
+        stop = data.find(END, at, after.start() if after else len(data))
+    return stop
+
+
+def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at ``at`` and the place after it."""
-    data = memoryview(data)
-    window = bytes(data[at : at + 65536])
-    if not VERSION.match(window):
+    if not VERSION.match(data, at):
         raise Damaged("no version line")
-    stop = window.find(END)
+    stop = _header_end(data, at)
     if stop < 0:
         raise Damaged("header without end")
     headers = {}
-    for line in window[:stop].split(b"\r\n")[1:]:
+    for line in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
@@ -117,13 +125,13 @@ def parse_record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", length):
         raise Damaged("no content length")
-    start = at + stop + len(END)
+    start = stop + len(END)
     end = start + int(length)
     if end > len(data):
         raise Damaged("cut off")
-    if bytes(data[end : end + 4]) != END:
+    if data[end : end + 4] != END:
         raise Damaged("no separator after the block")
-    block = bytes(data[start:end])
+    block = data[start:end]
     kind = headers.get("warc-type", "")
     if not kind:
         raise Damaged("no record type")
@@ -150,10 +158,10 @@ def parse_record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
 
 def _plain(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(start, end, record or None, reason) over an uncompressed archive."""
-    at, view = 0, memoryview(data)
+    at = 0
     while at < len(data):
         try:
-            record, end = parse_record(view, at)
+            record, end = parse_record(data, at)
             yield at, end, record, None
             at = end
         except Damaged as e:
@@ -164,7 +172,7 @@ def _plain(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
                     end = len(data)
                     break
                 try:
-                    parse_record(view, found.start())
+                    parse_record(data, found.start())
                     end = found.start()
                     break
                 except Damaged:
