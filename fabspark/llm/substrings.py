@@ -1,12 +1,18 @@
 """Substring de-duplication by sliding spans of sentences.
 
-Every run of consecutive sentences (at least ``sentences`` of them and
-``words`` words; from each sentence the shortest run that starts there and the
-shortest that ends there) is hashed to 128 bits. A global join finds the runs
+Every run of consecutive sentences (at least ``least`` of them and ``words``
+words, or one sentence of so many words; from each sentence the shortest run
+that starts there and the shortest that ends there) is hashed to 128 bits. A global join finds the runs
 that stand in several documents; the document with the smallest id keeps a run,
 elsewhere, and on repeats inside a document, its sentences go. A passage that
 repeats is covered by runs from its first whole sentence to its last.
 
+Longer sentences are cut inside, so "sentence" means a part of at most ``LONG``
+words here. Wherever a repeated passage begins and ends, at most ``LONG`` words
+at either end lie in parts that it shares with other text. Every passage of
+over 50 words therefore has 21 words or more in common parts: at least two of
+them, a run with the defaults of ``least`` and ``words``.
+
 A frequent run is summed up before it is shuffled, and the join back is a plain
 equi-join whose large keys adaptive execution splits.
 """
@@ -27,22 +33,25 @@ from .common import col, fresh, map_batches, slices, sql_type, texts_of
 SENTENCE = re.compile("[.!?…。！？][\"'”’)\\]]*\\s+|\n\\s*")
 CLAUSE = re.compile(r"[,;:]\s+")
 WORD = re.compile(r"\S+\s*")
-LONG, LONGEST = 25, 40
+LONG, WINDOW = 15, 10
 # Odd multipliers of two polynomial hashes modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def sentences(text: str) -> tuple[list[int], list[str], list[int]]:
+def sentences(text: str, places: bool = True) -> tuple[list[int], list[str], list[int]]:
     """Ends of the sentences (white space after them included), their text
-    lower-cased with single spaces, and their numbers of words.
+    lower-cased with single spaces, and their numbers of words. Without
+    ``places`` ends inside a clause are not worked out.
 
     Of sentences above ``LONG`` words the clauses stand for sentences, and a
-    clause above ``LONGEST`` words is cut after words of a certain hash: cuts
-    depend on the words at hand, so equal passages are cut alike anywhere.
+    clause above ``LONG`` words is cut after the word of smallest hash of every
+    ``WINDOW`` neighbouring ones: cuts depend on the words at hand, so equal
+    passages are cut alike anywhere, at least once in ``WINDOW`` words.
     """
     ends: list[int] = []
     parts: list[str] = []
     counts: list[int] = []
+    long: list[tuple[int, int, list[str]]] = []
 
     def put(words: list[str], end: int) -> None:
         ends.append(end)
@@ -56,18 +65,51 @@ def sentences(text: str) -> tuple[list[int], list[str], list[int]]:
             continue
         for a, b in _cuts(CLAUSE, text, lo, hi):
             words = text[a:b].split()
-            if len(words) <= LONGEST:
-                put(words, b)
-                continue
-            held: list[str] = []
-            for w in WORD.finditer(text, a, b):
-                held.append(w[0].rstrip())
-                if xxhash.xxh32_intdigest(held[-1]) % 12 == 0:
-                    put(held, w.end())
-                    held = []
-            if held:
-                put(held, b)
-    return ends, parts, counts
+            put(words, b)
+            if len(words) > LONG:
+                long.append((len(parts) - 1, a, parts[-1].split(" ")))
+    if not long:
+        return ends, parts, counts
+    cuts = _smallest([words for *_, words in long])
+    out: tuple[list[int], list[str], list[int]] = ([], [], [])
+    done = 0
+    for (at, start, words), stops in zip(long, cuts, strict=True):
+        for one, all_ in zip((ends, parts, counts), out, strict=True):
+            all_ += one[done:at]
+        stops = [*stops, len(words)] if not stops or stops[-1] < len(words) else stops
+        place = [m.end() for m in WORD.finditer(text, start, ends[at])] if places else None
+        before = 0
+        for stop in stops:
+            out[0].append(place[stop - 1] if place else ends[at])
+            out[1].append(" ".join(words[before:stop]))
+            out[2].append(stop - before)
+            before = stop
+        done = at + 1
+    for one, all_ in zip((ends, parts, counts), out, strict=True):
+        all_ += one[done:]
+    return out
+
+
+def _smallest(clauses: list[list[str]]) -> list[list[int]]:
+    """Per clause the numbers of words up to each cut: behind the word of
+    smallest hash, the last of equal ones, of every window of words."""
+    sizes = np.fromiter(map(len, clauses), np.int64, len(clauses))
+    n = int(sizes.sum())
+    hashes = np.fromiter((xxhash.xxh32_intdigest(w) for words in clauses for w in words), np.uint64, n)
+    least = (hashes << np.uint64(32)) | np.arange(n, 0, -1, dtype=np.uint64)
+    width = 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    owner = np.repeat(np.arange(len(clauses)), sizes)
+    inside = owner[: n - WINDOW + 1] == owner[WINDOW - 1 :]
+    found = n - np.unique(least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)[::-1]
+    start = np.cumsum(sizes) - sizes
+    of = owner[found]
+    edges = np.searchsorted(of, np.arange(len(clauses) + 1))
+    after = (found + 1 - start[of]).tolist()
+    return [after[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _cuts(pattern: re.Pattern, text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
@@ -90,8 +132,9 @@ def runs(parts: list[str], counts: list[int], least: int, words: int) -> tuple[n
     n = len(parts)
     upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     at = np.arange(n)
-    end = np.maximum(np.searchsorted(upto, upto[:-1] + words), at + least)  # shortest run from here on
-    start = np.minimum(np.searchsorted(upto, upto[1:] - words, side="right") - 1, at + 1 - least)  # shortest run up to here
+    alone = np.diff(upto) >= words
+    end = np.where(alone, at + 1, np.maximum(np.searchsorted(upto, upto[:-1] + words), at + least))  # shortest run from here on
+    start = np.where(alone, at, np.minimum(np.searchsorted(upto, upto[1:] - words, side="right") - 1, at + 1 - least))  # shortest run up to here
     ahead, back = end <= n, start >= 0
     pairs = np.unique(np.concatenate([at[ahead] * (n + 1) + end[ahead] - 1, start[back] * (n + 1) + at[back]]))
     first, last = np.divmod(pairs, n + 1)
@@ -112,8 +155,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         for b in slices(batches):
             row, found, again = [], [], []
             for n, t in enumerate(texts_of(b, 1)):
-                _, parts, counts = sentences(t)
-                if len(parts) < least or sum(counts) < words:
+                _, parts, counts = sentences(t, places=False)
+                if sum(counts) < words:
                     continue
                 _, _, hashes = runs(parts, counts, least, words)
                 high, first, times = np.unique(hashes[:, 0], return_index=True, return_counts=True)
