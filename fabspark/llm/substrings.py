@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import col, fresh, map_batches, slices, sql_type, texts_of
 
-SENTENCE = re.compile("[.!?…。！？][\"'”’)\\]]*\\s+|\n\\s*")
-CLAUSE = re.compile(r"[,;:]\s+")
-WORD = re.compile(r"\S+\s*")
+SENTENCE = re.compile("[.!?…][\"'”’)\\]]*\\s+|[。！？｡]+[\"'”’)\\]」』）】》〉]*\\s*|\n\\s*")
+CLAUSE = re.compile(r"[,;:]\s+|[，、；：､]\s*")
+# Scripts without spaces between words (Thai to Myanmar, Khmer, kana, ideographs): a character is a word.
+BARE = "\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+ANY_BARE = re.compile(f"[{BARE}]")
+UNIT = re.compile(rf"[{BARE}]|[^\s{BARE}]+")
+WORD = re.compile(rf"(?:[{BARE}]|[^\s{BARE}]+)\s*")
 LONG, WINDOW = 15, 10
 # Odd multipliers of two polynomial hashes modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -41,7 +45,8 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 def sentences(text: str, places: bool = True) -> tuple[list[int], list[str], list[int]]:
     """Ends of the sentences (white space after them included), their text
     lower-cased with single spaces, and their numbers of words. Without
-    ``places`` ends inside a clause are not worked out.
+    ``places`` ends inside a clause are not worked out. In scripts without
+    spaces each character counts as a word.
 
     Of sentences above ``LONG`` words the clauses stand for sentences, and a
     clause above ``LONG`` words is cut after the word of smallest hash of every
@@ -52,6 +57,7 @@ def sentences(text: str, places: bool = True) -> tuple[list[int], list[str], lis
     parts: list[str] = []
     counts: list[int] = []
     long: list[tuple[int, int, list[str]]] = []
+    split = UNIT.findall if not text.isascii() and ANY_BARE.search(text) else str.split
 
     def put(words: list[str], end: int) -> None:
         ends.append(end)
@@ -59,12 +65,12 @@ def sentences(text: str, places: bool = True) -> tuple[list[int], list[str], lis
         counts.append(len(words))
 
     for lo, hi in _cuts(SENTENCE, text, 0, len(text)):
-        words = text[lo:hi].split()
+        words = split(text[lo:hi])
         if len(words) <= LONG:
             put(words, hi)
             continue
         for a, b in _cuts(CLAUSE, text, lo, hi):
-            words = text[a:b].split()
+            words = split(text[a:b])
             put(words, b)
             if len(words) > LONG:
                 long.append((len(parts) - 1, a, parts[-1].split(" ")))
