@@ -3,8 +3,8 @@
 Two generative models of hashed n-grams (words, neighbouring words, runs of
 characters in words) are counted: the target, over a bounded sample of rows
 labelled good, and the raw text, over every document. A document's log weight is the sum of log ratios of target and raw
-probability over its features; features whose target count agrees with the raw
-model within sampling error have ratio one. Documents are drawn without
+probability over its features, each drawn towards 0 the less it stands out of
+its sampling error, so that many weak features add up. Documents are drawn without
 replacement by Gumbel top-k: noise that depends on id and seed alone is added
 to the log weights and the k largest keys stay.
 """
@@ -131,9 +131,11 @@ def count_features(docs: DataFrame, target: set) -> DataFrame:
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, smooth: float = 1.0, error: float = 6.0, least: float = 1.5) -> np.ndarray:
-    """Log ratio per bucket, 0 within ``error`` deviations of the sampling error
-    or below ``least``; the table has one row per bucket at most."""
+def log_ratios(counts: DataFrame, smooth: float = 1.0, error: float = 4.0, common: float = 0.7) -> np.ndarray:
+    """Log ratio per bucket, shrunk: by half at ``error`` deviations of the
+    sampling error, and by half where it is ``common``, an error that all words
+    of a language or a topic may share; none is set to 0. The table has one row
+    per bucket at most."""
     rows = counts.toPandas()
     raw, aim = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows["bucket"]], aim[rows["bucket"]] = rows["raw"], rows["target"]
@@ -141,8 +143,8 @@ def log_ratios(counts: DataFrame, smooth: float = 1.0, error: float = 6.0, least
     for part in (slice(0, WORDS), slice(WORDS, WORDS + GRAMS), slice(WORDS + GRAMS, BUCKETS)):
         want = raw[part] * (aim[part].sum() / max(raw[part].sum(), 1))
         ratio = np.log((aim[part] + smooth) / (want + smooth))
-        sure = (np.abs(aim[part] - want) > error * np.sqrt(want + 1)) & (np.abs(ratio) >= least)
-        out[part] = np.where(sure, ratio, 0.0)
+        z = (aim[part] - want) / np.sqrt(want + 1)
+        out[part] = ratio * z**4 / (z**4 + error**4) * ratio**2 / (ratio**2 + common**2)
     return out
 
 
@@ -187,6 +189,19 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
     return float(-np.inf if k == 0 else np.inf if k == len(s) else (s[k - 1] + s[k]) / 2)
 
 
+def informative(weights: np.ndarray, good: np.ndarray, least: float = 2.33) -> bool:
+    """Whether good labels have larger weights than bad ones beyond chance: the
+    rank sum of the good ones, ties sharing their rank, against ``least``
+    deviations (one in a hundred by chance)."""
+    n, g = len(good), int(good.sum())
+    _, which, times = np.unique(weights, return_inverse=True, return_counts=True)
+    if not 0 < g < n or len(times) < 2:
+        return False
+    ranks = (np.cumsum(times) - (times - 1) / 2)[which]
+    spread = g * (n - g) / 12 * (n + 1 - (times**3 - times).sum() / (n * (n - 1)))
+    return bool(ranks[good].sum() - g * (n + 1) / 2 > least * np.sqrt(spread))
+
+
 def kth_largest(scores: DataFrame, key: str, k: int, bins: int = 1024) -> float:
     """The k-th largest key, exactly: counts per bin narrow its interval."""
     low, high, n = scores.agg(F.min(key), F.max(key), F.count(key)).first()
@@ -213,7 +228,8 @@ def resample(
     """(id, log_weight, key, kept) per row, ``kept`` for the k largest keys.
 
     Without ``k`` it is the number of documents above the cut that tells held
-    out good and bad labels apart best. ``sample`` bounds the labelled rows used
+    out good and bad labels apart best, all where the weights do not tell them
+    apart beyond chance. ``sample`` bounds the labelled rows used
     for fitting; the raw model and the draw cover every document. Null texts
     have no features and weight 0; ties at the k-th key all stay; rows that
     repeat an id share their noise; without labels all weights are 0 and every
@@ -226,8 +242,10 @@ def resample(
     scores = cut_lineage(log_weights(rows, ratios, seed))
     if k is None:
         judged = scores.sparkSession.createDataFrame([(i, g) for i, g in known.items() if held_out(i)] or [(None, None)], f"id {rows.schema['id'].dataType.simpleString()}, good boolean")
-        both = scores.join(F.broadcast(judged), "id").select("key", "good").collect()  # at most the label sample, and copies of its ids
-        cut = best_cut(np.array([r[0] for r in both], float), np.array([r[1] for r in both], bool)) if both else -np.inf
+        both = scores.join(F.broadcast(judged), "id").select("key", "good", "log_weight").collect()  # at most the label sample, and copies of its ids
+        good = np.array([r[1] for r in both], bool)
+        told = informative(np.array([r[2] for r in both], float), good)
+        cut = best_cut(np.array([r[0] for r in both], float), good) if told else -np.inf
     else:
         cut = kth_largest(scores, "key", k) if k else np.inf
     return scores.withColumn("kept", F.col("key") >= F.lit(float(cut)))
