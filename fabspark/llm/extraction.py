@@ -154,6 +154,7 @@ def _furniture(node: Node) -> bool:
     return False
 
 
+LINKED = 0.25
 MAIN_PARTS = frozenset(("h1", "main"))
 
 
@@ -231,17 +232,26 @@ def choose(root: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     need = max(10.0, 0.2 * best.score * (1 - _links(best)))
-    kept = []
-    for c in best.parent.children:
-        if isinstance(c, str):
-            continue
-        text = _own_text(c) if c.tag == "p" else ""
-        reads = len(text) > MODERATE and _links(c) < 0.25 or 0 < len(text) <= MODERATE and not c.linked and text[-1] in ".!?"
-        if c is best or (best.tag != "article" and (c.tag == "h1" or reads)) or c.score * (1 - _links(c)) >= need:
-            kept.append(c)
+    if best.tag == "article":
+        return [c for c in best.parent.children if not isinstance(c, str) and (c is best or c.score * (1 - _links(c)) >= need)]
+    # Furniture is gone, so what stands beside the best container up to the
+    # main part or the top is text, unless it is made of links.
+    kept, at = [best], best
+    while at.parent is not None and at.tag != "main":
+        beside = at.parent.children
+        sure = [n for n, c in enumerate(beside) if not isinstance(c, str) and (c is at or _reads(c) or c.score * (1 - _links(c)) >= need)]
+        here = next(n for n, c in enumerate(beside) if c is at)
+        stays = [sure[0] < n < sure[-1] or n in sure or isinstance(c, str) or _links(c) < LINKED for n, c in enumerate(beside)]
+        kept = [c for n, c in enumerate(beside[:here]) if stays[n]] + kept + [c for n, c in enumerate(beside) if n > here and stays[n]]
+        at = at.parent
     return kept
 
 
+def _reads(c: Node) -> bool:
+    text = _own_text(c) if c.tag == "p" else ""
+    return c.tag == "h1" or len(text) > MODERATE and _links(c) < LINKED or 0 < len(text) <= MODERATE and not c.linked and text[-1] in ".!?"
+
+
 def render(nodes: list[Node]) -> str:
     blocks: list[str] = []
     held: list[str] = []
