@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extraction, neighbours, packing, preferences, resampling, simhash, substrings, tokencount, warc
+from . import decontaminate, extraction, manifest, neighbours, packing, preferences, resampling, simhash, substrings, tokencount, warc
 from .common import table
 
 
@@ -72,17 +72,53 @@ def op10_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    more = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = manifest.tampered_manifest(rows, ["doc_id", "source", "lang", "n_chars", "text"], more, picked)
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_substring_dedup, op3_html_extraction, op4_preference_formatting, op5_importance_resampling,
-        op6_permutation_index, op7_warc_salvage, op8_token_counts, op9_decontamination, op10_simhash_bit_sliced,
+        op6_permutation_index, op7_warc_salvage, op8_token_counts, op9_decontamination, op10_simhash_bit_sliced, op11_merkle_manifest,
     )
 }
 
 _RENDERED = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a short ASCII text, bit by bit."""
+    b = f"(CASE WHEN j % 8 = 0 THEN xor(a, ascii(substr({text}, j // 8 + 1, 1))) ELSE a END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], range(0, 8 * strlen({text}))), lambda a, j: xor({b} >> 1, 3988292384 * ({b} & 1))), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")) + ")"
+
+
+_UP = "list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')))"
+_SIBLING = "CASE WHEN pos % 2 = 0 THEN coalesce(h[pos + 2], '') ELSE h[pos] END"
+_FOLD = "sha256(CASE WHEN pos % 2 = 0 THEN c || coalesce(h[pos + 2], '') ELSE h[pos] || c END)"
+
 ORACLES = {
+    "op11_merkle_manifest": f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf('n_chars')} AS leaf,
+        CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS c FROM documents),
+      d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS k FROM t),
+      lv AS (SELECT g, 0 AS l, list(leaf ORDER BY pos) AS h FROM d GROUP BY g UNION ALL SELECT g, l + 1, {_UP} FROM lv WHERE len(h) > 1),
+      s AS (SELECT g, h[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM lv WHERE len(h) = 1),
+      top AS (SELECT 0 AS l, list(subroot ORDER BY g) AS h FROM s UNION ALL SELECT l + 1, {_UP} FROM top WHERE len(h) > 1),
+      w AS (SELECT k, g, 0 AS l, pos, c, '' AS proof FROM d UNION ALL
+        SELECT k, w.g, w.l + 1, pos // 2, {_FOLD}, proof || {_SIBLING} FROM w JOIN lv ON lv.g = w.g AND lv.l = w.l WHERE len(h) > 1),
+      e AS (SELECT w.k, w.g, w.c, w.proof FROM w JOIN lv ON lv.g = w.g AND lv.l = w.l WHERE len(h) = 1),
+      v AS (SELECT e.k, 0 AS l, s.pos, e.c, e.proof FROM e JOIN s USING (g) UNION ALL
+        SELECT k, v.l + 1, pos // 2, {_FOLD}, proof || {_SIBLING} FROM v JOIN top ON top.l = v.l WHERE len(h) > 1)
+      SELECT d.doc_id, d.leaf, s.subroot, top.h[1] AS root, sha256(v.proof) AS proof_sha256, v.c AS folded_root, v.c = top.h[1] AS verified
+      FROM d JOIN s USING (g) JOIN v USING (k) JOIN top ON top.l = v.l AND len(top.h) = 1""",
     "op4_preference_formatting": f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS p,
         count(*) OVER (PARTITION BY conv_id) AS n, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
       r AS (SELECT a.conv_id, a.p, a.role, CASE WHEN a.p < a.n THEN a.text ELSE b.text END AS text
