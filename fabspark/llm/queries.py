@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extraction, manifest, neighbours, packing, preferences, resampling, simhash, substrings, tokencount, warc
+from . import chosen_path, decontaminate, extraction, manifest, neighbours, packing, preferences, prefix_trie, resampling, simhash, substrings, tokencount, warc
 from .common import table
 
 
@@ -80,11 +80,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_substring_dedup, op3_html_extraction, op4_preference_formatting, op5_importance_resampling,
-        op6_permutation_index, op7_warc_salvage, op8_token_counts, op9_decontamination, op10_simhash_bit_sliced, op11_merkle_manifest,
+        op6_permutation_index, op7_warc_salvage, op8_token_counts, op9_decontamination, op10_simhash_bit_sliced, op11_merkle_manifest, op12_prefix_trie, op13_chosen_path,
     )
 }
 
@@ -106,6 +115,31 @@ _SIBLING = "CASE WHEN pos % 2 = 0 THEN coalesce(h[pos + 2], '') ELSE h[pos] END"
 _FOLD = "sha256(CASE WHEN pos % 2 = 0 THEN c || coalesce(h[pos + 2], '') ELSE h[pos] || c END)"
 
 ORACLES = {
+    "op13_chosen_path": r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS k, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      s AS (SELECT k, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+      u AS (SELECT min(k) AS q, min(doc_id) AS low, s FROM s WHERE len(s) > 0 GROUP BY s),
+      e AS (SELECT q, len(s) AS n, unnest(s) AS g FROM u),
+      link AS (SELECT a.q AS a, b.q AS b FROM e a JOIN e b ON a.g = b.g AND a.q < b.q GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+      both_ AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+      reach AS (SELECT q, q AS r FROM u UNION SELECT reach.q, both_.b FROM reach JOIN both_ ON both_.a = reach.r),
+      c AS (SELECT reach.q, min(low) AS component_id FROM reach JOIN u ON u.q = reach.r GROUP BY 1)
+      SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.component_id END AS component_id,
+        s.doc_id IS NOT DISTINCT FROM CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.component_id END AS kept
+      FROM s LEFT JOIN u ON u.s = s.s LEFT JOIN c ON c.q = u.q""",
+    "op12_prefix_trie": f"""WITH o AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+      x AS (SELECT o.c, coalesce(f.own, [])[1:{_crc32('CAST(o.c AS VARCHAR)')} % 9] || o.own[{_crc32('CAST(o.c AS VARCHAR)')} % 9 + 1:] AS p FROM o LEFT JOIN o f ON f.c = o.c - o.c % 5),
+      pre AS (SELECT c, d, p[1:d] AS k, len(p) AS n FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM x)),
+      nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+        CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(k[d].t) END AS saved FROM pre GROUP BY d, k),
+      up AS (SELECT n.*, q.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes q ON q.d = n.d - 1 AND q.k = n.k[1:n.d - 1]),
+      kids AS (SELECT d - 1 AS d, parent_conv_id AS conv_id, count(*) AS n_children FROM up WHERE d > 0 GROUP BY 1, 2),
+      full_ AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (d, conv_id)),
+      sub AS (SELECT a AS d, k[1:a] AS k, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+        FROM (SELECT k, saved, n_children, unnest(range(0, d + 1)) AS a FROM full_) GROUP BY 1, 2)
+      SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_ JOIN sub USING (d, k)""",
     "op11_merkle_manifest": f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf('n_chars')} AS leaf,
         CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS c FROM documents),
       d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS k FROM t),
