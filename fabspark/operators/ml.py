@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_bucket
 from .metrics import binary_scores, confusion, curve, regression, roc_pr_auc, threshold_by_f1
+from .minibatch import MiniBatchKMeans
 from .ordered import HOT_ROWS, Ordered
 from .ranks import attach_stats, quantile_name, quantiles
 
@@ -159,10 +160,11 @@ def explained_variance(df: DataFrame, vector: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "component int, share double, cumulative double")
 
 
-def fit_clusters(df: DataFrame, vector: str, k: int, kind: str = "kmeans", variance: float | None = 0.95, seed: int = 42):
+def fit_clusters(df: DataFrame, vector: str, k: int, kind: str = "kmeans", variance: float | None = 0.95, seed: int = 42, keys: Sequence[str] | None = None):
     """Scaling, PCA up to a share of variance, then clustering. Returns the
     preparation model, the cluster model and the prepared rows. As many
-    components are kept as the share takes, up to the vector's width."""
+    components are kept as the share takes, up to the vector's width. Kinds are
+    ``kmeans``, ``gmm`` and ``minibatch``; the last samples rows by ``keys``."""
     scaler = StandardScaler(inputCol=vector, outputCol="_scaled", withMean=True, withStd=True).fit(df)
     stages, last = [scaler], "_scaled"
     if variance:
@@ -176,6 +178,8 @@ def fit_clusters(df: DataFrame, vector: str, k: int, kind: str = "kmeans", varia
         model = KMeans(k=k, seed=seed).fit(ready)
     elif kind == "gmm":
         model = GaussianMixture(k=k, seed=seed).fit(ready)
+    elif kind == "minibatch":
+        model = MiniBatchKMeans(k, seed=seed).fit(ready, keys or [c for c in df.columns if c != vector])
     else:
         raise ValueError(f"unknown clustering {kind!r}")
     return prep, model, ready

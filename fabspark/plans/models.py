@@ -6,10 +6,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import clustering, ml, neighbours
+from ..operators import clustering, incremental, ml, neighbours
 from ..operators.metrics import multilabel, regression
 from ..session import stream_folder, table
 from ..sources.writers import load_model, save_model
+from ..streaming.sources import Replay
 from .registry import query, r
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -95,6 +96,47 @@ def kmeans_clusters(spark, sf):
     return model.transform(ready).select("vec_id", "prediction")
 
 
+@query("kmeans_mini_batch")
+def kmeans_mini_batch(spark, sf):
+    _, model, ready = ml.fit_clusters(vectors(spark, sf), "vector", 5, kind="minibatch", keys=["vec_id"])
+    return model.transform(ready).select("vec_id", "prediction", "cost")
+
+
+def _batches(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "ts", "value", (F.hour("ts") / 24.0).alias("day_part"), (F.col("user_id") % 10 / 10.0).alias("user_part"))
+    return Replay(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", 7 * 24 * 3600)
+
+
+EQUATIONS = """e AS (SELECT *, hour(ts) / 24.0 AS a, user_id % 10 / 10.0 AS b, value AS y FROM events)"""
+
+
+@query(
+    "incremental_least_squares",
+    f"""WITH {EQUATIONS}, s AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby FROM e),
+    c AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS ca, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS cb FROM s)
+    SELECT 'intercept' AS term, {r('my - ca * ma - cb * mb')} AS coefficient, n FROM c UNION ALL SELECT 'day_part', {r('ca')}, n FROM c UNION ALL SELECT 'user_part', {r('cb')}, n FROM c""",
+)
+def incremental_least_squares(spark, sf):
+    source = _batches(spark, sf)
+    out = incremental.fit_least_squares(source.stream(), ["day_part", "user_part"], "value", arrivals=source)
+    return out.withColumn("coefficient", rounded("coefficient"))
+
+
+@query(
+    "incremental_gradient",
+    f"""WITH RECURSIVE {EQUATIONS}, k AS (SELECT *, CAST(epoch_us(ts) AS BIGINT) // 604800000000 AS week FROM e),
+    s AS (SELECT dense_rank() OVER (ORDER BY week) - 1 AS batch, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS by_ FROM k GROUP BY week),
+    w AS (SELECT CAST(-1 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb UNION ALL
+      SELECT s.batch, s.n, w0 - 0.3 * (s.n * w0 + s.a * wa + s.b * wb - s.y) / s.n, wa - 0.3 * (s.a * w0 + s.aa * wa + s.ab * wb - s.ay) / s.n, wb - 0.3 * (s.b * w0 + s.ab * wa + s.bb * wb - s.by_) / s.n
+      FROM w JOIN s ON s.batch = w.batch + 1)
+    SELECT batch, n, unnest(['intercept', 'day_part', 'user_part']) AS term, round(unnest([w0, wa, wb]), 6) + 0.0 AS coefficient FROM w WHERE batch >= 0""",
+)
+def incremental_gradient(spark, sf):
+    source = _batches(spark, sf)
+    out = incremental.fit_gradient(source.stream(), ["day_part", "user_part"], "value", rate=0.3, arrivals=source)
+    return out.select(F.col("batch").cast("long").alias("batch"), "n", "term", rounded("coefficient").alias("coefficient"))
+
+
 @query("mixture_clusters")
 def mixture_clusters(spark, sf):
     _, model, ready = ml.fit_clusters(vectors(spark, sf), "vector", 3, kind="gmm", variance=0.3)

@@ -3,14 +3,16 @@ step has a watermark, so its state is bounded."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.outliers import alerts
-from ..operators.ranks import attach_stats
 from .sources import drain_batches
 
 # Inspection classes in the order of the class index.
@@ -93,9 +95,67 @@ def sla_breaches(df: DataFrame, latency_ms: str, target: float = 50.0) -> DataFr
     return df.filter(F.col(latency_ms) > target)
 
 
-def once_per_key(df: DataFrame, keys: dict[str, Column], ts: str, ttl: str = "60 seconds") -> DataFrame:
-    """One row per rounded key within the time to live, before scoring."""
-    return df.withColumns(keys).withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(keys))
+class _CachedScores(StatefulProcessor):
+    """Per key the score in force and when it was computed."""
+
+    def __init__(self, ttl: int, names: list[str]):
+        self.ttl, self.names = ttl, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "at long, score double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        asked = pd.concat(list(rows)).sort_values(["asked_at", "asked_id"], kind="stable")
+        entry = self.entry.get() if self.entry.exists() else None
+        at, score = (entry[0], entry[1]) if entry is not None else (None, None)
+        hits, scores, put = [], [], False
+        for now, fresh in zip(asked["asked_at"].tolist(), asked["fresh"].tolist()):
+            hits.append(at is not None and now - at < self.ttl)
+            if not hits[-1]:
+                at, score, put = now, fresh, True
+            scores.append(score)
+        if put:
+            self.entry.update((at, score))
+            self.handle.registerTimer((at + self.ttl) // 1000 + 1)
+        out = {n: [k] * len(asked) for n, k in zip(self.names, key)}
+        yield pd.DataFrame(out | {"asked_id": asked["asked_id"].tolist(), "asked_at": asked["asked_at"].tolist(), "score": scores, "cache_hit": hits})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.entry.exists() and self.entry.get()[0] + self.ttl <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.entry.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def cached_scores(df: DataFrame, keys: dict[str, Column], ts: str, row_id: str, score: Column, ttl_seconds: int = 60, delay: str = "1 minute") -> DataFrame:
+    """(keys, row_id, at_us, score, cache_hit) per row: the score of the rounded
+    key that is in force, computed at most ``ttl_seconds`` before the row; a row
+    without one is a miss, and its own score is stored.
+
+    Rows of a key are taken in order of time and id. State is one entry per key
+    and goes when the watermark passes its end. Needs the RocksDB state store
+    (:func:`with_state_store`).
+    """
+    kind = {f.name: f.dataType.simpleString() for f in df.select(row_id, *[c.alias(n) for n, c in keys.items()]).schema}
+    asked = df.withColumns({**keys, "asked_id": F.col(row_id), "asked_at": F.unix_micros(F.col(ts).cast("timestamp")), "fresh": score.cast("double")}).withWatermark(ts, delay)
+    schema = ", ".join([*(f"{n} {kind[n]}" for n in keys), f"asked_id {kind[row_id]}", "asked_at long", "score double", "cache_hit boolean"])
+    out = asked.select(*keys, ts, "asked_id", "asked_at", "fresh").groupBy(*keys).transformWithStateInPandas(_CachedScores(ttl_seconds * 1_000_000, list(keys)), schema, "append", "eventTime")
+    return out.withColumnsRenamed({"asked_id": row_id, "asked_at": "at_us"})
+
+
+@contextmanager
+def with_state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state of any form needs, for streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def running_totals(df: DataFrame, is_anomaly: Column) -> DataFrame:
@@ -112,66 +172,7 @@ def write_by_route(df: DataFrame, name: str, column: str) -> str:
     return drain_batches(df, name, handle)
 
 
-def baseline_stats(buffer: DataFrame, keys: Sequence[str], value: str, needed: int = 100) -> DataFrame:
-    """Mean, deviation, median and MAD of the buffered rows per key. A buffer
-    holds a bounded number of rows per key, so the exact medians do too."""
-    keys = list(keys)
-    stats = buffer.groupBy(*keys).agg(
-        F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"), F.percentile(value, 0.5).alias("_med")
-    ).filter(F.col("_n") >= needed)
-    dev = attach_stats(buffer, stats.select(*keys, "_med"), keys)
-    mad = dev.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_med")), 0.5).alias("_mad"))
-    return attach_stats(stats, mad, keys)
-
-
-def score_against(batch: DataFrame, stats: DataFrame | None, keys: Sequence[str], value: str, z_limit: float = 3.0, m_limit: float = 3.5) -> DataFrame:
-    """Z and modified z flags against the baseline; NULL score without one."""
-    if stats is None:
-        return batch.withColumns({"zscore_flag": F.lit(False), "modified_zscore_flag": F.lit(False), "has_baseline": F.lit(False)})
-    rows = attach_stats(batch, stats, list(keys))
-    z = F.abs(F.try_divide(F.col(value) - F.col("_mean"), F.col("_std"))) > z_limit
-    m = 0.6745 * F.abs(F.try_divide(F.col(value) - F.col("_med"), F.col("_mad"))) > m_limit
-    return rows.withColumns(
-        {
-            "zscore_flag": F.coalesce(z, F.lit(False)),
-            "modified_zscore_flag": F.coalesce(m, F.lit(False)),
-            "has_baseline": F.col("_n").isNotNull(),
-        }
-    ).drop("_n", "_mean", "_std", "_med", "_mad")
-
-
-def adaptive_baseline(df: DataFrame, keys: Sequence[str], ts: str, value: str, row_id: str, window: int = 1000, needed: int = 100, name: str = "baseline") -> DataFrame:
-    """Streaming outlier detection against the last ``window`` rows per key.
-
-    Each micro-batch is scored in parallel against the baseline of the batches
-    before it, so a key with a third of all rows needs no sequential task.
-    Then the buffer table of the batch is written: the newest rows per key of
-    the old buffer and the batch (a rank limit that keeps ``window`` rows per
-    key and partition before the shuffle). A repeated batch reads the same
-    older buffer and overwrites its own outputs.
-    """
-    from ..operators.windows import last_rows
-
-    keys = list(keys)
-
-    def handle(batch: DataFrame, batch_id: int, folder: str) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        old = spark.read.parquet(f"{folder}/buffer/{batch_id - 1}") if batch_id > 0 else None
-        stats = baseline_stats(old, keys, value, needed) if old is not None else None
-        score_against(batch, stats, keys, value).write.mode("overwrite").parquet(f"{folder}/scored/batch={batch_id}")
-        slim = batch.select(*keys, ts, row_id, value)
-        both = slim if old is None else old.unionByName(slim)
-        last_rows(both, keys, [F.desc(ts), F.desc(row_id)], window).write.mode("overwrite").parquet(f"{folder}/buffer/{batch_id}")
-        batch.unpersist()
-
-    folder = drain_batches(df, name, handle)
-    return df.sparkSession.read.parquet(f"{folder}/scored")
-
-
 def route_alerts(scored: DataFrame, flags: Sequence[str], critical: float = 0.8) -> DataFrame:
     """Alert rows with level, methods and recommendation; stateless, so it
     runs on a stream as well."""
     return alerts(scored, flags, critical)
-
-

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..session import stream_folder
 
@@ -43,18 +44,26 @@ def topic_sink(df: DataFrame, servers: str, topic: str, key: str, checkpoint: st
     )
 
 
-def drain(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Runs an append query over what is there now and reads its table back."""
+def _run(writer: DataStreamWriter, folder: str | None, arrivals: Iterable | None) -> None:
+    """Runs a query over what is there now, again after each arrival; batches
+    are numbered on, as the checkpoint stays."""
+    for _ in arrivals if arrivals is not None else [None]:
+        (writer.start(folder) if folder else writer.start()).awaitTermination()
+
+
+def drain(df: DataFrame, name: str, partition_by: list[str] | None = None, arrivals: Iterable | None = None) -> DataFrame:
+    """Runs an append query over what is there now, or what arrives in turn
+    (see :class:`Replay` and :func:`closing`), and reads its table back."""
     spark = df.sparkSession
     base = stream_folder(spark, name)
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    _run(writer.trigger(availableNow=True), f"{base}/out", arrivals)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def drain_batches(df: DataFrame, name: str, handle: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
+def drain_batches(df: DataFrame, name: str, handle: Callable[[DataFrame, int, str], None], mode: str = "append", arrivals: Iterable | None = None) -> str:
     """Runs ``handle(batch, id, folder)`` per micro-batch; returns the folder.
     Handlers write below a path with the batch id, so a repeated batch
     replaces its own output."""
@@ -65,21 +74,50 @@ def drain_batches(df: DataFrame, name: str, handle: Callable[[DataFrame, int, st
         handle(batch, batch_id, f"{base}/out")
 
     writer = df.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{base}/state")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    _run(writer.trigger(availableNow=True), None, arrivals)
     return f"{base}/out"
 
 
-def replay(df: DataFrame, order: str, slices: int, name: str = "replay", file_rows: int = 5_000_000) -> str:
-    """Writes a table as a folder of time-ordered files, so a file stream sees
-    it as successive micro-batches. Cuts are approximate quantiles; there are
-    enough slices for a file to hold about ``file_rows`` rows at most."""
-    spark = df.sparkSession
-    base = stream_folder(spark, name)
-    probe = df.withColumn("_o", F.unix_micros(F.col(order).cast("timestamp")).cast("double"))
-    slices = max(slices, -(-probe.count() // file_rows))
-    cuts = probe.approxQuantile("_o", [i / slices for i in range(1, slices)], min(0.001, 0.1 / slices))
-    edges = [float("-inf"), *cuts, float("inf")]
-    for low, high in zip(edges, edges[1:]):
-        part = probe.filter((F.col("_o") >= low) & (F.col("_o") < high)).drop("_o")
-        part.coalesce(1).write.mode("append").parquet(base)
-    return base
+class Replay:
+    """A table that arrives in steps of event time, one micro-batch a step.
+
+    The table is dealt by range and written once, a folder for each step of
+    ``seconds`` that has rows; its micro-batches are the same at every size of
+    the table. Iterating lets one step after the other arrive in ``folder``.
+    """
+
+    def __init__(self, df: DataFrame, order: str, seconds: int, name: str = "replay"):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.staged = stream_folder(self.spark, f"{name}-staged")
+        self.folder = stream_folder(self.spark, name)
+        step = F.floor(F.unix_micros(F.col(order).cast("timestamp")) / (seconds * 1_000_000)).cast("long")
+        df.withColumn("_step", step).repartitionByRange("_step", order).write.partitionBy("_step").parquet(self.staged)
+        df.limit(0).write.parquet(self.folder)
+
+    def stream(self) -> DataFrame:
+        return file_stream(self.spark, self.folder, self.schema)
+
+    def __iter__(self) -> Iterator[int]:
+        rows = self.spark.read.parquet(self.staged)
+        steps = [r[0] for r in rows.select("_step").distinct().collect()]  # as many as steps in the time span
+        for step in sorted(steps, key=lambda x: (x is not None, x)):
+            rows.filter(F.col("_step").eqNullSafe(F.lit(step))).drop("_step").write.mode("append").parquet(self.folder)
+            yield step
+
+
+def closing(stream: DataFrame, ts: str, **values) -> tuple[DataFrame, Iterator[None]]:
+    """A stream with a closing mark, and its arrivals: what is there now, then
+    one row far in the future (``values`` fill its other columns). The mark moves
+    the watermark past every window that holds real rows, so all are written;
+    its own windows stay open."""
+    spark = stream.sparkSession
+    folder = stream_folder(spark, "marks")
+    spark.createDataFrame([], stream.schema).write.parquet(folder)
+
+    def arrivals() -> Iterator[None]:
+        yield
+        mark = {f.name: F.lit(values.get(f.name)).cast(f.dataType) for f in stream.schema} | {ts: F.lit("9000-01-01 00:00:00").cast(stream.schema[ts].dataType)}
+        spark.range(1).select(*[c.alias(n) for n, c in mark.items()]).write.mode("append").parquet(folder)
+        yield
+
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder)), arrivals()
