@@ -60,9 +60,14 @@ def _uniform(*parts: Column | int) -> Column:
     return F.pmod(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _thin(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k of some weighted points by their cost, then refined among them."""
-    rnd = np.random.default_rng(seed)
+def _thin(points: np.ndarray, weights: np.ndarray, k: int, seed: int, tries: int = 8) -> np.ndarray:
+    """k centres of some weighted points, the cheapest of a few tries."""
+    found = [_thin_once(points, weights, k, np.random.default_rng((seed, t))) for t in range(tries)]
+    return min(found, key=lambda c: (weights * _nearest(points, c)[1]).sum())
+
+
+def _thin_once(points: np.ndarray, weights: np.ndarray, k: int, rnd: np.random.Generator) -> np.ndarray:
+    """k of the points drawn by their cost, then refined among all."""
     chosen = [points[rnd.choice(len(points), p=weights / weights.sum())]]
     while len(chosen) < min(k, len(points)):
         cost = weights * _nearest(points, np.array(chosen))[1]
@@ -91,7 +96,8 @@ def seed_centres(sample: DataFrame, k: int, seed: int, rounds: int = 3) -> np.nd
         if not total:
             break
         share = F.col("cost") * (2.0 * k / total)
-        more = costs.filter(_uniform(F.col("id"), seed, r) < share).select("x").collect()  # about 2 k rows
+        more = costs.filter(_uniform(F.col("id"), seed, r) < share).select("id", "x").collect()  # about 2 k rows
+        more.sort(key=lambda m: (m["id"], m["x"]))
         candidates = np.concatenate([candidates, np.array([m["x"] for m in more], float).reshape(-1, candidates.shape[1])])
     counts = {c["prediction"]: c["n"] for c in with_nearest(sample, "x", candidates).groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights = np.array([counts.get(i, 0) for i in range(len(candidates))], float)
