@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree. Elements that never hold the article (scripts, menus,
-forms, and containers whose role, class or id names furniture) are cut. Each
+controls, forms that do not hold the page, and containers whose role, class or
+id names furniture) are cut; a name that only hints at furniture cuts a part
+that has little text or much of it in links. Each
 paragraph then passes points for its length and commas to its ancestors, in
 full to the parent and less above; a container's points are discounted by the
 share of its text that stands in links. The best container (or the article
@@ -21,11 +23,12 @@ from .common import col, map_batches, pairs_schema, slices, texts_of
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
+    # Quotes count only where a value starts; a value without them runs to the next space.
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[\s/]+|[^\s/>=]++(?>\s*=\s*(?>\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+))?|=)*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Element names by their role in HTML.
@@ -36,7 +39,7 @@ BLOCKS = frozenset(
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CUT = frozenset("script style textarea title xmp iframe noembed noframes noscript template head svg math canvas object audio video form button select input datalist nav footer aside dialog menu search".split())
+CUT = frozenset("script style textarea title xmp iframe noembed noframes noscript template head svg math canvas object audio video button select input datalist label legend nav footer aside dialog menu search".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 CONTAINERS = frozenset("div section ul ol dl table td p span aside header figure article li details center fieldset".split())
 FURNITURE = frozenset(
@@ -45,6 +48,9 @@ FURNITURE = frozenset(
     "navbar navigation breadcrumb breadcrumbs pagination pager footer footnav masthead popup modal overlay login search widget widgets toolbar skip copyright legal disclaimer "
     "trending outbrain taboola paywall reply replies discussion".split()
 )
+# Words that name sections of articles as well: alone they prove nothing.
+DOUBTFUL = frozenset("discussion legal related recommended copyright disclaimer notice notification reply replies promotion sharing social search skip overlay alert banner paywall widget".split())
+NEUTRAL = frozenset("box block section container wrapper wrap inner outer list item items area panel group bar links link main page site left right top bottom row col column content text title post article primary secondary aside module unit slot first last".split())
 TOP_ONLY = frozenset(("header", "topbar", "top"))
 # An element on the left ends an open one on the right.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
@@ -148,24 +154,49 @@ def _furniture(node: Node) -> bool:
     if node.tag == "header" and not _within(node, ("article", "main")):
         return True
     if node.tag in CONTAINERS:
-        names = {p.lower() for p in NAME_PART.findall(f"{have.get('class', '')} {have.get('id', '')}")}
+        words = [[p.lower() for p in NAME_PART.findall(w)] for w in f"{have.get('class', '')} {have.get('id', '')}".split()]
+        names = {p for w in words for p in w}
         if names & FURNITURE or (names & TOP_ONLY and not _within(node, ("article", "main"))):
-            return not _has(node, MAIN_PARTS)
+            # A name all of whose words mean furniture is sure; another one
+            # (related-work, legal) counts against a part that does not read.
+            sure = any(w and all(p in FURNITURE or p in NEUTRAL for p in w) and any(p in FURNITURE and p not in DOUBTFUL for p in w) for w in words)
+            return not _has(node, MAIN_PARTS) and (sure or not _reads_on(node))
     return False
 
 
+def _reads_on(node: Node) -> bool:
+    """A part of an article or of the main part that holds running text: a
+    paragraph or more, few of it in links, and no form."""
+    if not _within(node, ("article", "main")):
+        return False
+    nodes = _order(node)
+    if any(n.tag in ("form", "input", "textarea", "button", "iframe") for n in nodes):
+        return False
+    _measure(nodes)
+    text = sum(len(_own_text(n)) for n in nodes if n.tag in ("p", "pre", "blockquote", "li", "dd") or n is node)
+    return text >= 2 * MODERATE and _links(node) < LINKED / 2
+
+
+def _holds_page(form: Node, root: Node) -> bool:
+    """A form around the page, as whole generations of sites have it: it holds
+    the main part or most of all text."""
+    return _has(form, MAIN_PARTS | {"article"}) or 2 * form.inside > root.inside
+
+
 LINKED = 0.25
 MAIN_PARTS = frozenset(("h1", "main"))
 
 
 def prune(root: Node) -> None:
+    _measure(_order(root))
+    forms = {id(n) for n in _order(root) if n.tag == "form" and not _holds_page(n, root)}
     stack = [root]
     while stack:
         node = stack.pop()
         # In an article's header the headings belong to the article.
         if node.tag == "header" and _within(node, ("article", "main")):
             node.children = [c for c in node.children if isinstance(c, str) or c.tag in HEADINGS or c.tag == "hgroup" or _has(c, HEADINGS)]
-        node.children = [c for c in node.children if isinstance(c, str) or not _furniture(c)]
+        node.children = [c for c in node.children if isinstance(c, str) or not (id(c) in forms or _furniture(c))]
         stack += [c for c in node.children if isinstance(c, Node)]
 
 
@@ -293,8 +324,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text, n_chars) per row: block texts in page order, one a line.
 
     Null and empty pages, and pages without text outside of furniture, give an
-    empty text; plain text without markup is one block; nothing is cut off.
-    Rows that repeat an id stay rows of their own; an empty table gives none.
+    empty text; plain text without markup is one block; nothing is cut off,
+    however long. Further columns, of any name, take no part. Rows that repeat an id stay rows of their own; an empty table gives none.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
