@@ -8,10 +8,10 @@ with the character ranges that are trained on (assistant turns only).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, cut_lineage, fresh
 
 
 def conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -91,9 +91,21 @@ def preference_examples(chosen: DataFrame, rejected: DataFrame, key: str = "pair
 
 def with_swapped_reply(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, chosen, rejected): each conversation, and its copy whose last turn
-    has the text of the last turn of the next key (without one: no last turn)."""
+    has the text of the last turn of the next key that there is.
+
+    Keys may be of any ordered type and have gaps; the last one
+    has a rejected side without last turn. Null keys, roles and texts, ties and repeated rows are those of :func:`conversations`; an
+    empty table gives none. Keys are dealt by range, so no task holds them all.
+    """
     all_ = conversations(turns, key)
-    last = all_.select((F.col("key") - 1).alias("key"), F.element_at("turns", -1)["text"].alias("reply"))
+    replies = all_.select("key", F.element_at("turns", -1)["text"].alias("reply"))
+    dealt = cut_lineage(replies.repartitionByRange("key")).withColumn("p", F.spark_partition_id())
+    firsts = dealt.groupBy("p").agg(F.min_by("reply", "key").alias("first"))
+    # One row per range: the first reply of the next range that has any.
+    firsts = firsts.select("p", F.lead("first").over(Window.orderBy("p")).alias("after"))
+    inside = Window.partitionBy("p").orderBy("key")
+    dealt = dealt.withColumns({"next": F.lead("reply").over(inside), "last": F.lead("key").over(inside).isNull()})
+    last = dealt.join(firsts, "p").select("key", F.when(F.col("last"), F.col("after")).otherwise(F.col("next")).alias("reply"))
     swapped = F.struct(F.element_at("turns", -1)["role"].alias("role"), F.col("reply").alias("text"))
     head = F.slice("turns", F.lit(1), F.size("turns") - 1)
     return all_.join(last, "key", "left").select("key", F.col("turns").alias("chosen"), F.when(F.col("reply").isNull(), head).otherwise(F.concat(head, F.array(swapped))).alias("rejected"))

@@ -156,7 +156,7 @@ ORACLES = {
     "op4_preference_formatting": f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS p,
         count(*) OVER (PARTITION BY conv_id) AS n, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
       r AS (SELECT a.conv_id, a.p, a.role, CASE WHEN a.p < a.n THEN a.text ELSE b.text END AS text
-        FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id + 1 AND b.p = b.n WHERE a.p < a.n OR b.text IS NOT NULL),
+        FROM t a LEFT JOIN (SELECT conv_id, lead(conv_id) OVER (ORDER BY conv_id) AS follower FROM t GROUP BY 1) f ON f.conv_id = a.conv_id LEFT JOIN t b ON b.conv_id = f.follower AND b.p = b.n WHERE a.p < a.n OR b.text IS NOT NULL),
       c AS (SELECT t.conv_id, coalesce(min(t.p) FILTER (r.p IS NULL OR r.role <> t.role OR r.text <> t.text), max(t.n) + 1) - 1 AS n_common FROM t LEFT JOIN r USING (conv_id, p) GROUP BY 1),
       u AS (SELECT 'a' AS side, conv_id, p, role, text FROM t UNION ALL SELECT 'b', conv_id, p, role, text FROM r),
       v AS (SELECT side, conv_id, p, n_common, role, text, {_RENDERED} AS s FROM u JOIN c USING (conv_id)),
