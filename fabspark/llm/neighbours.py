@@ -41,7 +41,14 @@ def choose_pivots(vectors: DataFrame, pivots: int) -> dict[int, np.ndarray]:
     return {d: unit(np.array(list(v)[:pivots], float)) for d, v in out.items()}
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither overflow nor vanish;
+    no digit of a cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if len(x) else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -96,23 +103,34 @@ def build_index(vectors: DataFrame, pivots: dict[int, np.ndarray], depth: int) -
 
 
 def _search_block(ids, x, offsets, members, ranks, qids, q, near, k: int, share: float):
-    """Per query: numbers of its k best members by exact cosine."""
+    """Per query: numbers of its k best members by exact cosine. Members of
+    equal ids, which stand together, count once, by their nearest vector."""
     depth, n = near.shape[1], len(x)
-    norm, take = np.sqrt((x * x).sum(1)), min(n, max(64 * k, int(np.ceil(share * n))))
+    x, q = scaled(x), scaled(q)
+    norm, base = np.sqrt((x * x).sum(1)), min(n, max(64 * k, int(np.ceil(share * n))))
+    repeats = bool((ids[1:] == ids[:-1]).any())
     for row in range(len(q)):
         shared = np.zeros(n, np.int64)
         for rank, p in enumerate(near[row].tolist()):
             lo, hi = offsets[p], offsets[p + 1]
             shared[members[lo:hi]] += depth - np.maximum(ranks[lo:hi], rank)
-        if take < n:
-            # Largest gain is smallest footrule; ties go to the smaller id.
-            found = np.argpartition(-shared * n + np.arange(n), take - 1)[:take]
-        else:
-            found = np.arange(n)
-        found = found[ids[found] != qids[row]]
+        take = base
+        while True:
+            if take < n:
+                # Largest gain is smallest footrule; ties go to the smaller id.
+                found = np.argpartition(-shared * n + np.arange(n), take - 1)[:take]
+            else:
+                found = np.arange(n)
+            found = found[ids[found] != qids[row]]
+            # Copies of one id may fill the list: then it grows.
+            if take >= n or not repeats or len(np.unique(ids[found])) >= min(take, 64 * k):
+                break
+            take = min(n, 2 * take)
         score = (x[found] * q[row]).sum(1) / (norm[found] * np.sqrt((q[row] * q[row]).sum()))
-        best = np.lexsort((found, -score))[:k]
-        yield row, found[best], score[best]
+        best = np.lexsort((found, -score))
+        if repeats:
+            best = best[np.sort(np.unique(ids[found[best]], return_index=True)[1])]
+        yield row, found[best[:k]], score[best[:k]]
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 512, depth: int = 128, share: float = 0.1) -> DataFrame:
