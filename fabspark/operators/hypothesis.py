@@ -25,6 +25,7 @@ from ..functions.distributions import (
     t_two_sided_p,
 )
 from .ordered import HOT_ROWS, POS, Ordered
+from .pairs import unordered_pairs
 from .ranks import attach_stats, distribution, quantiles
 
 # Bounds of the effect size classes (eta squared).
@@ -263,18 +264,15 @@ def tukey_p(q: pd.Series, k: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([studentised_range_tail(float(a), int(b), float(c)) for a, b, c in zip(q, k, dof)], dtype="float64")
 
 
-def pairwise_groups(df: DataFrame, factor: str, value: str) -> DataFrame:
+def pairwise_groups(df: DataFrame, factor: str, value: str, block: int = 1000) -> DataFrame:
     """All pairs of factor levels: difference, pooled t with Bonferroni p,
-    Tukey q with its p. The pairs are of levels, not of rows."""
+    Tukey q with its p. The pairs are of levels, not of rows; levels meet in
+    blocks of about ``block``."""
     groups = _group_stats(df, [], factor, value)
     pool = groups.agg(
         F.count(F.lit(1)).alias("_k"), (F.sum("n") - F.count(F.lit(1))).alias("_dof"), F.sum((F.col("n") - 1) * F.col("var")).alias("_ssw")
     )
-    # One row holds the statistics of all levels; later levels pair with each.
-    one = F.struct(F.col(factor).alias("g"), "n", "mean", "var")
-    listed = groups.agg(F.array_sort(F.collect_list(one)).alias("all"))
-    left = listed.select("all", F.posexplode("all").alias("i", "a"))
-    both = left.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
+    both = unordered_pairs(groups.select(F.col(factor).alias("g"), "n", "mean", "var"), "g", block)
     pairs = both.select(
         F.col("a.g").alias("group1"), F.col("a.n").alias("n1"), F.col("a.mean").alias("m1"), F.col("a.var").alias("v1"),
         F.col("b.g").alias("group2"), F.col("b.n").alias("n2"), F.col("b.mean").alias("m2"), F.col("b.var").alias("v2"),

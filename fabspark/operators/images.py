@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import box_iou, ratio_or
+from ..session import cut_lineage
 from .metrics import curve, roc_pr_auc
 from .ranks import attach_stats
 
@@ -68,31 +69,37 @@ def overlapping_boxes(pred: DataFrame, truth: DataFrame, image: str, cell: int =
     return both.withColumn("iou", box_iou(p, t)).filter(F.col("iou") > 0).drop("_cx", "_cy")
 
 
+def settle_matches(pairs: DataFrame, image: str) -> DataFrame:
+    """(image, det, true_det): the greedy matching of ``pairs`` (image, det,
+    true_det, iou) in rounds of joins.
+
+    The box that a prediction likes best among the free ones is its own once no
+    earlier open prediction competes for it, whatever happens elsewhere. A round
+    settles all such predictions of all images; then their pairs and those of
+    the boxes they take are gone, and predictions without pairs have no box.
+    """
+    spark, schema = pairs.sparkSession, pairs.drop("iou").schema
+    hits = spark.createDataFrame([], schema)
+    left = cut_lineage(pairs)
+    while not left.isEmpty():
+        best = left.groupBy(image, "det").agg(F.max_by("true_det", F.struct("iou", -F.col("true_det"))).alias("true_det"))
+        first = left.groupBy(image, "true_det").agg(F.min("det").alias("first"))
+        done = cut_lineage(best.join(first, [image, "true_det"]).filter(F.col("first") == F.col("det")).select(image, "det", "true_det"))
+        hits = hits.unionByName(done)
+        left = cut_lineage(left.join(done.select(image, "det"), [image, "det"], "left_anti").join(done.select(image, "true_det"), [image, "true_det"], "left_anti"))
+    return hits
+
+
 def match_detections(pred: DataFrame, truth: DataFrame, image: str, iou_threshold: float = 0.5, cell: int = 32) -> DataFrame:
     """Greedy matching in prediction order: each prediction takes the free box
     of highest IoU (the earlier box on ties) and counts as true positive from
     the threshold on. ``pred`` has image, det, bbox, confidence; ``truth`` has
-    image, det, bbox. Only overlapping pairs reach the matching step. Returns
+    image, det, bbox. Only overlapping pairs reach the matching, which goes in
+    rounds (:func:`settle_matches`), so a crowded image is no single task. Returns
     one row per prediction (is_tp) and one per box left over (missed)."""
-    pairs = overlapping_boxes(pred.select(image, "det", "bbox"), truth.select(image, "det", "bbox"), image, cell)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Order: prediction, then IoU from high to low, then box.
-        det, box, iou = (pdf[c].to_numpy() for c in ("pred_det", "true_det", "iou"))
-        taken, done, out = set(), set(), []
-        for i in np.lexsort((box, -iou, det)):
-            if det[i] in done or box[i] in taken:
-                continue
-            done.add(det[i])
-            if iou[i] >= iou_threshold:
-                taken.add(box[i])
-                out.append((det[i], box[i]))
-        found = pd.DataFrame(out, columns=["det", "true_det"], dtype="int64")
-        found.insert(0, image, pdf[image].iloc[0])
-        return found
-
-    kind = pairs.schema[image].dataType.simpleString()
-    hits = pairs.groupBy(image).applyInPandas(greedy, f"{image} {kind}, det long, true_det long")
+    # A box below the threshold is never taken, and what is never taken decides nothing.
+    pairs = overlapping_boxes(pred.select(image, "det", "bbox"), truth.select(image, "det", "bbox"), image, cell).filter(F.col("iou") >= iou_threshold)
+    hits = settle_matches(pairs.select(image, F.col("pred_det").alias("det"), "true_det", "iou"), image)
     scored = pred.join(hits, [image, "det"], "left").select(
         image, "det", "confidence", F.col("true_det").isNotNull().cast("int").alias("is_tp"), F.lit(0).alias("missed")
     )

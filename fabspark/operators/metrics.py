@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio_or
 from .ordered import HOT_ROWS
+from .pairs import largest_over_others
 from .ranks import attach_stats, distribution
 
 
@@ -305,9 +306,20 @@ def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
     return out.withColumn("warnings", F.array_join(warn, ","))
 
 
-def cluster_separation(df: DataFrame, cluster: str, columns: Sequence[str]) -> DataFrame:
+def worst_overlap(clusters: DataFrame, centre: Sequence[str], block: int = 1000) -> DataFrame:
+    """(id, worst): per cluster its largest Davies-Bouldin ratio to another one;
+    ``clusters`` has id, scatter ``_s`` and the columns of the centre."""
+
+    def ratio(a: Column, b: Column) -> Column:
+        d2 = sum(((a[c] - b[c]) * (a[c] - b[c]) for c in centre), F.lit(0.0))
+        return (a["_s"] + b["_s"]) / F.sqrt(d2)
+
+    return largest_over_others(clusters, "id", ratio, "worst", block)
+
+
+def cluster_separation(df: DataFrame, cluster: str, columns: Sequence[str], block: int = 1000) -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin from centroids and scatter. The
-    only pairs are of clusters."""
+    only pairs are of clusters, which meet in blocks of about ``block``."""
     cols = list(columns)
     cent = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_c_{c}") for c in cols])
     grand = df.agg(*[F.avg(c).alias(f"_g_{c}") for c in cols], F.count(F.lit(1)).alias("_total"))
@@ -322,19 +334,9 @@ def cluster_separation(df: DataFrame, cluster: str, columns: Sequence[str]) -> D
     between = F.sum(F.col("_n") * sq([(F.col(f"_c_{c}"), F.col(f"_g_{c}")) for c in cols]))
     k, n = F.count(F.lit(1)), F.max("_total")
     ch = groups.agg((between / (k - 1) / (F.sum("_w") / (n - k))).alias("calinski_harabasz"))
-    # Davies-Bouldin compares every cluster with every other one: k rows.
-    one = F.struct(F.col(cluster).alias("id"), "_s", *[f"_c_{c}" for c in cols])
-    listed = groups.agg(F.collect_list(one).alias("all"), k.alias("k"))
-    worst = F.transform(
-        "all",
-        lambda a: F.array_max(
-            F.transform(
-                F.filter("all", lambda b: b["id"] != a["id"]),
-                lambda b: (a["_s"] + b["_s"]) / F.sqrt(sq([(a[f"_c_{c}"], b[f"_c_{c}"]) for c in cols])),
-            )
-        ),
-    )
-    db = listed.select((F.aggregate(worst, F.lit(0.0), lambda acc, x: acc + x) / F.col("k")).alias("davies_bouldin"))
+    # Davies-Bouldin compares every cluster with every other one, in blocks.
+    db = worst_overlap(groups.select(F.col(cluster).alias("id"), "_s", *[f"_c_{c}" for c in cols]), [f"_c_{c}" for c in cols], block)
+    db = db.agg(F.avg("worst").alias("davies_bouldin"))
     return attach_stats(ch, db, [])
 
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph_neighbours import graph_neighbours
 from .ordered import HOT_ROWS, Ordered
 from .ranks import attach_stats, quantile_name, quantiles
 
@@ -131,14 +132,26 @@ def nearest(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, query_rows:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def local_outlier_factor(df: DataFrame, key: str, vector: str, k: int = 20, contamination: float = 0.1, hot_rows: int = HOT_ROWS, **knn) -> DataFrame:
+def find_neighbours(points: DataFrame, k: int, kind: str = "exact", **options) -> DataFrame:
+    """(qid, nid, dist, rank, n_weight) by :func:`nearest` or, for ``graph``, by
+    :func:`graph_neighbours`."""
+    if kind == "exact":
+        return nearest(points, k, **options)
+    if kind != "graph":
+        raise ValueError(f"unknown search {kind!r}")
+    weights = points.select(F.col("pid").alias("nid"), F.col("weight").alias("n_weight"))
+    return graph_neighbours(points, k, **options).join(weights, "nid").select("qid", "nid", "dist", "rank", "n_weight")
+
+
+def local_outlier_factor(df: DataFrame, key: str, vector: str, k: int = 20, contamination: float = 0.1, hot_rows: int = HOT_ROWS, kind: str = "exact", **knn) -> DataFrame:
     """(key, lof, lof_flag). A vector held by several rows counts as that many
-    neighbours at distance zero."""
+    neighbours at distance zero. ``kind`` graph finds neighbours approximately,
+    with bounded work per row: for many columns."""
     points = distinct_points(df, key, vector).persist()
     own = points.filter(F.col("weight") > 1).select(
         F.col("pid").alias("qid"), F.col("pid").alias("nid"), F.lit(0.0).alias("dist"), (F.col("weight") - 1).alias("n_weight")
     )
-    near = nearest(points, k, **knn).select("qid", "nid", "dist", "n_weight").unionByName(own)
+    near = find_neighbours(points, k, kind, **knn).select("qid", "nid", "dist", "n_weight").unionByName(own)
     w = Window.partitionBy("qid").orderBy("dist", "nid").rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("_before", F.coalesce(F.sum("n_weight").over(w), F.lit(0))).filter(F.col("_before") < k)
     near = near.withColumn("use", F.least(F.col("n_weight"), F.lit(k) - F.col("_before"))).persist()
@@ -178,9 +191,10 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 42, hot_rows: in
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
 
 
-def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 5, seed: int = 42, hot_rows: int = HOT_ROWS, **knn) -> DataFrame:
+def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 5, seed: int = 42, hot_rows: int = HOT_ROWS, kind: str = "exact", **knn) -> DataFrame:
     """Original rows and synthetic rows of every smaller class on the lines to
-    their nearest neighbours of the class, drawn by hashes."""
+    their nearest neighbours of the class, drawn by hashes; for ``kind`` see
+    :func:`local_outlier_factor`."""
     base = df.select(key, label, F.transform(vector, lambda x: x.cast("double")).alias("vector"))
     sizes = {r[label]: r["n"] for r in base.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     largest = max(sizes.values())
@@ -192,7 +206,7 @@ def smote(df: DataFrame, label: str, key: str, vector: str, k: int = 5, seed: in
             continue
         rows = base.filter(F.col(label) == F.lit(value))
         points = distinct_points(rows, key, "vector")
-        near = nearest(points, k, **knn)
+        near = find_neighbours(points, k, kind, **knn)
         target = spark.createDataFrame([(value, missing)], f"{label} {df.schema[label].dataType.simpleString()}, wanted long")
         seeds = copies_to(rows, label, key, target, seed, hot_rows).filter(F.col("copies") > 0)
         seeds = seeds.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import clustering, incremental, ml, neighbours
+from ..operators.graph_neighbours import graph_neighbours
 from ..operators.metrics import multilabel, regression
 from ..session import stream_folder, table
 from ..sources.writers import load_model, save_model
@@ -96,6 +97,23 @@ def kmeans_clusters(spark, sf):
     return model.transform(ready).select("vec_id", "prediction")
 
 
+@query(
+    "knn_graph",
+    f"""WITH p AS (SELECT min(vec_id) AS pid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings GROUP BY 2),
+    d AS (SELECT a.pid AS qid, b.pid AS nid, list_distance(a.v, b.v) AS dist, row_number() OVER (PARTITION BY a.pid ORDER BY list_distance(a.v, b.v), b.pid) AS rank FROM p a JOIN p b ON a.pid <> b.pid)
+    SELECT qid, nid, {r('dist')} AS dist, rank FROM d WHERE rank <= 10""",
+)
+def knn_graph(spark, sf):
+    """Neighbours in all 64 columns; tables of a block are compared exactly."""
+    points = neighbours.distinct_points(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return graph_neighbours(points, 10).withColumn("dist", rounded("dist"))
+
+
+@query("lof_graph")
+def lof_graph(spark, sf):
+    return neighbours.local_outlier_factor(table(spark, sf, "embeddings"), "vec_id", "embedding", kind="graph")
+
+
 @query("kmeans_mini_batch")
 def kmeans_mini_batch(spark, sf):
     _, model, ready = ml.fit_clusters(vectors(spark, sf), "vector", 5, kind="minibatch", keys=["vec_id"])
