@@ -17,7 +17,8 @@ from ..functions.columns import numeric_columns
 from ..session import one_row
 from .describe import correlations, distinct_counts
 from .ordered import HOT_ROWS
-from .ranks import column_quantiles, stacked
+from .profile import Profile, missing
+from .ranks import stacked
 
 # Thresholds of the assessment.
 COMPLETENESS_CRITICAL = 95.0
@@ -38,15 +39,8 @@ SIX_WEIGHTS = {
 }
 
 
-def is_missing(df: DataFrame, name: str) -> Column:
-    c = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
-
-
 def _missing_flags(df: DataFrame) -> DataFrame:
-    return df.select(*[is_missing(df, c).cast("int").alias(c) for c in df.columns])
+    return df.select(*[missing(df, c).cast("int").alias(c) for c in df.columns])
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -72,13 +66,13 @@ def missing_per_row(df: DataFrame) -> DataFrame:
     )
 
 
-def completeness(df: DataFrame) -> DataFrame:
-    cols = missing_by_column(df)
+def completeness(df: DataFrame, profile: Profile | None = None) -> DataFrame:
+    cols = profile.missing_by_column if profile else missing_by_column(df)
     per_col = cols.agg(
         F.count_if(F.col("missing") > 0).alias("columns_with_missing"),
         F.count_if(F.col("missing_pct") > MISSING_COLUMN_PCT).alias("high_missing_columns"),
     )
-    row = missing_per_row(df)
+    row = profile.missing_per_row if profile else missing_per_row(df)
     cells = F.col("rows") * len(df.columns)
     out = row.select(
         (F.try_divide(cells - F.col("total_missing"), cells) * 100).alias("overall_completeness_pct"),
@@ -118,34 +112,21 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """IQR (1.5) and z-score (> 3, population sd) outliers per column."""
-    columns = list(columns or numeric_columns(df))
-    stats = numeric_profile(df, columns).join(
-        column_quantiles(df, [], columns, [0.25, 0.75], hot_rows).drop("total"), "column"
-    )
-    # One row per column of the schema: a bounded side.
-    rows = stacked(df, [], columns).join(
-        F.broadcast(stats.select("column", "mean", "std_pop", "q25", "q75")), "column"
-    )
-    v, iqr = F.col("value"), F.col("q75") - F.col("q25")
-    out = rows.groupBy("column").agg(
-        F.count(v).alias("n"),
-        F.count_if((v < F.col("q25") - 1.5 * iqr) | (v > F.col("q75") + 1.5 * iqr)).alias("iqr_outliers"),
-        F.count_if(F.abs(F.try_divide(v - F.col("mean"), F.col("std_pop"))) > 3).alias("zscore_outliers"),
-    )
-    return out.withColumn("outlier_rate_pct", F.try_divide(F.col("iqr_outliers"), F.col("n")) * 100)
+    """IQR (1.5) and z-score (> 3, population sd) outliers per column, in two
+    passes; a column without finite deviation has no z-score outliers."""
+    return Profile(df, columns, hot_rows).outliers.drop("beyond_five")
 
 
-def accuracy(df: DataFrame, columns: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    columns = list(columns or numeric_columns(df))
-    out = outlier_counts(df, columns, hot_rows).agg(
+def accuracy(df: DataFrame, columns: Sequence[str] | None = None, hot_rows: int = HOT_ROWS, profile: Profile | None = None) -> DataFrame:
+    profile = profile or Profile(df, columns, hot_rows)
+    out = profile.outliers.agg(
         F.sum("iqr_outliers").alias("total_outliers_iqr"),
         F.sum("zscore_outliers").alias("total_outliers_zscore"),
         (F.try_divide(F.sum("iqr_outliers"), F.sum("n")) * 100).alias("outlier_rate_iqr_pct"),
         (F.try_divide(F.sum("zscore_outliers"), F.sum("n")) * 100).alias("outlier_rate_zscore_pct"),
         F.count_if(F.col("iqr_outliers") > 0).alias("columns_with_outliers"),
     )
-    special = numeric_profile(df, columns).agg(
+    special = profile.numeric.agg(
         F.sum("infinite").alias("infinite_values"),
         F.sum("negative").alias("negative_values"),
         F.sum("zero").alias("zero_values"),
@@ -154,8 +135,8 @@ def accuracy(df: DataFrame, columns: Sequence[str] | None = None, hot_rows: int
     return _with_row(out, special)
 
 
-def scale_analysis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    prof = numeric_profile(df, columns).filter(F.col("n") > 0)
+def scale_analysis(df: DataFrame, columns: Sequence[str] | None = None, profile: Profile | None = None) -> DataFrame:
+    prof = (profile.numeric if profile else numeric_profile(df, columns)).filter(F.col("n") > 0)
     rows = prof.select("column", (F.col("max") - F.col("min")).alias("range"), "std")
 
     def ratio(c: str) -> Column:
@@ -183,12 +164,12 @@ def type_distribution(df: DataFrame) -> dict[str, int]:
     return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0])))
 
 
-def consistency(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def consistency(df: DataFrame, columns: Sequence[str] | None = None, profile: Profile | None = None) -> DataFrame:
     """One row: schema facts, scales, number of high correlations. The mean
     correlation runs over the full matrix with a zero diagonal."""
     columns = list(columns or numeric_columns(df))
     types = type_distribution(df)
-    out = scale_analysis(df, columns).withColumns(
+    out = scale_analysis(df, columns, profile).withColumns(
         {"type_diversity": F.lit(len(types)), "dominant_type": F.lit(next(iter(types)))}
     )
     d = len(columns)
@@ -202,12 +183,12 @@ def consistency(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return _with_row(out, corr)
 
 
-def validity(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def validity(df: DataFrame, columns: Sequence[str] | None = None, profile: Profile | None = None) -> DataFrame:
     columns = list(columns or numeric_columns(df))
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     sensors = [c for c in df.columns if c.lower().startswith("sensor")]
     temps = [c for c in columns if "temp" in c.lower()]
-    prof = numeric_profile(df, columns)
+    prof = profile.numeric if profile else numeric_profile(df, columns)
     cells = F.sum("rows")
     return prof.agg(
         ((F.sum("n") - F.sum("infinite")) / cells * 100).alias("finite_values_pct"),
@@ -232,11 +213,12 @@ def duplicates(df: DataFrame) -> DataFrame:
     )
 
 
-def uniqueness(df: DataFrame, approximate: bool = False) -> DataFrame:
+def uniqueness(df: DataFrame, approximate: bool = False, rows: DataFrame | None = None) -> DataFrame:
+    """``rows`` is the result of :func:`duplicates` if it is known."""
     low = distinct_counts(df, df.columns, approximate).agg(
         F.count_if(F.col("uniqueness_ratio") < 0.1).alias("low_uniqueness_columns")
     )
-    return _with_row(duplicates(df), low)
+    return _with_row(duplicates(df) if rows is None else rows, low)
 
 
 def timeliness(df: DataFrame, column: str) -> DataFrame:
@@ -259,30 +241,27 @@ def freshness(ts: Column | str, as_of: str) -> Column:
     return 1 / (1 + hours / 24)
 
 
-def overall_score(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Weighted score of completeness, accuracy, validity and uniqueness."""
-    out = completeness(df).select(F.col("overall_completeness_pct").alias("completeness"))
-    acc = accuracy(df, hot_rows=hot_rows).select(
-        (100 - F.least("outlier_rate_iqr_pct", F.lit(100.0))).alias("accuracy")
-    )
-    val = validity(df).select(F.col("finite_values_pct").alias("validity"))
-    uni = duplicates(df).select((100 - F.col("duplicate_rate_pct")).alias("uniqueness"))
+def overall_score(df: DataFrame, hot_rows: int = HOT_ROWS, profile: Profile | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Weighted score of completeness, accuracy, validity and uniqueness; two
+    passes for the profile and one for whole-row duplicates (``rows``)."""
+    profile = profile or Profile(df, hot_rows=hot_rows)
+    out = completeness(df, profile).select(F.col("overall_completeness_pct").alias("completeness"))
+    acc = accuracy(df, profile=profile).select((100 - F.least("outlier_rate_iqr_pct", F.lit(100.0))).alias("accuracy"))
+    val = validity(df, profile=profile).select(F.col("finite_values_pct").alias("validity"))
+    uni = (duplicates(df) if rows is None else rows).select((100 - F.col("duplicate_rate_pct")).alias("uniqueness"))
     for part in (acc, val, uni):
         out = _with_row(out, part)
     total = sum((F.col(k) * w for k, w in OVERALL_WEIGHTS.items()), F.lit(0.0))
     return out.withColumn("overall_score", F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)))
 
 
-def six_dimension_score(df: DataFrame) -> DataFrame:
+def six_dimension_score(df: DataFrame, profile: Profile | None = None) -> DataFrame:
     """Score with weights for six dimensions; validity loses ten times the
     share of values beyond five standard deviations, per numeric column."""
-    columns = numeric_columns(df)
-    stats = numeric_profile(df, columns).select("column", "mean", "std")
-    rows = stacked(df, [], columns).join(F.broadcast(stats), "column")
-    extreme = rows.groupBy("column").agg(
-        (F.count_if((F.col("std") > 0) & (F.abs(F.try_divide(F.col("value") - F.col("mean"), F.col("std"))) > 5)) / F.count(F.lit(1))).alias("rate")
-    )
-    out = completeness(df).select(F.col("overall_completeness_pct").alias("completeness"))
+    profile = profile or Profile(df)
+    sizes = profile.numeric.select("column", "rows")
+    extreme = profile.outliers.join(sizes, "column").select(F.try_divide("beyond_five", "rows").alias("rate"))
+    out = completeness(df, profile).select(F.col("overall_completeness_pct").alias("completeness"))
     out = _with_row(out, extreme.agg((100 - 10 * F.sum("rate")).alias("validity")))
     out = _with_row(out, duplicates(df).select((100 - F.col("duplicate_rate_pct")).alias("uniqueness")))
     out = out.withColumns({k: F.lit(100.0) for k in ("consistency", "accuracy", "timeliness")})
@@ -290,21 +269,32 @@ def six_dimension_score(df: DataFrame) -> DataFrame:
     return out.withColumn("overall_score", total)
 
 
-def recommendations(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+# Titles of the recommendations.
+ISSUES = {
+    "completeness": "Low Overall Data Completeness",
+    "columns": "Columns with High Missing Rates",
+    "outliers": "High Outlier Rate",
+    "scales": "Inconsistent Feature Scales",
+    "duplicates": "Duplicate Records Present",
+}
+
+
+def recommendations(df: DataFrame, hot_rows: int = HOT_ROWS, profile: Profile | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Rows (category, priority, issue, measure) whose threshold is passed."""
-    row = completeness(df).select("overall_completeness_pct", "high_missing_columns")
+    profile = profile or Profile(df, hot_rows=hot_rows)
+    row = completeness(df, profile).select("overall_completeness_pct", "high_missing_columns")
     for part in (
-        accuracy(df, hot_rows=hot_rows).select("outlier_rate_iqr_pct"),
-        scale_analysis(df).select("scale_ratio"),
-        duplicates(df).select("duplicate_rate_pct"),
+        accuracy(df, profile=profile).select("outlier_rate_iqr_pct"),
+        scale_analysis(df, profile=profile).select("scale_ratio"),
+        (duplicates(df) if rows is None else rows).select("duplicate_rate_pct"),
     ):
         row = _with_row(row, part)
     rules = [
-        ("completeness", "HIGH", "Low Overall Data Completeness", F.col("overall_completeness_pct"), F.col("overall_completeness_pct") < COMPLETENESS_CRITICAL),
-        ("completeness", "HIGH", "Columns with High Missing Rates", F.col("high_missing_columns").cast("double"), F.col("high_missing_columns") > 0),
-        ("accuracy", "HIGH", "High Outlier Rate", F.col("outlier_rate_iqr_pct"), F.col("outlier_rate_iqr_pct") > OUTLIER_RATE_CRITICAL),
-        ("consistency", "MEDIUM", "Inconsistent Feature Scales", F.col("scale_ratio"), F.col("scale_ratio") > SCALE_RATIO_WARNING),
-        ("uniqueness", "MEDIUM", "Duplicate Records Present", F.col("duplicate_rate_pct"), F.col("duplicate_rate_pct") > DUPLICATE_RATE_WARNING),
+        ("completeness", "HIGH", ISSUES["completeness"], F.col("overall_completeness_pct"), F.col("overall_completeness_pct") < COMPLETENESS_CRITICAL),
+        ("completeness", "HIGH", ISSUES["columns"], F.col("high_missing_columns").cast("double"), F.col("high_missing_columns") > 0),
+        ("accuracy", "HIGH", ISSUES["outliers"], F.col("outlier_rate_iqr_pct"), F.col("outlier_rate_iqr_pct") > OUTLIER_RATE_CRITICAL),
+        ("consistency", "MEDIUM", ISSUES["scales"], F.col("scale_ratio"), F.col("scale_ratio") > SCALE_RATIO_WARNING),
+        ("uniqueness", "MEDIUM", ISSUES["duplicates"], F.col("duplicate_rate_pct"), F.col("duplicate_rate_pct") > DUPLICATE_RATE_WARNING),
     ]
     items = F.array_compact(
         F.array(
@@ -325,20 +315,25 @@ def expectations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def full_report(df: DataFrame, timestamp: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One nested row with all dimensions, the score and recommendations."""
-    out = completeness(df)
+    """One nested row with all dimensions, the score and recommendations. Two
+    passes for the profile, one each for correlations, duplicate rows and
+    distinct values."""
+    profile = Profile(df, hot_rows=hot_rows)
+    found = duplicates(df)
+    rows = df.sparkSession.createDataFrame(found.collect(), found.schema)  # one row, used three times
+    out = completeness(df, profile)
     out = out.select(F.struct(*out.columns).alias("completeness"))
     parts = {
-        "accuracy": accuracy(df, hot_rows=hot_rows),
-        "consistency": consistency(df),
-        "validity": validity(df),
-        "uniqueness": uniqueness(df),
-        "score": overall_score(df, hot_rows).select("overall_score"),
+        "accuracy": accuracy(df, profile=profile),
+        "consistency": consistency(df, profile=profile),
+        "validity": validity(df, profile=profile),
+        "uniqueness": uniqueness(df, rows=rows),
+        "score": overall_score(df, profile=profile, rows=rows).select("overall_score"),
     }
     if timestamp:
         parts["timeliness"] = timeliness(df, timestamp)
     for name, part in parts.items():
         out = out.withColumn(name, one_row(part))
-    found = recommendations(df, hot_rows)
+    found = recommendations(df, profile=profile, rows=rows)
     listed = found.agg(F.sort_array(F.collect_list(F.struct(*found.columns))).alias("r"))
     return out.withColumn("recommendations", one_row(listed)["r"])
