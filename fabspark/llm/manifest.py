@@ -264,21 +264,24 @@ def _levels(blocks: DataFrame, fanout: int, height: int, kind: str) -> tuple[lis
 
 
 def _with_paths(blocks: DataFrame, paths: DataFrame) -> DataFrame:
-    """Blocks next to the path of their top; ``paths`` has grp2, pos2, path."""
+    """Blocks next to the path of their top; ``paths`` has grp2, pos2, path, subroot."""
     return blocks.join(paths, F.col("grp").eqNullSafe(F.col("grp2")) & (F.col("block") == F.col("pos2"))).drop("grp2", "pos2")
 
 
 def _paths(blocks: DataFrame, fanout: int, height: int, kind: str, more: str = "") -> DataFrame:
-    """(grp2, pos2, path) of all nodes in blocks that know their own path."""
+    """(grp2, pos2, path, subroot) of all nodes in blocks that know their own
+    path; nodes named by ``more`` are groups' nodes, and so their own subroots."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, nodes, tree in _subtrees(b, fanout, height):
                 above = b.column("path")[i].as_py()
                 grp = nodes.field(more) if more else pa.concat_arrays([b.column("grp").slice(i, 1)] * len(nodes))
-                yield pa.RecordBatch.from_arrays([grp, nodes.field("pos"), pa.array([x + above for x in tree.steps()], pa.binary())], names=["grp2", "pos2", "path"])
+                subroot = nodes.field("leaf") if more else pa.concat_arrays([b.column("subroot").slice(i, 1)] * len(nodes))
+                cells = [grp, nodes.field("pos"), pa.array([x + above for x in tree.steps()], pa.binary()), subroot]
+                yield pa.RecordBatch.from_arrays(cells, names=["grp2", "pos2", "path", "subroot"])
 
-    return map_batches(blocks, run, f"grp2 {kind}, pos2 long, path binary")
+    return map_batches(blocks, run, f"grp2 {kind}, pos2 long, path binary, subroot binary")
 
 
 def manifest(leaves: DataFrame, fanout: int = 2, height: int = 10) -> DataFrame:
@@ -303,14 +306,15 @@ def manifest(leaves: DataFrame, fanout: int = 2, height: int = 10) -> DataFrame:
     found = top.first()
     root = found["leaf"] if found else b""
 
-    paths = top.select(F.col("grp").alias("grp2"), F.lit(0).cast("long").alias("pos2"), F.lit(b"").alias("path"))
+    paths = top.select(F.col("grp").alias("grp2"), F.lit(0).cast("long").alias("pos2"), F.lit(b"").alias("path"), F.lit(b"").alias("subroot"))
     for level in reversed(forest[1:]):
         paths = _paths(_with_paths(level, paths), fanout, height, "int")
     paths = _paths(_with_paths(forest[0], paths), fanout, height, kind, "id").withColumn("pos2", F.lit(0).cast("long"))
     for level in reversed(levels[1:]):
         paths = _paths(_with_paths(level, paths), fanout, height, kind)
-    node = groups.select(F.col("grp").alias("grp2"), F.col("leaf").alias("subroot"))
-    met = _with_paths(blocks, paths).join(node, F.col("grp").eqNullSafe(F.col("grp2"))).drop("grp2")
+    met = _with_paths(blocks, paths).select("grp", "total", "nodes", "path", "subroot")
+    # A block is some 100 KB, but seconds of hashing: spread by number, not by bytes.
+    met = met.repartition(int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,7 +333,7 @@ def manifest(leaves: DataFrame, fanout: int = 2, height: int = 10) -> DataFrame:
                 cells += [pa.array(proofs), pa.array(roots), pa.array([x == root.hex() for x in roots])]
                 yield pa.RecordBatch.from_arrays(cells, names=["id", "leaf", "subroot", "root", "proof", "folded", "verified"])
 
-    return map_batches(met.select("grp", "total", "nodes", "path", "subroot"), run, f"id {id_kind}, leaf string, subroot string, root string, proof string, folded string, verified boolean")
+    return map_batches(met, run, f"id {id_kind}, leaf string, subroot string, root string, proof string, folded string, verified boolean")
 
 
 def tampered_manifest(rows: DataFrame, fields: list[str], changes: dict[str, Column], when: Column, id_col: str = "doc_id", group_col: str = "lang", **options) -> DataFrame:
