@@ -47,7 +47,7 @@ def _steps(d: int, reach: int) -> list[tuple[int, ...]]:
     return list(itertools.product(range(-reach, reach + 1), repeat=d))
 
 
-def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samples: int, levels: int = 4) -> DataFrame:
+def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samples: int, levels: int = 40, leaf: int = 1024) -> DataFrame:
     """(key, cluster, is_core) of DBSCAN on a few columns; noise is -1, a
     border row takes the smallest cluster it reaches. Rows with a NULL or NaN
     coordinate are noise.
@@ -55,9 +55,9 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
     Cells have a diagonal of eps: rows of one cell are neighbours without any
     comparison, and a cell with ``min_samples`` rows is all core. Only rows of
     thinner cells count neighbours, and a cell has few of those, so the work
-    grows with the rows however dense a cell is. Two dense cells are linked by
-    comparing sub-cells that halve per level; rows are compared only where
-    sub-cell boxes leave the question open.
+    grows with the rows however dense a cell is. Two cells are linked by boxes
+    that halve per level, up to ``levels`` times and until nothing is open; rows
+    are compared only in pairs of boxes with at most ``leaf`` pairs of rows.
     """
     cols, d = list(columns), len(columns)
     side = eps / math.sqrt(d)
@@ -95,14 +95,16 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
     cells = cores.select("cell", *names).distinct()
     pairs = fan_out(cells.withColumnRenamed("cell", "a"), ["a"]).join(cells.withColumnRenamed("cell", "b"), names).filter(F.col("a") < F.col("b")).select("a", "b")
 
-    links = None
+    # Branch and bound: boxes of two cells halve until a pair of them is near
+    # throughout, or two of their points are, or all are apart, or few points are left.
+    found = []
     open_pairs = pairs.select("a", "b", F.col("a").alias("sa"), F.col("b").alias("sb"))
-    parent = cores.withColumn("s0", F.col("cell"))
+    sub = cores.select("cell", *xs)
     for lv in range(1, levels + 1):
-        fine = side / 2**lv
-        parent = parent.withColumn(f"s{lv}", F.concat_ws(",", *_cell(xs, fine)))
-        boxes = parent.groupBy(F.col(f"s{lv - 1}").alias("up"), F.col(f"s{lv}").alias("sub")).agg(
-            *[f(x).alias(f"{t}{x}") for x in xs for f, t in ((F.min, "lo_"), (F.max, "hi_"))]
+        up, here = (F.concat_ws(",", "cell", *_cell(xs, side / 2**k)) if k else F.col("cell") for k in (lv - 1, lv))
+        placed = sub.withColumns({"up": up, "sub": here})
+        boxes = placed.groupBy("up", "sub").agg(
+            *[f(x).alias(f"{t}{x}") for x in xs for f, t in ((F.min, "lo_"), (F.max, "hi_"))], F.count(F.lit(1)).alias("n"), F.min(F.struct(*xs)).alias("one")
         )
 
         def side_boxes(tag: str) -> DataFrame:
@@ -111,16 +113,27 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
         kids = open_pairs.join(side_boxes("a"), "sa").join(side_boxes("b"), "sb")
         gap = [F.greatest(F.lit(0.0), F.col(f"a_lo_{x}") - F.col(f"b_hi_{x}"), F.col(f"b_lo_{x}") - F.col(f"a_hi_{x}")) for x in xs]
         far = [F.greatest(F.col(f"a_hi_{x}") - F.col(f"b_lo_{x}"), F.col(f"b_hi_{x}") - F.col(f"a_lo_{x}")) for x in xs]
-        kids = kids.withColumns({"_min": sum((g * g for g in gap), F.lit(0.0)), "_max": sum((g * g for g in far), F.lit(0.0))})
-        kids = cut_lineage(kids.filter(F.col("_min") <= eps * eps).select("a", "b", "na", "nb", (F.col("_max") <= eps * eps).alias("sure")))
+        some = [F.col(f"a_one.{x}") - F.col(f"b_one.{x}") for x in xs]
+        square = lambda parts: sum((v * v for v in parts), F.lit(0.0))
+        kids = kids.filter(square(gap) <= eps * eps)
+        sure = (square(far) <= eps * eps) | (square(some) <= eps * eps)
+        few = (F.col("a_n") * F.col("b_n") <= leaf) | F.lit(lv == levels)
+        kids = cut_lineage(kids.select("a", "b", "na", "nb", sure.alias("sure"), few.alias("few")))
         done = kids.filter("sure").select("a", "b").distinct()
-        links = done if links is None else links.union(done)
-        open_pairs = kids.filter(~F.col("sure")).join(done, ["a", "b"], "left_anti").select("a", "b", F.col("na").alias("sa"), F.col("nb").alias("sb"))
-    last = f"s{levels}"
-    pa = parent.select(F.col(last).alias("sa"), *[F.col(x).alias(f"q_{x}") for x in xs])
-    pb = parent.select(F.col(last).alias("sb"), *[F.col(x).alias(f"o_{x}") for x in xs])
-    rest = open_pairs.join(pa, "sa").join(pb, "sb").filter(close("q_", "o_")).select("a", "b").distinct()
-    edges = links.union(rest).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        left = kids.filter(~F.col("sure")).join(done, ["a", "b"], "left_anti")
+        # At most ``leaf`` comparisons a pair of boxes.
+        pa = placed.select(F.col("sub").alias("na"), *[F.col(x).alias(f"q_{x}") for x in xs])
+        pb = placed.select(F.col("sub").alias("nb"), *[F.col(x).alias(f"o_{x}") for x in xs])
+        met = left.filter("few").join(pa, "na").join(pb, "nb").filter(close("q_", "o_")).select("a", "b").distinct()
+        new = cut_lineage(done.union(met))
+        found.append(new)
+        open_pairs = cut_lineage(left.filter(~F.col("few")).join(new, ["a", "b"], "left_anti").select("a", "b", F.col("na").alias("sa"), F.col("nb").alias("sb")))
+        if open_pairs.isEmpty():
+            break
+    links = found[0]
+    for more in found[1:]:
+        links = links.union(more)
+    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     edges = edges.union(cells.select(F.col("cell").alias("src"), F.col("cell").alias("dst")))
     comp = connected_components(edges).select(F.col("id").alias("cell"), F.col("component").alias("root"))
 

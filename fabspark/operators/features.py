@@ -94,9 +94,9 @@ def robust_scale(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS
 def reduce_features(
     df: DataFrame,
     keys: Sequence[str],
+    top: int,
     max_missing: float = 0.4,
     min_variance: float = 1e-5,
-    top: int = 50,
     hot_rows: int = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Drop columns with many missing values, impute medians, keep the columns

@@ -316,7 +316,7 @@ def ratio_sweep(train: DataFrame, extra: DataFrame, test: DataFrame, features: S
     return compare_training(sets, test, features, kind)
 
 
-def text_classifier(terms: int = 1000, ngrams: int = 2, min_df: float = 1.0, weight: str | None = "weight") -> Pipeline:
+def text_classifier(terms: int, ngrams: int = 2, min_df: float = 1.0, weight: str | None = "weight") -> Pipeline:
     """TF-IDF of words and word pairs with a logistic model."""
     tokens = RegexTokenizer(inputCol="text", outputCol="_t", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
     stop = StopWordsRemover(inputCol="_t", outputCol="_w")

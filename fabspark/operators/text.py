@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +161,7 @@ def with_terms(df: DataFrame, text: str, name: str = "term", ngrams: int = 1, st
     return out.withColumn(name, F.explode(F.concat(*grams))).drop(*grams)
 
 
-def inverse_frequencies(df: DataFrame, text: str, max_terms: int = 1000, ngrams: int = 1, stop_words: Sequence[str] = ()) -> DataFrame:
+def inverse_frequencies(df: DataFrame, text: str, max_terms: int, ngrams: int = 1, stop_words: Sequence[str] = ()) -> DataFrame:
     """The most frequent terms with ln((1 + n) / (1 + df)) + 1."""
     # The first occurrence of a term in a text also counts the text, so the
     # shuffle carries one row per term and partition, none per text.
@@ -185,28 +187,50 @@ def sentences(df: DataFrame, key: str, text: str, min_length: int = 10) -> DataF
 
 
 def extractive_summary(
-    df: DataFrame, key: str, text: str, take: int = 2, max_terms: int = 1000, ngrams: int = 1, stop_words: Sequence[str] = ()
+    df: DataFrame, key: str, text: str, max_terms: int, take: int = 2, ngrams: int = 1, stop_words: Sequence[str] = ()
 ) -> DataFrame:
     """The best sentences by summed, length-normalised TF-IDF, in their order.
-    Texts with at most ``take`` sentences stay whole. The term table has at
-    most ``max_terms`` rows, so it is broadcast."""
+
+    Texts with at most ``take`` sentences stay whole; equal scores prefer the
+    later sentence. Only the term table (at most ``max_terms`` rows) is shuffled
+    and sent to all tasks; a text is scored where it is read.
+    """
     df = spread(df.select(key, text))
-    idf = inverse_frequencies(df, text, max_terms, ngrams, stop_words)
-    sent = sentences(df, key, text)
-    found = with_terms(sent, "sentence", "term", ngrams, stop_words)
-    tf = found.join(F.broadcast(idf), "term").groupBy(key, "pos", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("tf") * F.col("idf")
-    scores = tf.groupBy(key, "pos").agg((F.sum(weight) / F.sqrt(F.sum(weight * weight))).alias("score"))
-    # Rounding keeps ties ties whatever the order of summation.
-    ranked = attach_stats(sent, scores, [key, "pos"]).withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
-    # The rank limit keeps ``take`` rows per text and partition before the shuffle.
-    w = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("pos"))
-    top = ranked.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= take)
-    best = top.groupBy(key).agg(F.collect_list(F.struct("pos", "sentence")).alias("best"))
-    best = attach_stats(best, sent.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), [key])
-    line = F.concat(F.array_join(F.transform(F.array_sort("best"), lambda x: x["sentence"]), ". "), F.lit("."))
-    out = df.select(key, text).join(best, key, "left")
-    return out.select(key, F.when(F.coalesce(F.col("_n"), F.lit(0)) <= take, F.col(text)).otherwise(line).alias("summary"))
+    idf = {r["term"]: r["idf"] for r in inverse_frequencies(df, text, max_terms, ngrams, stop_words).collect()}  # at most max_terms
+    known, stops = df.sparkSession.sparkContext.broadcast(idf), frozenset(stop_words)
+    kept = F.filter(
+        F.transform(F.split(F.regexp_replace(text, "\n", " "), r"\."), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 10
+    )
+    rows = df.withColumn("_kept", kept)
+    rows = rows.withColumn("_words", F.when(F.size("_kept") > take, F.transform("_kept", lambda s: F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)))))
+
+    def score(words: list[str]) -> float:
+        words = [w for w in words if w not in stops]
+        counts: dict[str, int] = {}
+        for n in range(1, ngrams + 1):
+            for run in zip(*(words[i:] for i in range(n)), strict=False):
+                term = " ".join(run)
+                if term in known.value:
+                    counts[term] = counts.get(term, 0) + 1
+        weights = [c * known.value[t] for t, c in counts.items()]
+        # Rounding keeps ties ties whatever the order of summation.
+        return round(math.fsum(weights) / math.sqrt(math.fsum(w * w for w in weights)), 9) if weights else 0.0
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                out = []
+                for whole, parts, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    if words is None:
+                        out.append(whole)
+                        continue
+                    scores = [score(w) for w in words]
+                    best = sorted(range(len(scores)), key=lambda i: (-scores[i], -i))[:take]
+                    out.append(". ".join(parts[i] for i in sorted(best)) + ".")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "summary"])
+
+    return rows.select(key, text, "_kept", "_words").mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, summary string")
 
 
 def summary_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:

@@ -317,4 +317,4 @@ def saved_model_scores(spark, sf):
 def tfidf_logistic(spark, sf):
     rows = ml.class_weights(quality(spark, sf).select("doc_id", "text", "label"))
     train, test = ml.hash_split(rows, ["doc_id"])
-    return ml.evaluate_binary(ml.with_probability(ml.text_classifier().fit(train).transform(test)))
+    return ml.evaluate_binary(ml.with_probability(ml.text_classifier(1000).fit(train).transform(test)))

@@ -154,12 +154,20 @@ def text_stats(spark, sf):
     return out.withColumns({"avg_length": rounded("avg_length"), "avg_words": rounded("avg_words")})
 
 
-SUMMARY_SQL = r"""tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
-  ct AS (SELECT term, sum(n) AS total, count(*) AS df FROM (SELECT doc_id, term, count(*) AS n FROM tk GROUP BY 1, 2) GROUP BY term ORDER BY total DESC, term LIMIT 1000),
+# Function words of English that carry no topic.
+STOP_WORDS = (
+    "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each "
+    "few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only or other our "
+    "out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where "
+    "which while who whom why will with would you your"
+).split()
+
+_SUMMARY = r"""tk AS (SELECT doc_id, unnest(WORDS(text)) AS term FROM documents),
+  ct AS (SELECT term, sum(n) AS total, count(*) AS df FROM (SELECT doc_id, term, count(*) AS n FROM tk GROUP BY 1, 2) GROUP BY term ORDER BY total DESC, term LIMIT TERMS),
   idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM ct),
   sl AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), ' '), '.'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 10) AS s FROM documents),
   se AS (SELECT doc_id, unnest(s) AS sentence, unnest(range(0, len(s))) AS pos FROM sl),
-  st AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}_]{2,}')) AS term FROM se),
+  st AS (SELECT doc_id, pos, unnest(WORDS(sentence)) AS term FROM se),
   w AS (SELECT doc_id, pos, st.term, count(*) * max(idf) AS w FROM st JOIN idf USING (term) GROUP BY 1, 2, 3),
   sc AS (SELECT doc_id, pos, sum(w) / sqrt(sum(w * w)) AS score FROM w GROUP BY 1, 2),
   rk AS (SELECT se.doc_id, se.pos, sentence, row_number() OVER (PARTITION BY se.doc_id ORDER BY round(coalesce(score, 0), 9) DESC, se.pos DESC) AS rn,
@@ -168,9 +176,27 @@ SUMMARY_SQL = r"""tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '
   sm AS (SELECT d.doc_id, d.text, CASE WHEN coalesce(n, 0) <= 2 THEN d.text ELSE line END AS summary FROM documents d LEFT JOIN bs USING (doc_id))"""
 
 
+def summary_sql(terms: int, stop_words=()) -> str:
+    listed = ", ".join(f"'{w}'" for w in stop_words) or "''"
+
+    def words(c: str) -> str:
+        return f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({listed}))"
+
+    return _SUMMARY.replace("WORDS(text)", words("text")).replace("WORDS(sentence)", words("sentence")).replace("TERMS", str(terms))
+
+
+SUMMARY_SQL = summary_sql(1000)
+
+
 @query("extractive_summary", f"WITH {SUMMARY_SQL} SELECT doc_id, summary FROM sm")
 def extractive_summary(spark, sf):
-    return text.extractive_summary(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return text.extractive_summary(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 1000)
+
+
+@query("extractive_summary_stop_words", f"WITH {summary_sql(500, STOP_WORDS)} SELECT doc_id, summary FROM sm")
+def extractive_summary_stop_words(spark, sf):
+    """The 500 most frequent terms that are no stop words."""
+    return text.extractive_summary(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 500, stop_words=STOP_WORDS)
 
 
 @query("extractive_summary_bigrams")
@@ -178,7 +204,7 @@ def extractive_summary_bigrams(spark, sf):
     from pyspark.ml.feature import StopWordsRemover
 
     stop = StopWordsRemover.loadDefaultStopWords("english")
-    return text.extractive_summary(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", ngrams=2, stop_words=stop)
+    return text.extractive_summary(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 1000, ngrams=2, stop_words=stop)
 
 
 @query(
@@ -190,7 +216,7 @@ def extractive_summary_bigrams(spark, sf):
 )
 def summary_metrics(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    both = joins.align(text.extractive_summary(docs, "doc_id", "text"), docs, ["doc_id"])
+    both = joins.align(text.extractive_summary(docs, "doc_id", "text", 1000), docs, ["doc_id"])
     out = text.summary_metrics(both, "text", "summary")
     return out.select(*[rounded(c).alias(c) for c in out.columns])
 
