@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import hypothesis as h
+from ..operators.absorbed import absorbed_anova
 from ..session import table
 from .common import phi_sql
 from .registry import query, r
@@ -158,6 +159,21 @@ def pairwise_groups(spark, sf):
     return out.select("group1", "group2", *[rounded(c).alias(c) for c in ("mean_diff", "t_stat", "q_stat")])
 
 
+@query(
+    "anova_absorbed",
+    f"""WITH e AS (SELECT l_suppkey AS g, l_returnflag AS f, CAST(l_returnflag = 'N' AS DOUBLE) AS a, CAST(l_returnflag = 'R' AS DOUBLE) AS b, CAST(l_quantity AS DOUBLE) AS y FROM lineitem),
+    w AS (SELECT a - avg(a) OVER k AS a, b - avg(b) OVER k AS b, y - avg(y) OVER k AS y FROM e WINDOW k AS (PARTITION BY g)),
+    s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS by_, sum(y * y) AS yy, count(*) AS n FROM w),
+    r AS (SELECT *, yy - ((ay * bb - by_ * ab) * ay + (by_ * aa - ay * ab) * by_) / (aa * bb - ab * ab) AS rss FROM s),
+    q AS (SELECT sum((y - m) * (y - m)) AS rss0 FROM (SELECT y, avg(y) OVER (PARTITION BY f) AS m FROM e)), l AS (SELECT count(DISTINCT g) AS levels FROM e)
+    SELECT 'l_returnflag' AS term, {r('yy - rss', 4)} AS sum_sq, 2 AS dof FROM r UNION ALL SELECT 'l_suppkey', {r('rss0 - rss', 4)}, CAST(levels - 1 AS INTEGER) FROM r, q, l
+    UNION ALL SELECT 'Residual', {r('rss', 4)}, CAST(n - levels - 2 AS INTEGER) FROM r, l""",
+)
+def anova_absorbed(spark, sf):
+    out = absorbed_anova(li(spark, sf), "l_quantity", ["l_returnflag"], "l_suppkey")
+    return out.select("term", rounded("sum_sq", 4).alias("sum_sq"), "dof")
+
+
 @query("pairwise_p_values")
 def pairwise_p_values(spark, sf):
     return h.pairwise_groups(table(spark, sf, "events"), "event_type", "value")
