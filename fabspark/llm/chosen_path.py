@@ -104,35 +104,42 @@ def _token(at: int | None) -> Column:
     return F.expr("substring(tokens, 4 * pick + 1, 4)") if at is None else F.substring("tokens", 4 * at + 1, 4)
 
 
-def leaves(texts: DataFrame, trees: int, picks: int, leaf: int, depth: int = 8) -> DataFrame:
+def _of_nodes(rows: DataFrame, nodes: DataFrame, bound: int = 100_000) -> DataFrame:
+    """Rows of the given nodes, each once in ``nodes``: sent to all tasks if
+    they are at most ``bound`` rows of a few numbers, else joined by a shuffle."""
+    few = nodes.limit(bound + 1).count() <= bound
+    return rows.join(F.broadcast(nodes) if few else nodes, "node")
+
+
+def leaves(texts: DataFrame, trees: int, picks: int, leaf: int, dense: int, depth: int = 8) -> DataFrame:
     """(node, sid, blocks): members of the nodes to compare; ``blocks`` is 1
-    for small nodes, else the number of blocks to cut the node into."""
+    for small nodes, else the number of blocks of about ``dense`` to cut it into."""
     roots = [F.xxhash64(F.lit(t), F.lit(t * picks + i), _token((t * picks + i) % TOKENS)) for t in range(trees) for i in range(picks)]
     rows = texts.select("sid", F.explode(F.array(*roots)).alias("node"))
     out = []
-    for _ in range(depth):
+    for level in range(depth + 1):
         name = F.xxhash64("sid", F.lit(1))
         counted = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(name).alias("y")).filter("n > 1")
         counted = cut_lineage(counted)
         # Trees that find the same members have one leaf for them.
         small = counted.filter(F.col("n") <= leaf).groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", F.lit(1).alias("blocks"))
-        out.append(rows.join(small, "node").select("node", "sid", "blocks"))
+        out.append(_of_nodes(rows, small).select("node", "sid", "blocks"))
         large = counted.filter(F.col("n") > leaf).select("node", "n")
+        blocks = F.ceil(F.col("n") / dense).cast("int").alias("blocks")
         if large.isEmpty():
             break
-        members = cut_lineage(rows.join(large, "node"))
+        if level == depth:
+            out.append(_of_nodes(rows, large.select("node", blocks)).select("node", "sid", "blocks"))
+            break
         start = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS)).cast("int")
         chosen = F.array(*[F.pmod(start + i * (TOKENS // picks - 1), F.lit(TOKENS)) for i in range(picks)])
-        kids = members.join(texts.select("sid", "tokens"), "sid").select("node", "n", "sid", "tokens", F.explode(chosen).alias("pick"))
-        kids = cut_lineage(kids.select("node", "n", "sid", F.xxhash64("node", "pick", _token(None)).alias("kid")))
+        kids = _of_nodes(rows, large).join(texts.select("sid", "tokens"), "sid").select("node", "n", "sid", "tokens", F.posexplode(chosen).alias("turn", "pick"))
+        kids = cut_lineage(kids.select("node", "n", "sid", "turn", F.xxhash64("node", "pick", _token(None)).alias("kid")))
         sizes = kids.groupBy("node", "n", "kid").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("node", "n").agg(F.sum(F.col("k") * F.col("k")).alias("work"))
-        split = sizes.withColumn("split", F.col("work") <= F.lit(0.5) * F.col("n") * F.col("n"))
-        stays = split.filter(~F.col("split")).select("node", F.ceil(F.col("n") / leaf).cast("int").alias("blocks"))
-        out.append(members.join(stays, "node").select("node", "sid", "blocks"))
-        rows = cut_lineage(kids.join(split.filter("split").select("node"), "node").select("sid", F.col("kid").alias("node")))
-    else:
-        left = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        out.append(rows.join(left.select("node", F.ceil(F.col("n") / leaf).cast("int").alias("blocks")), "node").select("node", "sid", "blocks"))
+        split = cut_lineage(sizes.select("node", (F.col("work") <= F.lit(0.5) * F.col("n") * F.col("n")).alias("split")))
+        # Each member once, where its node stays whole; else once for each child.
+        out.append(_of_nodes(kids.filter("turn = 0"), split.filter(~F.col("split"))).select("node", "sid", blocks))
+        rows = _of_nodes(kids, split.filter("split")).select("sid", F.col("kid").alias("node"))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -255,7 +262,7 @@ def confirmed_links(members: DataFrame, docs: DataFrame, text_col: str, percent:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = 5, trees: int = 5, picks: int = 2, leaf: int = 256, block: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = 5, trees: int = 5, picks: int = 2, leaf: int = 256, dense: int = 2048, block: int = 1024
 ) -> DataFrame:
     """(id, n, component) per row: the size of its shingle set, and the smallest
     id that links of at least ``percent`` reach.
@@ -268,7 +275,7 @@ def near_duplicates(
     rows = cut_lineage(sketches(docs, id_col, text_col, words))
     texts = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("smallest"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bytes").alias("bytes"))
     texts = cut_lineage(texts).withColumn("sid", F.monotonically_increasing_id())
-    nodes = leaves(texts, trees, picks, leaf)
+    nodes = leaves(texts, trees, picks, leaf, dense)
     likely = cut_lineage(likely_links(nodes.join(texts.select("sid", "n", "bytes"), "sid"), percent))
     parts = cut_lineage(components(likely).withColumnRenamed("id", "sid").join(texts.select("sid", "key", "n", "bytes"), "sid"))
     # Blocks are bounded by documents and by shingles.

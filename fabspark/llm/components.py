@@ -22,7 +22,19 @@ def with_group_min(rows: DataFrame, key: str, value: str, out: str, spread_by: s
     return salted.join(known, [key, "_salt"]).drop("_salt")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, up: bool, salts: int) -> DataFrame:
+    """Neighbours of each node (``up``: only the larger ones) and, without
+    ``up``, the node point to the smallest of them and the node. A node's
+    neighbours are met in parts, and its minimum is sent back to each part: no
+    group holds all edges of a hub."""
+    parts = edges.groupBy("src", F.pmod(F.xxhash64("dst"), F.lit(salts)).alias("salt")).agg(F.collect_set("dst").alias("near"))
+    lows = parts.select("src", "salt", F.least("src", F.array_min("near")).alias("m")).groupBy("src").agg(F.collect_list("salt").alias("all"), F.min("m").alias("m"))
+    met = parts.join(lows.select("src", "m", F.explode("all").alias("salt")), ["src", "salt"])
+    near = F.filter("near", lambda x: x > F.col("src")) if up else F.array_append("near", F.col("src"))
+    return met.select(F.explode(near).alias("src"), F.col("m").alias("dst")).filter(F.col("src") != F.col("dst"))
+
+
+def components(edges: DataFrame, salts: int = 1024) -> DataFrame:
     """(id, component): every node of ``edges`` (src, dst) with the smallest
     node it reaches, by alternating large and small stars.
 
@@ -33,13 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     last = None
     while True:
-        # Large star: larger neighbours point to the smallest one.
-        both = with_group_min(e.union(e.select("dst", "src")), "src", "dst", "m", "dst").filter(F.col("dst") > F.col("src"))
-        large = both.select(F.col("dst").alias("src"), F.least("src", "m").alias("dst")).distinct()
-        # Small star: smaller neighbours and the node itself point to the smallest.
-        down = with_group_min(large, "src", "dst", "m", "dst")
-        small = down.select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(down.select("src", "m"))
-        e = cut_lineage(small.filter(F.col("src") != F.col("dst")).distinct())
+        e = cut_lineage(_star(_star(e.union(e.select("dst", "src")), True, salts), False, salts).distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
         if now == last:
             break

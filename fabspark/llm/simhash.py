@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.clustering import connected_components
 from .common import col, cut_lineage, map_batches, pairs_schema, slices, texts_of
+from .components import components, with_group_min
 
 BITS = 64
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -241,14 +241,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and word-free texts have fingerprint zero and link like any other.
     Rows that repeat an id stay rows of their own. A null id gets the component
-    of its texts; a component without any id is null. An empty table gives none.
+    of its texts; a component without any id is null. Very long texts are whole;
+    further columns, of any name, take no part. An empty table gives none.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("smallest"))
-    linked = connected_components(cut_lineage(near_links(distinct.select("fp"), radius, blocks)))
-    classed = distinct.join(linked.withColumnRenamed("id", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
-    smallest = classed.groupBy("class").agg(F.min("smallest").alias("component"))
-    of = classed.select("fp", "class").join(smallest, "class").select("fp", "component")
+    linked = components(cut_lineage(near_links(distinct.select("fp"), radius, blocks)))
+    classed = distinct.join(linked.withColumnRenamed("id", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp")).drop("component")
+    of = with_group_min(classed, "class", "smallest", "component", "fp").select("fp", "component")
     return prints.join(of, "fp").select("id", "fp", "component")
 
 
