@@ -59,6 +59,36 @@ def regression_models(spark, sf):
     return out
 
 
+LINEAR = """e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b, CAST(l_extendedprice AS DOUBLE) / 1000 AS y FROM lineitem),
+    s AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM e {train}),
+    c AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ca, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM s),
+    p AS (SELECT e.*, my + ca * (a - ma) + cb * (b - mb) AS prediction FROM e, c)"""
+
+
+@query(
+    "linear_holdout",
+    f"""WITH {LINEAR.format(train='WHERE l_orderkey % 5 <> 0')}, t AS (SELECT y, prediction, prediction - y AS d FROM p WHERE l_orderkey % 5 = 0)
+    SELECT count(*) AS n, {r('avg(abs(d))')} AS mae, {r('sqrt(avg(d * d))')} AS rmse, {r('1 - sum(d * d) / (var_pop(y) * count(y))')} AS r2, {r('avg(abs(d) / greatest(abs(y), 1e-8)) * 100')} AS mape FROM t""",
+)
+def linear_holdout(spark, sf):
+    """Fitted on orders whose key is no multiple of five, judged on the others."""
+    rows = prices(spark, sf)
+    model = ml.fit_regression(rows.filter(F.col("l_orderkey") % 5 != 0), ["l_quantity", "l_discount"], "linear")
+    out = regression(model.transform(rows.filter(F.col("l_orderkey") % 5 == 0)), "label", "prediction")
+    return out.select("n", *[rounded(c).alias(c) for c in ("mae", "rmse", "r2", "mape")])
+
+
+@query("saved_linear_scores", f"WITH {LINEAR.format(train='')} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('prediction', 4)} AS prediction, 'linear' AS kind FROM p")
+def saved_linear_scores(spark, sf):
+    """Fit, save with metadata, load again, score in one batch."""
+    rows = prices(spark, sf)
+    folder = stream_folder(spark, "model")
+    save_model(ml.fit_regression(rows, ["l_quantity", "l_discount"], "linear"), folder, {"kind": "linear"})
+    model, meta = load_model(folder)
+    out = model.transform(rows).withColumns({"prediction": rounded("prediction", 4), "kind": F.lit(meta["kind"])})
+    return out.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_partkey", "l_suppkey", "prediction", "kind")
+
+
 @query("boosted_regression")
 def boosted_regression(spark, sf):
     rows = prices(spark, sf)
