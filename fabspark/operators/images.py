@@ -143,13 +143,29 @@ def _mirrored(pixels: DataFrame, image: str, h: int, w: int, reach: int) -> Data
     return pixels.withColumn("_r", F.explode(copies("row", h))).withColumn("_c", F.explode(copies("col", w)))
 
 
-def pixel_features(pixels: DataFrame, image: str, h: int, w: int, patch: int = 5) -> DataFrame:
+def _in_tiles(rows: DataFrame, reach: int, tile: int) -> DataFrame:
+    """Rows once for each tile (``_tr``, ``_tc``) they are in or near to."""
+
+    def tiles(name: str):
+        home, at = F.floor(F.col(name) / tile), F.pmod(F.col(name), F.lit(tile))
+        return F.array_compact(F.array(home, F.when(at < reach, home - 1), F.when(at >= tile - reach, home + 1)))
+
+    return rows.withColumn("_tr", F.explode(tiles("_r"))).withColumn("_tc", F.explode(tiles("_c")))
+
+
+def pixel_features(pixels: DataFrame, image: str, h: int, w: int, patch: int = 5, tile: int = 1024) -> DataFrame:
     """Value, patch mean / deviation / minimum / maximum and Sobel gradients.
     The filters are separable: a window along rows, then one along columns,
-    after a single shuffle by image."""
+    after a single shuffle by image, or by tile with a halo where an image is
+    larger than a tile."""
     reach = patch // 2
-    rows = _mirrored(pixels.withColumn("value", F.col("value").cast("double")), image, h, w, reach).repartition(image)
-    along, down = Window.partitionBy(image, "_r").orderBy("_c"), Window.partitionBy(image, "_c").orderBy("_r")
+    rows = _mirrored(pixels.withColumn("value", F.col("value").cast("double")), image, h, w, reach)
+    part = [image]
+    if max(h, w) > tile:
+        part += ["_tr", "_tc"]
+        rows = _in_tiles(rows, max(reach, 1), tile)
+    rows = rows.repartition(*part)
+    along, down = Window.partitionBy(*part, "_r").orderBy("_c"), Window.partitionBy(*part, "_c").orderBy("_r")
     fa, fd = along.rowsBetween(-reach, reach), down.rowsBetween(-reach, reach)
     v = F.col("value")
     left, right = F.lag("value").over(along), F.lead("value").over(along)
@@ -172,5 +188,7 @@ def pixel_features(pixels: DataFrame, image: str, h: int, w: int, patch: int = 5
         }
     )
     rows = rows.filter((F.col("_r") == F.col("row")) & (F.col("_c") == F.col("col")))
+    if len(part) > 1:
+        rows = rows.filter((F.col("_tr") == F.floor(F.col("row") / tile)) & (F.col("_tc") == F.floor(F.col("col") / tile))).drop("_tr", "_tc")
     out = rows.withColumn("grad_magnitude", F.sqrt(F.col("grad_x") * F.col("grad_x") + F.col("grad_y") * F.col("grad_y")))
     return out.drop("_r", "_c", "_s", "_q", "_lo", "_hi", "_dx", "_sx")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import images, wafer
+from ..operators.tiles import tiled_components
 from ..session import table
 from .common import DIES_SQL, good_dies
 from .registry import query, r
@@ -118,19 +119,25 @@ def glcm(spark, sf):
     return out.select("vec_id", *[rounded(c).alias(c) for c in out.columns if c != "vec_id"])
 
 
-@query(
-    "components",
-    f"""WITH RECURSIVE {DIES_SQL}, d AS (SELECT vec_id, "row" AS r, col AS c, "row" * 8 + col AS id FROM dies WHERE value = 1),
+_COMPONENTS = f"""WITH RECURSIVE {DIES_SQL}, d AS (SELECT vec_id, "row" AS r, col AS c, "row" * 8 + col AS id FROM dies WHERE value = 1),
     reach AS (SELECT vec_id, id, id AS root FROM d UNION SELECT b.vec_id, b.id, a.root FROM reach a JOIN d p ON p.vec_id = a.vec_id AND p.id = a.id
       JOIN d b ON b.vec_id = p.vec_id AND abs(b.r - p.r) <= 1 AND abs(b.c - p.c) <= 1),
     l AS (SELECT vec_id, id, min(root) AS root FROM reach GROUP BY 1, 2), s AS (SELECT vec_id, root, count(*) AS n FROM l GROUP BY 1, 2)
     SELECT e.vec_id, count(s.n) AS n_components, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS total_area, CAST(coalesce(max(s.n), 0) AS BIGINT) AS largest_area
-    FROM embeddings e LEFT JOIN s USING (vec_id) GROUP BY e.vec_id""",
-)
+    FROM embeddings e LEFT JOIN s USING (vec_id) GROUP BY e.vec_id"""
+
+
+@query("components", _COMPONENTS)
 def components(spark, sf):
     return wafer.components(maps(spark, sf), "vec_id")
 
 
+@query("components_in_tiles", _COMPONENTS)
+def components_in_tiles(spark, sf):
+    """The same maps cut into tiles of 3 x 3 dies."""
+    return tiled_components(good_dies(spark, sf), "vec_id", tile=3)
+
+
 @query(
     "normalised_maps",
     f"""WITH {DIES_SQL}, m AS (SELECT min(x) AS lo, max(x) AS hi FROM dies) SELECT vec_id, "row", col, {r('(x - lo) / (hi - lo)')} AS value FROM dies, m""",
