@@ -84,7 +84,7 @@ def quantile_name(p: float) -> str:
 ACCURACY = 2_000
 
 
-def wide_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], totals: bool = False) -> DataFrame:
+def wide_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], totals: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key with columns
     ``<column>_<q>`` (and ``<column>_total``).
 
@@ -118,9 +118,14 @@ def wide_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], p
     some = rows.filter(reduce(or_, [F.coalesce(within(i, j), F.lit(False)) for i, j in cells]))
     picked = F.array_compact(F.array(*[F.when(within(i, j), F.struct(F.lit(k).alias("_k"), F.col(f"_c{i}").alias("_v"))) for k, (i, j) in enumerate(cells)]))
     counts = some.select(*keys, F.inline(picked)).groupBy(*keys, "_k", "_v").agg(F.count(F.lit(1)).alias("_w"))
-    # The rows below come first: a NULL value with their number.
-    upto = F.sum("_w").over(Window.partitionBy(*keys, "_k").orderBy(F.asc_nulls_first("_v")))
-    placed = sized(below.unionByName(counts).withColumn("_upto", upto))
+    # The rows below come first: a NULL value with their number. A bracket of very
+    # many distinct values is ranked in slices.
+    merged = below.unionByName(counts)
+    if not keys and max((row[f"_n{i}"] for i in range(len(columns))), default=0) * 6 / ACCURACY > hot_rows:
+        merged = Ordered(merged, ["_k"], ["_v"], hot_rows=hot_rows).running({"_upto": ("sum", F.col("_w"))}).result()
+    else:
+        merged = merged.withColumn("_upto", F.sum("_w").over(Window.partitionBy(*keys, "_k").orderBy(F.asc_nulls_first("_v"))))
+    placed = sized(merged)
     at = lambda i, j: F.lit(probs[j]) * (F.col(f"_n{i}") - 1)
     ends = [F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))]
     for k, (i, j) in enumerate(cells):
@@ -142,14 +147,14 @@ def wide_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], p
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact quantiles of one column: (keys, total, q25, ...), keys with values only."""
-    wide = wide_quantiles(df.select(*keys, F.col(f"`{value}`").alias("_value")), keys, ["_value"], probs, totals=True)
+    wide = wide_quantiles(df.select(*keys, F.col(f"`{value}`").alias("_value")), keys, ["_value"], probs, totals=True, hot_rows=hot_rows)
     out = wide.select(*keys, F.col("_value_total").alias("total"), *[F.col(f"_value_{quantile_name(p)}").alias(quantile_name(p)) for p in probs])
     return out.filter(F.col("total").isNotNull()) if keys else out
 
 
 def column_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same of several columns, one row each: (keys, column, total, q...)."""
-    wide = wide_quantiles(df, keys, columns, probs, totals=True)
+    wide = wide_quantiles(df, keys, columns, probs, totals=True, hot_rows=hot_rows)
     names = [quantile_name(p) for p in probs]
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}_total`").alias("total"), *[F.col(f"`{c}_{n}`").alias(n) for n in names]) for c in columns])
     return wide.select(*keys, F.inline(rows)).filter(F.col("total").isNotNull())
