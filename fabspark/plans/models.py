@@ -127,6 +127,17 @@ def kmeans_clusters(spark, sf):
     return model.transform(ready).select("vec_id", "prediction")
 
 
+@query(
+    "pca_variance",
+    f"""WITH c AS (SELECT abs(corr(CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE))) AS c FROM lineitem)
+    SELECT 1 AS component, {r('(1 + c) / 2')} AS share, {r('(1 + c) / 2')} AS cumulative FROM c UNION ALL SELECT 2, {r('(1 - c) / 2')}, 1.0 FROM c""",
+)
+def pca_variance(spark, sf):
+    """Two scaled columns: the axes carry 1 + |r| and 1 - |r|."""
+    li = table(spark, sf, "lineitem").select(array_to_vector(F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double"))).alias("v"))
+    return ml.explained_variance(li, "v").withColumns({c: rounded(c) for c in ("share", "cumulative")})
+
+
 @query(
     "knn_graph",
     f"""WITH p AS (SELECT min(vec_id) AS pid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings GROUP BY 2),
