@@ -292,10 +292,10 @@ def trie(paths: DataFrame, salts: int = 32) -> DataFrame:
         n, deepest = handed.agg(F.count(F.lit(1)), F.max(F.size("sizes"))).first()
         if not n:
             break
-        group = max(4, min(GROUP, CELLS // (deepest + 1)))
+        group = max(16, min(GROUP, CELLS // (deepest + 1)))
         last = n <= group
-        # Ranges are sampled: half the aim keeps a group within its bound.
-        dealt = handed.repartition(1) if last else handed.repartitionByRange(-(-2 * n // group), "seq")
+        # A range leaves two paths at most, so each round has an eighth of them or fewer.
+        dealt = handed.repartition(1) if last else handed.repartitionByRange(max(1, n // group), "seq")
         rounds.append(_step(dealt.sortWithinPartitions("seq"), False, last))
         if last:
             break
