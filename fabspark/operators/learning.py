@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import exact_sum, half_even
 from .ranks import attach_stats
 
 # Base points and weights by activity.
@@ -37,15 +38,16 @@ def user_progress(attempts: DataFrame, user: object) -> DataFrame:
 
 def user_stats(attempts: DataFrame) -> DataFrame:
     """Completed attempts, mean score, hours, distinct modules per user, with
-    half-even rounding."""
+    half-even rounding. Scores are summed as decimals, so a mean half-way
+    between two roundings does not depend on the order of the rows."""
     done = attempts.filter(F.col("completed_at").isNotNull())
     per_module = done.groupBy("user_id", "module_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("percentage").alias("p"), F.count("percentage").alias("np"), F.sum("time_taken_seconds").alias("s")
+        F.count(F.lit(1)).alias("n"), exact_sum("percentage").alias("p"), F.count("percentage").alias("np"), F.sum("time_taken_seconds").alias("s")
     )
     return per_module.groupBy("user_id").agg(
         F.sum("n").alias("total_completed"),
-        F.bround(F.coalesce(F.try_divide(F.sum("p"), F.sum("np")), F.lit(0.0)), 1).alias("avg_score"),
-        F.bround(F.coalesce(F.sum("s"), F.lit(0)) / 3600, 2).alias("total_hours"),
+        half_even(F.coalesce(F.try_divide(exact_sum("p"), F.sum("np")), F.lit(0.0)), 1).alias("avg_score"),
+        half_even(F.coalesce(F.sum("s"), F.lit(0)) / 3600, 2).alias("total_hours"),
         F.count("module_id").alias("modules_completed"),
     )
 
