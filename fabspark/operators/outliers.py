@@ -138,7 +138,9 @@ class IQRFence(_Keyed):
 @dataclass
 class Mahalanobis(_Keyed):
     """Distance by the pseudo-inverse covariance of complete rows. Rows with
-    missing values use the columns they have; fewer than two give distance 0."""
+    missing values use the columns they have; fewer than two give distance 0.
+    The cut is a distance itself, so a row is above it only beyond the noise of
+    sums that were taken in another order."""
 
     percentile: float = 95.0
     name: str = "mahalanobis"
@@ -175,7 +177,7 @@ class Mahalanobis(_Keyed):
 
     def apply(self, df: DataFrame, stats: DataFrame) -> DataFrame:
         rows = attach_stats(df, stats, self.keys).withColumn("_dist", self._distance())
-        return self._finish(rows, stats, F.col("_dist") > F.col("_cut"), F.col("_dist"), self.name).drop("_dist")
+        return self._finish(rows, stats, F.col("_dist") > F.col("_cut") * (1 + 1e-10), F.col("_dist"), self.name).drop("_dist")
 
 
 def _average_path(n: float) -> float:
