@@ -35,6 +35,12 @@ RULE_TEXT = {
 LONGEST_RULE = 14
 
 
+def above(a: Column, b: Column) -> Column:
+    """a > b beyond the rounding of means whose sums were taken in any order: a
+    point on its centre line or on a limit is on neither side."""
+    return a - b > F.lit(1e-11) * F.greatest(F.abs(a), F.abs(b))
+
+
 def consecutive_subgroups(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -99,18 +105,19 @@ def run_rules(
 
         d = d.withColumns(
             {
-                "_d": v - F.lag(v).over(w),
-                "_a": (v > c + 2 * (u - c) / 3) | (v < c - 2 * (c - low) / 3),
-                "_b": (v > c + (u - c) / 3) | (v < c - (c - low) / 3),
+                "_was": F.lag(v).over(w),
+                "_a": above(v, c + 2 * (u - c) / 3) | above(c - 2 * (c - low) / 3, v),
+                "_b": above(v, c + (u - c) / 3) | above(c - (c - low) / 3, v),
             }
-        ).withColumn("_swing", F.col("_d") * F.lag("_d").over(w))
-        one_side = all_of(v > c, 9) | all_of(v < c, 9)
+        ).withColumn("_d", F.when(above(v, F.col("_was")), 1).when(above(F.col("_was"), v), -1).when(v.isNotNull() & F.col("_was").isNotNull(), 0))
+        d = d.withColumn("_swing", F.col("_d") * F.lag("_d").over(w))
+        one_side = all_of(above(v, c), 9) | all_of(above(c, v), 9)
         trend = all_of(F.col("_d") > 0, 5) | all_of(F.col("_d") < 0, 5)
         swings = F.max("_swing").over(back(11)) < 0
         zone_a = F.sum(F.col("_a").cast("int")).over(back(2)) >= 2
         zone_b = F.sum(F.col("_b").cast("int")).over(back(4)) >= 4
-        found = [(v > u) | (v < low), (pos >= 8) & one_side, (pos >= 5) & trend, (pos >= 13) & swings, (pos >= 2) & zone_a, (pos >= 4) & zone_b]
-        return d.withColumns({f"{chart}_rule_{i}": f for i, f in enumerate(found, start=1)}).drop("_d", "_a", "_b", "_swing")
+        found = [above(v, u) | above(low, v), (pos >= 8) & one_side, (pos >= 5) & trend, (pos >= 13) & swings, (pos >= 2) & zone_a, (pos >= 4) & zone_b]
+        return d.withColumns({f"{chart}_rule_{i}": f for i, f in enumerate(found, start=1)}).drop("_was", "_d", "_a", "_b", "_swing")
 
     def build(d: DataFrame, w) -> DataFrame:
         for chart, cols in charts.items():
