@@ -44,7 +44,7 @@ def stream_throughput(spark, sf):
 )
 def stream_latency(spark, sf):
     rows, arrivals = closing(events(spark, sf), "ts")
-    out = drain(jobs.latency(rows, "ts", "value", "1 day"), "latency", arrivals=arrivals)
+    out = jobs.latency(drain(jobs.latency_counts(rows, "ts", "value", "1 day"), "latency", arrivals=arrivals))
     return out.select(_us("start").alias("start_us"), "p50", "p95", "p99", rounded(F.col("avg") + 1e-10).alias("avg"), "max", "n")
 
 
