@@ -203,10 +203,10 @@ def predict_progress(velocity: DataFrame, user: str, modules: int = 10) -> DataF
 def dashboard(attempts: DataFrame, user: str, order: Sequence[str]) -> DataFrame:
     """Per student: attempts, mean, distinct modules, scores from 90 on and
     the last five attempts."""
-    totals = attempts.groupBy(user, "module_id").agg(F.count(F.lit(1)).alias("n"), F.sum("percentage").alias("p"), F.count_if(F.col("percentage") >= 90).alias("b"))
+    totals = attempts.groupBy(user, "module_id").agg(F.count(F.lit(1)).alias("n"), exact_sum("percentage").alias("p"), F.count("percentage").alias("np"), F.count_if(F.col("percentage") >= 90).alias("b"))
     out = totals.groupBy(user).agg(
         F.sum("n").alias("total_assessments"),
-        F.bround(F.sum("p") / F.sum("n"), 1).alias("average_score"),
+        half_even(F.try_divide(exact_sum("p"), F.sum("np")), 1).alias("average_score"),
         F.count(F.lit(1)).alias("modules_completed"),
         F.sum("b").alias("badges_earned"),
     )
