@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
     IDF,
     PCA,
@@ -27,7 +30,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +95,13 @@ def fit_regression(df: DataFrame, features: Sequence[str], kind: str = "ridge",
     return Pipeline(stages=[*stages, regressor(kind, **params)]).fit(df)
 
 
+def fit_regressions(df: DataFrame, features: Sequence[str], kinds: Sequence[str], k_best: int | None = None, pca: int | None = None, **params) -> dict[str, PipelineModel]:
+    """One model per kind on one preparation, which is fitted once."""
+    prepared = Pipeline(stages=preparation(features, k_best, pca, target="continuous")).fit(df)
+    rows = prepared.transform(df).select("features", "label")
+    return {kind: PipelineModel([*prepared.stages, regressor(kind, **params).fit(rows)]) for kind in kinds}
+
+
 def class_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_c)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
@@ -257,28 +267,49 @@ def polynomial_search(df: DataFrame, features: Sequence[str], degrees: Sequence[
     """Cross-validated R2 by polynomial degree."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
     poly = PolynomialExpansion(inputCol="_x", outputCol="features")
-    model = Pipeline(stages=[assembler, poly, R.LinearRegression(labelCol="label")])
     grid = ParamGridBuilder().addGrid(poly.degree, list(degrees)).build()
-    return _search(df, model, grid, folds, seed, [(f"degree={x}",) for x in degrees])
+    return _search(df, features, [assembler], [poly, R.LinearRegression(labelCol="label")], grid, folds, seed, [(f"degree={x}",) for x in degrees])
 
 
 def grid_search(df: DataFrame, features: Sequence[str], reg: Sequence[float], mix: Sequence[float], folds: int = 5, seed: int = 42) -> DataFrame:
     """Cross-validated R2 over penalty and elastic-net mix."""
     lr = R.LinearRegression(labelCol="label")
-    model = Pipeline(stages=[*preparation(features, target="continuous"), lr])
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg)).addGrid(lr.elasticNetParam, list(mix)).build()
     names = [(",".join(f"{p.name}={v:g}" for p, v in sorted(g.items(), key=lambda kv: kv[0].name)),) for g in grid]
-    return _search(df, model, grid, folds, seed, names)
+    return _search(df, features, preparation(features, target="continuous"), [lr], grid, folds, seed, names)
 
 
-def _search(df: DataFrame, model: Pipeline, grid: list, folds: int, seed: int, names: list) -> DataFrame:
-    cv = CrossValidator(
-        estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="r2"), numFolds=folds, seed=seed, parallelism=4
-    ).fit(df)
-    rows = [(n[0], float(v)) for n, v in zip(names, cv.avgMetrics)]
+def _search(df: DataFrame, features: Sequence[str], steady: list, varied: list, grid: list, folds: int, seed: int, names: list) -> DataFrame:
+    scores = cross_scores(df, features, steady, varied, grid, folds, seed)
+    rows = [(n[0], v) for n, v in zip(names, scores, strict=True)]
     return df.sparkSession.createDataFrame(rows, "params string, mean_r2 double").orderBy(F.desc("mean_r2"))
 
 
+def cross_scores(df: DataFrame, features: Sequence[str], steady: list, varied: list, grid: list, folds: int, seed: int) -> list[float]:
+    """Mean R2 on the held-out rows per entry of ``grid``. Folds are those of
+    CrossValidator. ``steady`` stages, which no entry changes, are fitted once a
+    fold; one pass over a fold's held-out rows scores all entries."""
+    rows = df.select(*features, "label").withColumn("_fold", F.floor(F.rand(seed) * folds))
+
+    def one(i: int) -> list[float]:
+        train, held = rows.filter(F.col("_fold") != i), rows.filter(F.col("_fold") == i)
+        prepared = Pipeline(stages=steady).fit(train)
+        ready, scored = prepared.transform(train), prepared.transform(held)
+        kept = scored.columns
+        for n, params in enumerate(grid):
+            made = Pipeline(stages=varied).fit(ready, params).transform(scored)
+            scored = made.select(*kept, F.col("prediction").alias(f"_p{n}"))
+            kept = scored.columns
+        y = F.col("label")
+        lost = [F.sum((y - F.col(f"_p{n}")) ** 2).alias(f"_e{n}") for n in range(len(grid))]
+        found = scored.agg((F.var_pop("label") * F.count("label")).alias("_all"), *lost).first()
+        return [1 - found[f"_e{n}"] / found["_all"] if found["_all"] else math.nan for n in range(len(grid))]
+
+    # Folds side by side, as CrossValidator runs its fits.
+    with ThreadPool(min(folds, 4)) as pool:
+        return np.mean(pool.map(inheritable_thread_target(df.sparkSession)(one), range(folds)), axis=0).tolist()
+
+
 def time_folds(df: DataFrame, order: Column, folds: int) -> DataFrame:
     """Adds ``fold`` 0..folds by time; cuts are approximate quantiles, so no
     global sort is needed."""
@@ -295,12 +326,11 @@ def expanding_validation(df: DataFrame, features: Sequence[str], order: Column,
         train, test = rows.filter(F.col("fold") < i), rows.filter(F.col("fold") == i)
         lr = R.LinearRegression(labelCol="label")
         grid = ParamGridBuilder().addGrid(lr.regParam, list(reg)).build()
-        cv = CrossValidator(
-            estimator=Pipeline(stages=[*preparation(features, target="continuous"), lr]),
-            estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="r2"), numFolds=inner, seed=42, parallelism=2,
-        ).fit(train)
-        best = reg[max(range(len(reg)), key=lambda j: cv.avgMetrics[j])]
-        score = regression(cv.bestModel.transform(test), "label", "prediction").select(
+        steady = preparation(features, target="continuous")
+        scores = cross_scores(train, features, steady, [lr], grid, inner, 42)
+        best = reg[max(range(len(reg)), key=lambda j: scores[j])]
+        model = Pipeline(stages=[*steady, lr.copy({lr.regParam: best})]).fit(train)
+        score = regression(model.transform(test), "label", "prediction").select(
             F.lit(i).alias("fold"), F.lit(float(best)).alias("best_reg"), "n", "rmse", "r2"
         )
         out = score if out is None else out.unionByName(score)
