@@ -52,8 +52,7 @@ def regression_models(spark, sf):
     rows = prices(spark, sf)
     train, test = ml.hash_split(rows, ["l_orderkey", "l_partkey"])
     out = None
-    for kind in ("linear", "ridge", "lasso"):
-        model = ml.fit_regression(train, FEATURES, kind, k_best=3)
+    for kind, model in ml.fit_regressions(train, FEATURES, ("linear", "ridge", "lasso"), k_best=3).items():
         row = regression(model.transform(test), "label", "prediction").withColumn("model", F.lit(kind))
         out = row if out is None else out.unionByName(row)
     return out
