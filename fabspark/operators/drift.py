@@ -50,7 +50,8 @@ def psi_of_counts(rows: DataFrame, keys: Sequence[str], bins: int = 10, clip: bo
     stats = stats.withColumns(
         {"_a": F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")), "_b": F.when(same, F.col("_hi") + 0.5).otherwise(F.col("_hi"))}
     ).drop("_lo", "_hi")
-    rows = attach_stats(rows.select(*keys, "value", "r", "c"), stats, keys)
+    # Per column of the schema the statistics are a few rows: rows stay where they are.
+    rows = attach_stats(rows.select(*keys, "value", "r", "c"), F.broadcast(stats) if keys == ["column"] else stats, keys)
     a, b, v = F.col("_a"), F.col("_b"), F.col("value")
     width = (b - a) / bins
     guess = F.least(F.floor((v - a) / width), F.lit(bins - 1))
