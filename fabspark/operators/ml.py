@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
@@ -16,7 +18,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
     IDF,
     PCA,
-    CountVectorizer,
+    CountVectorizerModel,
     Imputer,
     NGram,
     Normalizer,
@@ -35,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_bucket
+from ..session import cut_lineage
 from .metrics import binary_scores, confusion, curve, regression, roc_pr_auc, threshold_by_f1
 from .minibatch import MiniBatchKMeans
 from .ordered import HOT_ROWS, Ordered
@@ -107,7 +110,8 @@ def class_weights(df: DataFrame, label: str = "label", name: str = "weight") ->
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     totals = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = attach_stats(counts, totals, []).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias(name))
-    return attach_stats(df, w, [label])
+    # A row a class: a join on the label would put all rows into as many tasks.
+    return attach_stats(df, F.broadcast(w), [label])
 
 
 def fit_classification(df: DataFrame, features: Sequence[str], kind: str = "logistic", balanced: bool = True, k_best: int | None = None, pca: int | None = None, **params) -> PipelineModel:
@@ -136,8 +140,13 @@ def tuned_threshold(scored: DataFrame, label: str = "label", p: str = "p", **flo
 
 def hash_split(df: DataFrame, key: Sequence[str], train_pct: int = 80, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The same rows fall on the same side in every run and on any cluster."""
-    b = hash_bucket(key, 100, seed)
-    return df.filter(b < train_pct), df.filter(b >= train_pct)
+    train = hash_train(key, train_pct, seed)
+    return df.filter(train), df.filter(~train)
+
+
+def hash_train(key: Sequence[str], train_pct: int = 80, seed: int = 42) -> Column:
+    """Whether :func:`hash_split` puts a row on the training side."""
+    return hash_bucket(key, 100, seed) < train_pct
 
 
 def stratified_split(df: DataFrame, key: str, label: str, train_share: float = 0.8, seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -346,16 +355,41 @@ def ratio_sweep(train: DataFrame, extra: DataFrame, test: DataFrame, features: S
     return compare_training(sets, test, features, kind)
 
 
-def text_classifier(terms: int, ngrams: int = 2, min_df: float = 1.0, weight: str | None = "weight") -> Pipeline:
-    """TF-IDF of words and word pairs with a logistic model."""
+def text_terms(df: DataFrame, ngrams: int = 2) -> DataFrame:
+    """Adds ``_all``: the words without stop words and their runs of up to ``ngrams``."""
     tokens = RegexTokenizer(inputCol="text", outputCol="_t", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
     stop = StopWordsRemover(inputCol="_t", outputCol="_w")
-    grams = [NGram(n=n, inputCol="_w", outputCol=f"_g{n}") for n in range(2, ngrams + 1)]
-    joined = ", ".join(["_w", *[f"_g{n}" for n in range(2, ngrams + 1)]])
-    merge = SQLTransformer(statement=f"SELECT *, concat({joined}) AS _all FROM __THIS__")
-    counts = CountVectorizer(inputCol="_all", outputCol="_c", vocabSize=terms, minDF=min_df)
-    return Pipeline(
-        stages=[tokens, stop, *grams, merge, counts, IDF(inputCol="_c", outputCol="_i"), Normalizer(inputCol="_i", outputCol="features"), classifier("logistic", weight=weight)]
-    )
-
-
+    found = stop.transform(tokens.transform(df.withColumn("text", F.coalesce("text", F.lit("")))))
+    grams = ["_w", *[f"_g{n}" for n in range(2, ngrams + 1)]]
+    for n, name in enumerate(grams[1:], 2):
+        found = NGram(n=n, inputCol="_w", outputCol=name).transform(found)
+    return found.withColumn("_all", F.concat(*grams)).drop("_t", *grams)
+
+
+def term_counts(words: DataFrame, column: str = "_all") -> DataFrame:
+    """(term, n) over all rows; a batch's equal terms are counted before they leave Arrow."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                found = pc.value_counts(batch.column(0).slice(lo, 2000).flatten())
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["term", "n"])
+
+    return words.select(column).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def score_texts(df: DataFrame, is_train: Column, terms: int, ngrams: int = 2, weight: str | None = "weight") -> DataFrame:
+    """TF-IDF of words and word pairs with a logistic model, fitted on the rows
+    under ``is_train``: the other rows with its prediction, without their texts.
+    Texts are read for the vocabulary (the most frequent terms in training, ties
+    to the smaller term) and for the counts; later passes read the checkpointed
+    counts."""
+    rows = text_terms(df.withColumn("_train", is_train), ngrams)
+    top = term_counts(rows.filter("_train")).orderBy(F.desc("n"), "term").limit(terms)
+    vocabulary = [r["term"] for r in top.collect()]  # at most ``terms``
+    if not vocabulary:
+        raise ValueError("no terms in the training texts")
+    counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_all", outputCol="_c")
+    rows = cut_lineage(counts.transform(rows).drop("text", "_all"))
+    stages = [IDF(inputCol="_c", outputCol="_i"), Normalizer(inputCol="_i", outputCol="features"), classifier("logistic", weight=weight)]
+    return Pipeline(stages=stages).fit(rows.filter("_train")).transform(rows.filter(~F.col("_train"))).drop("_train")

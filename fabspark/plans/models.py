@@ -356,5 +356,5 @@ def saved_model_scores(spark, sf):
 @query("tfidf_logistic")
 def tfidf_logistic(spark, sf):
     rows = ml.class_weights(quality(spark, sf).select("doc_id", "text", "label"))
-    train, test = ml.hash_split(rows, ["doc_id"])
-    return ml.evaluate_binary(ml.with_probability(ml.text_classifier(1000).fit(train).transform(test)))
+    scored = ml.score_texts(rows, ml.hash_train(["doc_id"]), 1000)
+    return ml.evaluate_binary(ml.with_probability(scored))
