@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def file_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, length, sha256) of every file below a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+from .checksums import file_checksums as file_checksums
 
 
 def verify_checksums(actual: DataFrame, expected: DataFrame) -> DataFrame:
