@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_bucket
-from ..session import cut_lineage
+from ..session import bounded, cut_lineage
 from .metrics import binary_scores, confusion, curve, regression, roc_pr_auc, threshold_by_f1
 from .minibatch import MiniBatchKMeans
 from .ordered import HOT_ROWS, Ordered
@@ -93,9 +93,15 @@ def classifier(kind: str, label: str = "label", weight: str | None = None, **par
     return made[kind]()
 
 
+def _rows_to_keep(df: DataFrame, columns: Sequence[str], kind: str, part_rows: int = 500_000) -> DataFrame:
+    """Trees keep every partition of their rows as objects over all levels."""
+    return bounded(df.select(*columns), part_rows) if kind in ("tree", "forest", "boosted") else df
+
+
 def fit_regression(df: DataFrame, features: Sequence[str], kind: str = "ridge", k_best: int | None = None, pca: int | None = None, **params) -> PipelineModel:
-    stages = preparation(features, k_best, pca, target="continuous")
-    return Pipeline(stages=[*stages, regressor(kind, **params)]).fit(df)
+    prepared = Pipeline(stages=preparation(features, k_best, pca, target="continuous")).fit(df)
+    rows = _rows_to_keep(df, [*features, "label"], kind)
+    return PipelineModel([*prepared.stages, regressor(kind, **params).fit(prepared.transform(rows))])
 
 
 def fit_regressions(df: DataFrame, features: Sequence[str], kinds: Sequence[str], k_best: int | None = None, pca: int | None = None, **params) -> dict[str, PipelineModel]:
@@ -116,8 +122,9 @@ def class_weights(df: DataFrame, label: str = "label", name: str = "weight") ->
 
 def fit_classification(df: DataFrame, features: Sequence[str], kind: str = "logistic", balanced: bool = True, k_best: int | None = None, pca: int | None = None, **params) -> PipelineModel:
     rows = class_weights(df) if balanced else df
-    stages = preparation(features, k_best, pca)
-    return Pipeline(stages=[*stages, classifier(kind, weight="weight" if balanced else None, **params)]).fit(rows)
+    prepared = Pipeline(stages=preparation(features, k_best, pca)).fit(rows)
+    rows = _rows_to_keep(rows, [*features, "label", *(["weight"] if balanced else [])], kind)
+    return PipelineModel([*prepared.stages, classifier(kind, weight="weight" if balanced else None, **params).fit(prepared.transform(rows))])
 
 
 def with_probability(scored: DataFrame, name: str = "p") -> DataFrame:
