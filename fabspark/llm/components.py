@@ -29,7 +29,8 @@ def _star(edges: DataFrame, up: bool, salts: int) -> DataFrame:
     group holds all edges of a hub."""
     parts = edges.groupBy("src", F.pmod(F.xxhash64("dst"), F.lit(salts)).alias("salt")).agg(F.collect_set("dst").alias("near"))
     lows = parts.select("src", "salt", F.least("src", F.array_min("near")).alias("m")).groupBy("src").agg(F.collect_list("salt").alias("all"), F.min("m").alias("m"))
-    met = parts.join(lows.select("src", "m", F.explode("all").alias("salt")), ["src", "salt"])
+    # Merged, as Spark sizes lists and what is made of them too low and would send either side through the driver.
+    met = parts.hint("merge").join(lows.select("src", "m", F.explode("all").alias("salt")).hint("merge"), ["src", "salt"])
     near = F.filter("near", lambda x: x > F.col("src")) if up else F.array_append("near", F.col("src"))
     return met.select(F.explode(near).alias("src"), F.col("m").alias("dst")).filter(F.col("src") != F.col("dst"))
 

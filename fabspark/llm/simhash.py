@@ -198,7 +198,8 @@ def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 7, chunk: int
         keys.append(F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bits")))
     posted = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.bits")
     shared = posted.groupBy("t", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    cut = posted.join(shared, ["t", "bits"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    # Spark sizes ``posted`` as if it had a row per fingerprint; unless told to merge, it would send all of it through the driver.
+    cut = posted.hint("merge").join(shared.hint("merge"), ["t", "bits"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     cut = cut.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("c", j).alias("lo"), F.greatest("c", j).alias("hi")))
     sent = cut.select("t", "bits", "fp", "c", F.explode(pairs).alias("p")).select("t", "bits", "p.lo", "p.hi", "c", "fp")
